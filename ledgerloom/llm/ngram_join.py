@@ -14,7 +14,9 @@ from .store import written
 from .textvec import U, blocks, mix, window_hashes, word_bounds, word_hashes
 
 #: Counters of the frequency sketch that orders the n-grams: its size, not its use, is fixed; any counts give an order that keeps all links.
-CELLS = 1 << 20
+CELLS = 1 << 21
+#: Parts in which the sketch travels.
+SLICES = 64
 #: Leading fragments, used to link the bulk of large groups first.
 LEADS = 16
 #: Fragments of each frequency class in which partial overlaps are counted.
@@ -57,78 +59,132 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), _long(np.concatenate(parts) if parts else np.zeros(0, U)))
 
 
+def _name(s: np.ndarray) -> np.uint64:
+    return mix(np.array([s.sum(dtype=U) ^ np.bitwise_xor.reduce(mix(s + U(77))) + U(len(s))], U))[0]
+
+
 def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """Of each document: set size, a 64-bit name of its set, the first n-gram of each leading fragment. Besides, rows with counts of the sketch."""
+    """Of each document: set size, a 64-bit name of its set, the first n-gram of each leading fragment. Besides, rows with slices of the sketch."""
+    names = ["doc_id", "n", "node", "leads", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         bounds = (np.arange(LEADS, dtype=U) << U(60))[1:]
         for b in batches:
-            size, name, leads, seen = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), [], []
+            size, name, leads, seen, held = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), [], [], 0
             for row, s in _sets(b, "text", n):
                 size[row] = len(s)
                 if len(s):
-                    name[row] = mix(np.array([s.sum(dtype=U) ^ np.bitwise_xor.reduce(mix(s + U(77))) + U(len(s))], U))[0]
+                    name[row] = _name(s)
                     cut = np.concatenate(([0], np.searchsorted(s, bounds)))
                     leads.append(s[cut[np.diff(np.append(cut, len(s))) > 0]])
-                    seen.append(s)
+                    seen.append((s & U(CELLS - 1)).astype(np.int32))
+                    held += len(s)
                 else:
                     leads.append(s)
-                if len(seen) == 1000 or row == b.num_rows - 1:
-                    if seen:
-                        counts += np.bincount((np.concatenate(seen) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    seen = []
-            none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), _long(name), _lists(leads), none, none], ["doc_id", "n", "node", "leads", "cell", "count"])
-        used = np.flatnonzero(counts)
-        for k in range(0, len(used), 50_000):
-            u = used[k : k + 50_000]
-            empty = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(u), pa.list_(pa.int64())), pa.array(u), pa.array(counts[u])], ["doc_id", "n", "node", "leads", "cell", "count"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, node long, leads array<long>, cell long, count long")
-
-
-def _classes(cells: DataFrame) -> np.ndarray:
-    """Frequency class 0-15 of each sketch cell: how many times the mean count it holds, as a power of 4. CELLS bytes."""
-    rows = cells.groupBy("cell").agg(F.sum("count").alias("count"))
-    parts = rows.select(F.col("cell").cast("int"), F.col("count")).toArrow()
-    counts = np.zeros(CELLS)
-    counts[parts["cell"].to_numpy()] = parts["count"].to_numpy()
+                if held > 1_000_000 or row == b.num_rows - 1 and held:
+                    counts += np.bincount(np.concatenate(seen), minlength=CELLS)
+                    seen, held = [], 0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), _long(name), _lists(leads), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
+        if counts.any():
+            small = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], names)
+
+    return docs.mapInArrow(run, "doc_id long, n long, node long, leads array<long>, slice int, counts binary")
+
+
+def _classes(slices: DataFrame) -> np.ndarray:
+    """Frequency class 0-15 of each sketch cell, from how many times the mean count it holds. CELLS numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint8).astype(np.uint32)
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
+
+    counts = np.zeros((SLICES, CELLS // SLICES))
+    for r in slices.repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
+        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
     mean = max(1.0, counts.sum() / CELLS)
-    return np.clip(np.log2(np.maximum(counts, 1) / mean) / 2 + 1, 0, 15).astype(np.uint8)
+    return np.clip(np.log2(np.maximum(counts.ravel(), 1) / mean / 1.5) * 1.25 + 1, 0, 15).astype(np.uint8)
+
+
+def _kept(n: int, threshold: float) -> int:
+    """Length of the prefix of a set of n: two sets that link share an n-gram of their prefixes."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
 
 
 def _prefixes(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
-    """Of each set, the leading n-grams of which two sets that link must share one."""
+    """Of each set, the prefix in the global order and the place in that order where it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for b in batches:
-            size, name, lead = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), []
+            size, name, end, lead = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), np.zeros(b.num_rows, U), []
             for row, s in _sets(b, "text", n):
                 size[row] = k = len(s)
+                lead.append(_ordered(s, order)[: _kept(k, threshold) if k else 0])
                 if k:
-                    name[row] = mix(np.array([s.sum(dtype=U) ^ np.bitwise_xor.reduce(mix(s + U(77))) + U(k)], U))[0]
-                lead.append(_ordered(s, order)[: k - math.ceil(threshold * k - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(size), _long(name), _lists(lead)], ["n", "node", "grams"])
+                    name[row], end[row] = _name(s), lead[-1][-1]
+            yield pa.RecordBatch.from_arrays([pa.array(size), _long(name), _long(end ^ U(1 << 63)), _lists(lead)], ["n", "node", "last", "grams"])
+
+    return docs.mapInArrow(run, "n long, node long, last long, grams array<long>")
+
 
-    return docs.mapInArrow(run, "n long, node long, grams array<long>")
+def _lists_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The posting lists of rows sorted by n-gram and component, if they hold two components or more."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if rest is None else [rest, b])
+        x = [t.column(k).to_numpy() for k in columns]
+        cut = np.flatnonzero(np.append(True, x[0][1:] != x[0][:-1]))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if j - i > 1 and x[1][i] != x[1][j - 1]:
+                yield [y[i:j] for y in x]
+        rest = t.slice(int(cut[-1])).combine_chunks().to_batches()[0] if len(cut) else rest
+    if rest is not None:
+        x = [rest.column(k).to_numpy() for k in columns]
+        if x[1][0] != x[1][-1]:
+            yield x
+
+
+def _shared_postings(postings: DataFrame) -> DataFrame:
+    """The postings of n-grams that sets of two components have in their prefixes."""
+    columns = ["gram", "component", "node", "n", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for x in _lists_of(batches, columns):
+            held.append(x)
+            count += len(x[0])
+            if count > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held, strict=True)], columns)
+                held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held, strict=True)], columns)
+
+    return postings.mapInArrow(run, "gram long, component long, node long, n long, last long")
 
 
 def _across(postings: DataFrame, threshold: float) -> DataFrame:
-    """Partial overlaps of sets of different components, counted within each fragment.
+    """Partial overlaps of pairs of sets of different components, counted within each fragment.
 
-    postings come sorted by n-gram. Of a posting list whose members are in one component nothing comes out, however
-    long it is. A list goes through memory in runs of one component, and only the pairs of a fragment are held.
+    most is what a set can share beyond what its prefix shows: of two sets, the one whose prefix ends first in the
+    order shares at most its most with the other, so pairs that cannot reach the threshold are never made.
     """
+    columns = ["gram", "component", "node", "n", "last", "most"]
 
-    def pairs_of(comp: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs_of(_, comp: np.ndarray, node: np.ndarray, size: np.ndarray, last: np.ndarray, most: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(size, kind="stable")
-        comp, node, size = comp[order], node[order], size[order]
+        comp, node, size, last, most = (y[order] for y in (comp, node, size, last, most))
         top = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")
         for i in range(len(node) - 1):
-            j = np.flatnonzero(comp[i + 1 : top[i]] != comp[i]) + i + 1
+            at = slice(i + 1, top[i])
+            need = np.ceil(threshold / (1 + threshold) * (size[i] + size[at]) - 1e-9)
+            j = np.flatnonzero((comp[at] != comp[i]) & (np.where(last[i] <= last[at], most[i], most[at]) >= need)) + i + 1
             if len(j):
                 yield np.stack([np.full(len(j), node[i]), node[j], np.full(len(j), size[i]), size[j]])
 
@@ -136,36 +192,20 @@ def _across(postings: DataFrame, threshold: float) -> DataFrame:
         if held:
             x = np.concatenate(held, axis=1)
             swap = x[0] > x[1]
-            x[:, swap] = x[[1, 0, 3, 2]][:, swap]
+            x[:, swap] = x[:, swap][[1, 0, 3, 2]]
             x = x[:, np.lexsort((x[1], x[0]))]
-            new = np.append(True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1]))
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([*(pa.array(y[at]) for y in x), pa.array(np.diff(np.append(at, len(new))))], ["a", "b", "na", "nb", "shared"])
+            at = np.flatnonzero(np.append(True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])))
+            yield pa.RecordBatch.from_arrays([*(pa.array(y[at]) for y in x), pa.array(np.diff(np.append(at, x.shape[1])))], ["a", "b", "na", "nb", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, rest = [], 0, None
-        for b in batches:
-            t = pa.Table.from_batches([b] if rest is None else [rest, b])
-            x = [t.column(k).to_numpy() for k in ("gram", "component", "node", "n")]
-            cut = np.flatnonzero(np.append(True, x[0][1:] != x[0][:-1]))
-            rest = t.slice(int(cut[-1])).combine_chunks().to_batches()[0] if len(x[0]) else None
-            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if j - i > 1 and x[1][i] != x[1][j - 1]:
-                    for p in pairs_of(x[1][i:j], x[2][i:j], x[3][i:j]):
-                        held.append(p)
-                        count += p.shape[1]
-                        if count > 500_000:
-                            yield from flush(held)
-                            held, count = [], 0
-        if rest is not None:
-            x = [rest.column(k).to_numpy() for k in ("component", "node", "n")]
-            if x[0][0] != x[0][-1]:
-                for p in pairs_of(*x):
-                    held.append(p)
-                    count += p.shape[1]
-                    if count > 500_000:
-                        yield from flush(held)
-                        held, count = [], 0
+        held, count = [], 0
+        for x in _lists_of(batches, columns):
+            for p in pairs_of(*x):
+                held.append(p)
+                count += p.shape[1]
+                if count > 500_000:
+                    yield from flush(held)
+                    held, count = [], 0
         yield from flush(held)
 
     return postings.mapInArrow(run, "a long, b long, na long, nb long, shared long")
@@ -205,7 +245,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, thr
                 name, part, grams = [], [], []
                 for _, s in _sets(b, "text", n):
                     if len(s):
-                        name += [mix(np.array([s.sum(dtype=U) ^ np.bitwise_xor.reduce(mix(s + U(77))) + U(len(s))], U))[0]] * PARTS
+                        name += [_name(s)] * PARTS
                         part += range(PARTS)
                         grams += np.split(s, np.searchsorted(s, edges))
                 yield pa.RecordBatch.from_arrays([_long(np.array(name, U)), pa.array(part, pa.int32()), _lists(grams)], ["node", "part", "grams"])
@@ -220,6 +260,13 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, thr
     return pairs.join(shared, ["a", "b"]).where(100 * F.col("shared") >= whole * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def _in_fragments(postings: DataFrame) -> DataFrame:
+    """Postings dealt out by fragment of the global order, sorted within it."""
+    fragment = F.shiftrightunsigned("gram", 60) * FRAGMENTS + F.shiftrightunsigned("gram", 60 - int(math.log2(FRAGMENTS))) % FRAGMENTS
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(parts, fragment).sortWithinPartitions("gram", "component")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text).
 
@@ -230,34 +277,39 @@ def ngram_components(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> Da
 
     Vertical partitioning: shingles have one global order (frequency class from a fixed-size sketch, then hash), and
     the order is cut into fragments. (1) Equal sets become one node. (2) Nodes that agree in several leading fragments
-    with the smallest such node are compared with it and joined, which binds large groups with few comparisons.
-    (3) The order's prefix of each set, of which two linking sets must share a shingle, goes to its fragments, where
-    partial overlaps are counted for pairs of nodes not yet joined; the sum of a pair bounds its overlap. (4) For pairs
+    with the node most central there are compared with it and joined, which binds large groups with few comparisons.
+    (3) The order's prefix of each set, of which two linking sets must share a shingle, goes to its fragments. Shingles
+    that meet no other component there fall out, and those left bound what a set can share with any other. Fragments
+    then count partial overlaps for pairs of different components within that bound; the sum of a pair bounds it again. (4) For pairs
     within the bound, overlaps are counted fragment by fragment over whole sets and summed. All links between
     components of step 2 are found in steps 3 and 4, so components are exact, up to equal 60-bit hashes in one pair.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     digests = written(_digests(docs, n), "digests")
-    order = spark.sparkContext.broadcast(_classes(digests.where("cell is not null")))
-    rows = digests.where("cell is null")
+    order = spark.sparkContext.broadcast(_classes(digests.where("slice is not null").select("slice", "counts")))
+    rows = digests.where("slice is null")
     classes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("leads").alias("leads")), "classes")
 
     leads = classes.select("node", "n", F.explode("leads").alias("lead"))
-    hubs = leads.groupBy("lead").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("df")).where("df > 1")
+    common = leads.groupBy("lead").agg(F.count("*").alias("df")).where("df > 1")
+    leads = leads.join(common, "lead")
+    central = leads.groupBy("node").agg(F.sum(F.log2("df")).alias("central"))
+    leads = leads.drop("df").join(central, "node")
+    hubs = leads.groupBy("lead").agg(F.max(F.struct("central", "node", "n")).alias("hub"))
     near = leads.join(hubs, "lead").where("node != hub.node").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.first("hub.n").alias("na"), F.first("n").alias("nb"), F.count("*").alias("agree"))
     near = near.where((F.col("agree") * 3 >= F.least(F.lit(LEADS), "na", "nb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
     near = near.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("agree", "a")).alias("best")).select("best.a", "b", "best.na", "best.nb")
     first = written(_overlaps(near, docs, classes, n, threshold), "links")
     joined = connected_components(first)
 
-    sets = _prefixes(docs, n, threshold, order).where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    sets = sets.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("grams").alias("gram"))
-    fragment = F.shiftrightunsigned("gram", 60) * FRAGMENTS + F.shiftrightunsigned("gram", 60 - int(math.log2(FRAGMENTS))) % FRAGMENTS
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    postings = sets.repartition(parts, fragment).sortWithinPartitions("gram", "component")
-    pairs = _across(postings, threshold).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
-    rest = lambda c: F.col(c) - (F.col(c) - F.ceil(threshold * F.col(c) - 1e-9) + 1)  # noqa: E731  n-grams after the prefix
+    sets = _prefixes(docs, n, threshold, order).where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "last", "grams")])
+    sets = sets.join(joined, "node", "left").select("node", "n", "last", F.coalesce("component", "node").alias("component"), F.explode("grams").alias("gram"))
+    shared = _shared_postings(_in_fragments(sets))
+    most = F.size("grams") + F.ceil(threshold * F.col("n") - 1e-9) - 1
+    shared = shared.groupBy("node", "component", "n", "last").agg(F.collect_list("gram").alias("grams")).select("node", "component", "n", "last", most.alias("most"), F.explode("grams").alias("gram"))
+    pairs = _across(_in_fragments(shared), threshold).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
+    rest = lambda c: F.ceil(threshold * F.col(c) - 1e-9) - 1  # noqa: E731  n-grams after the prefix
     bound = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
     second = _overlaps(pairs.where(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= bound).select("a", "b", "na", "nb"), docs, classes, n, threshold)
     links = first.unionByName(second)
