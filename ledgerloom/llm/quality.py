@@ -17,6 +17,8 @@ BLOCK = 4
 #: Windows of a half chunk; a chunk is two half chunks, and chunks overlap by one.
 HALF = 32
 EMBED, FILTERS, HIDDEN = 8, 32, 16
+#: A byte is embedded with a flag: whether the four bytes from it on stand as many bytes earlier, too.
+LAGS = range(2, 21)
 
 
 @dataclass
@@ -39,7 +41,7 @@ def _new(seed: int) -> Network:
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     wide = BLOCK * EMBED
     zeros = lambda n: np.zeros(n, np.float32)
-    return Network(draw(256, EMBED, scale=0.5), draw(wide, FILTERS, scale=0.25), draw(wide, FILTERS, scale=0.25), zeros(FILTERS), draw(FILTERS, HIDDEN, scale=0.3), zeros(HIDDEN), draw(2 * HIDDEN, scale=0.3), zeros(1))
+    return Network(draw(512, EMBED, scale=0.5), draw(wide, FILTERS, scale=0.25), draw(wide, FILTERS, scale=0.25), zeros(FILTERS), draw(FILTERS, HIDDEN, scale=0.3), zeros(HIDDEN), draw(2 * HIDDEN, scale=0.3), zeros(1))
 
 
 def _layout(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +49,19 @@ def _layout(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(offs)
     halves = np.maximum(1, -(-length // (BLOCK * HALF)))
     at = np.concatenate(([0], np.cumsum(halves)))
-    padded = np.zeros(int(at[-1]) * BLOCK * HALF, np.uint8)
+    padded = np.zeros(int(at[-1]) * BLOCK * HALF + 3, np.uint8)
     padded[np.arange(len(raw)) + np.repeat(at[:-1] * BLOCK * HALF - offs[:-1], length)] = raw
-    return padded, at
+    four = padded[:-3].astype(np.uint32)
+    for k in (1, 2, 3):
+        four |= padded[k : len(padded) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+    again = np.zeros(len(four), bool)
+    for lag in LAGS:
+        again[lag:] |= four[lag:] == four[:-lag]
+    starts = at[:-1] * BLOCK * HALF
+    again[(starts[:, None] + np.arange(LAGS[-1])).ravel()] = False
+    again[((at[1:] * BLOCK * HALF)[:, None] - np.arange(1, 4)).ravel()] = False
+    padded = padded[:-3]
+    return padded + np.uint16(256) * (again & (padded > 0)), at
 
 
 def _pooled(net: Network, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +130,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
-def fit_network(texts: list[bytes], wanted: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.006, seed: int = 5) -> Network:
+def fit_network(texts: list[bytes], wanted: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.006, seed: int = 5) -> Network:
     """Adam on the logistic loss, both classes with half of the weight; the same rows give the same network."""
     net, rng = _new(seed), np.random.default_rng(seed)
     share = min(max(float(wanted.mean()), 0.02), 0.98) if len(wanted) else 0.5
@@ -144,7 +156,7 @@ def score(net: Network, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 30_000) -> Network:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_chars: int = 30_000) -> Network:
     """Network fitted to labels.quality of rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Fits on at most max_rows labelled documents of at most max_chars characters, chosen by hash: all that the driver

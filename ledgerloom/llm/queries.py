@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .language import fit_language, languages
+from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .quality import fit_quality, quality_scores
+from .sampling import fold
+from .sharding import kd_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +22,34 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))[0]
+
+
+def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True))
+    return languages(docs, fit_language(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = kd_shards(_table(spark, sf_dir, "documents"), 24)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_quality_network": op2_quality_network,
+    "op3_pareto_mix": op3_pareto_mix,
+    "op4_language_codes": op4_language_codes,
+    "op8_kd_shards": op8_kd_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
