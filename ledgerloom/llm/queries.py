@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .embeddings import embedding_components
 from .language import fit_language, languages
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -44,12 +45,17 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_network": op2_quality_network,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_language_codes": op4_language_codes,
     "op8_kd_shards": op8_kd_shards,
+    "op9_embedding_pq": op9_embedding_pq,
 }
 
 ORACLE_SQL: dict[str, str] = {}
