@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
 from .sampling import fold
+from .secrets import fit_ratios, secret_digests, secret_spans
 from .sharding import kd_shards
 
 
@@ -40,6 +41,11 @@ def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(docs, fit_language(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_digests(secret_spans(docs, fit_ratios(docs)))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kd_shards(_table(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_network": op2_quality_network,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_language_codes": op4_language_codes,
+    "op6_secret_markov": op6_secret_markov,
     "op8_kd_shards": op8_kd_shards,
     "op9_embedding_pq": op9_embedding_pq,
 }
