@@ -319,3 +319,18 @@ def ngram_components(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> Da
     named = named.join(least, "component").select("node", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, one row per doc_id; rows with null doc_id stay.
+
+    Only ids are written; the texts move in a shuffle only if the ids to drop are too many to send to all tasks.
+    """
+    found = written(ngram_components(docs, n, threshold).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "found")
+    gone = written(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")), "gone")
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    again = written(found.where("rows > 1 and doc_id = component_id").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(once)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontamination import leaks
 from .embeddings import embedding_components
 from .language import fit_language, languages
 from .mixing import mix_sources
@@ -55,6 +56,10 @@ def op9_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_network": op2_quality_network,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_markov": op6_secret_markov,
     "op8_kd_shards": op8_kd_shards,
     "op9_embedding_pq": op9_embedding_pq,
+    "op10_template_leaks": op10_template_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
