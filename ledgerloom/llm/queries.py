@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontamination import leaks
 from .embeddings import embedding_components
 from .language import fit_language, languages
+from .lines import line_decisions
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
@@ -47,6 +48,10 @@ def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(secret_spans(docs, fit_ratios(docs)))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_decisions(_table(spark, sf_dir, "documents"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kd_shards(_table(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_language_codes": op4_language_codes,
     "op6_secret_markov": op6_secret_markov,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_kd_shards": op8_kd_shards,
     "op9_embedding_pq": op9_embedding_pq,
     "op10_template_leaks": op10_template_leaks,
