@@ -267,6 +267,25 @@ def _in_fragments(postings: DataFrame) -> DataFrame:
     return postings.repartition(parts, fragment).sortWithinPartitions("gram", "component")
 
 
+def _within_bound(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that can still link, shared being the overlap of their prefixes: one set adds no more than what follows its own."""
+    rest = lambda c: F.ceil(threshold * F.col(c) - 1e-9) - 1
+    need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    return pairs.where(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b", "na", "nb")
+
+
+def _central_pairs(shared: DataFrame, threshold: float) -> DataFrame:
+    """Each set with the one of another component that can share most, of those that lead its posting lists; one pair per set."""
+    rows = shared.select("node", "component", "n", "last", "most", F.explode("grams").alias("gram"))
+    hub = F.max(F.struct((F.col("most") / F.col("n")).alias("ratio"), "node", "component", "n", "last", "most")).alias("hub")
+    met = rows.join(rows.groupBy("gram").agg(hub), "gram").where("component != hub.component")
+    need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("hub.n")) - 1e-9)
+    met = met.where(F.when(F.col("last") <= F.col("hub.last"), F.col("most")).otherwise(F.col("hub.most")) >= need)
+    pairs = met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.first("hub.n").alias("na"), F.first("n").alias("nb"), F.count("*").alias("shared"))
+    best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb", "shared"), F.struct("shared", "a")).alias("best"))
+    return _within_bound(best.select("best.a", "b", "best.na", "best.nb", "best.shared"), threshold)
+
+
 def ngram_components(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text).
 
@@ -279,8 +298,8 @@ def ngram_components(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> Da
     the order is cut into fragments. (1) Equal sets become one node. (2) Nodes that agree in several leading fragments
     with the node most central there are compared with it and joined, which binds large groups with few comparisons.
     (3) The order's prefix of each set, of which two linking sets must share a shingle, goes to its fragments. Shingles
-    that meet no other component there fall out, and those left bound what a set can share with any other. Fragments
-    then count partial overlaps for pairs of different components within that bound; the sum of a pair bounds it again. (4) For pairs
+    that meet no other component there fall out, and those left bound what a set can share with any other; each set is
+    compared with the one of largest bound that it meets, which binds what step 2 left of large groups. Fragments then count partial overlaps for pairs of different components within that bound; the sum of a pair bounds it again. (4) For pairs
     within the bound, overlaps are counted fragment by fragment over whole sets and summed. All links between
     components of step 2 are found in steps 3 and 4, so components are exact, up to equal 60-bit hashes in one pair.
     """
@@ -307,11 +326,15 @@ def ngram_components(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> Da
     sets = sets.join(joined, "node", "left").select("node", "n", "last", F.coalesce("component", "node").alias("component"), F.explode("grams").alias("gram"))
     shared = _shared_postings(_in_fragments(sets))
     most = F.size("grams") + F.ceil(threshold * F.col("n") - 1e-9) - 1
-    shared = shared.groupBy("node", "component", "n", "last").agg(F.collect_list("gram").alias("grams")).select("node", "component", "n", "last", most.alias("most"), F.explode("grams").alias("gram"))
-    pairs = _across(_in_fragments(shared), threshold).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
-    rest = lambda c: F.ceil(threshold * F.col(c) - 1e-9) - 1  # noqa: E731  n-grams after the prefix
-    bound = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    second = _overlaps(pairs.where(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= bound).select("a", "b", "na", "nb"), docs, classes, n, threshold)
+    shared = shared.groupBy("node", "component", "n", "last").agg(F.collect_list("gram").alias("grams"))
+    shared = written(shared.withColumn("most", most), "shared")
+    star = _overlaps(_central_pairs(shared, threshold), docs, classes, n, threshold)
+    first = written(first.unionByName(star), "links")
+    joined = connected_components(first).withColumnRenamed("component", "now")
+    shared = shared.join(joined, "node", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    postings = _in_fragments(shared.select("node", "component", "n", "last", "most", F.explode("grams").alias("gram")))
+    pairs = _across(postings, threshold).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
+    second = _overlaps(_within_bound(pairs, threshold), docs, classes, n, threshold)
     links = first.unionByName(second)
     joined = written(connected_components(links), "components")
     named = classes.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
