@@ -16,6 +16,7 @@ from .quality import fit_quality, quality_scores
 from .sampling import fold
 from .secrets import fit_ratios, secret_digests, secret_spans
 from .sharding import kd_shards
+from .surrogates import with_surrogates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(docs, fit_language(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(_table(spark, sf_dir, "documents"), "registered query")
+
+
 def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secret_digests(secret_spans(docs, fit_ratios(docs)))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_network": op2_quality_network,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_language_codes": op4_language_codes,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_secret_markov": op6_secret_markov,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_kd_shards": op8_kd_shards,
