@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .store import written
-from .textvec import U, blocks, mix, window_hashes, word_bounds, word_hashes
+from .textvec import U, blocks, mix, small, window_hashes, word_bounds, word_hashes
 
 #: Counters of the frequency sketch that orders the n-grams: its size, not its use, is fixed; any counts give an order that keeps all links.
 CELLS = 1 << 21
@@ -70,7 +70,7 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         bounds = (np.arange(LEADS, dtype=U) << U(60))[1:]
-        for b in batches:
+        for b in small(batches):
             size, name, leads, seen, held = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), [], [], 0
             for row, s in _sets(b, "text", n):
                 size[row] = len(s)
@@ -122,7 +122,7 @@ def _prefixes(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
-        for b in batches:
+        for b in small(batches):
             size, name, end, lead = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U), np.zeros(b.num_rows, U), []
             for row, s in _sets(b, "text", n):
                 size[row] = k = len(s)
@@ -239,7 +239,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, thr
     edges = (np.arange(1, PARTS, dtype=np.uint64) << U(64 - int(math.log2(PARTS)))).astype(U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             b = pa.Table.from_batches([b]).filter(pa.array(bits.value[b.column("bit").to_numpy()])).combine_chunks()
             for b in b.to_batches():
                 name, part, grams = [], [], []

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-STEP = 1 << 21
+STEP = 1 << 19
 U = np.uint64
 _BASE, _BASE_INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -38,6 +38,13 @@ def _power(n: int, which: str) -> np.ndarray:
     return _powers[which]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of one batch stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of each row and the end) for runs of rows of about STEP bytes; null is empty."""
     first = 0
