@@ -87,9 +87,9 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
                     seen, held = [], 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), _long(name), _lists(leads), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
-            small = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
+            capped = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in capped], pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, leads array<long>, slice int, counts binary")
 
