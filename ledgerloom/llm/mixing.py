@@ -48,7 +48,8 @@ def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: flo
     """One row per source: source_size, target, copies (whole copies of each document) and cuts.
 
     cuts holds, for each round, the largest size and rank of the documents that get one more copy. A round takes
-    documents in rank order as long as the words left allow; the next does so with documents that still fit.
+    documents in rank order as long as the words left allow; the next does so with documents that still fit. At the
+    end the smallest document left is taken if the source then comes nearer to its target than without.
     sized has doc_id, source, size and rank.
     """
     plan = source_targets(sized, weights, share, most)
@@ -74,7 +75,12 @@ def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: flo
         plan = plan.join(got, F.col("source").eqNullSafe(F.col("gs")), "left")
         cuts = F.concat("cuts", F.array(F.struct(F.col("left").alias("most"), F.col("last.rank").alias("rank"), F.col("last.doc_id").alias("doc_id"))))
         plan = written(plan.select("source", "source_size", "target", "copies", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), F.when(F.col("got").isNull(), F.col("cuts")).otherwise(cuts).alias("cuts")), "plan")
-    return plan
+    own = plan.select(F.col("source").alias("s"), "left", "cuts")
+    over = sized.join(own, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") > 0) & ~_chosen(F.col("size"), F.col("rank"), F.col("doc_id"), F.col("cuts")))
+    over = over.groupBy(F.col("source").alias("gs")).agg(F.min(F.struct("size", "rank", "doc_id")).alias("next"))
+    plan = plan.join(over, F.col("source").eqNullSafe(F.col("gs")), "left")
+    nearer = F.concat("cuts", F.array(F.struct(F.col("next.size").cast("double").alias("most"), F.col("next.rank").alias("rank"), F.col("next.doc_id").alias("doc_id"))))
+    return written(plan.select("source", "source_size", "target", "copies", F.when(F.col("next.size") < 2 * F.col("left"), nearer).otherwise(F.col("cuts")).alias("cuts")), "plan")
 
 
 def _chosen(size: Column, rank: Column, doc_id: Column, cuts: Column) -> Column:

@@ -160,7 +160,7 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, type string, plain string")
 
 
-def surrogate_map(originals: DataFrame, key: str, rounds: int = 12) -> DataFrame:
+def surrogate_map(originals: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     """type, plain, surrogate: one to one within a type's family, and no surrogate is an original.
 
     Every original draws a surrogate; where several drew one, all but the smallest draw again, and so does one that

@@ -47,7 +47,7 @@ def test_mix(spark):
         assert r["size"] == sizes[r["doc_id"], s] and r["source_size"] == by[s] and r["target"] == pytest.approx(want[s])
         taken[s] = taken.get(s, 0) + r["taken"]
     for s, n in taken.items():
-        assert abs(n - want[s]) <= max(8, 0.05 * want[s])
+        assert abs(n - want[s]) <= max(8, 0.1 * want[s])
     assert sorted(map(tuple, mix_sources(docs)[0].na.fill(-9).collect())) == sorted(map(tuple, out.na.fill(-9).collect()))
     mixed = mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["taken"] // r["size"] for r in rows if r["size"]) + sum(1 for _ in mixed.where("text is null or text = ''").collect())
@@ -87,9 +87,9 @@ def test_detect_and_dress():
 
 
 def test_surrogates_are_one_to_one(spark):
-    originals = spark.range(4000).select(F.lit("ssn").alias("type"), F.lpad(F.col("id").cast("string"), 4, "0").alias("plain"))
-    pairs = surrogate_map(originals.where("plain < '3000'"), "k").collect()
-    assert len({r["surrogate"] for r in pairs}) == 3000 and not {r["surrogate"] for r in pairs} & {r["plain"] for r in pairs} or len(pairs) == 3000
+    originals = spark.range(600).select(F.lit("ssn").alias("type"), F.lpad(F.col("id").cast("string"), 4, "0").alias("plain"))
+    pairs = surrogate_map(originals.unionByName(originals), "k").collect()
+    assert len(pairs) == len({r["surrogate"] for r in pairs}) == 600 and not {r["surrogate"] for r in pairs} & {r["plain"] for r in pairs}
 
 
 def test_with_surrogates(spark):
@@ -97,7 +97,7 @@ def test_with_surrogates(spark):
     rows = with_surrogates(docs, "key").collect()
     text = {r["doc_id"]: r["text"] for r in rows}
     mail = text[2].split(" ")[0]
-    assert len(rows) == 7 and mail in text[1] and text[1].count(mail) == 2 and "kari" not in text[1].lower() and text[3] is None and text[4] == "" and text[5] == "clean text"
+    assert len(rows) == 7 and mail in text[1] and text[1].lower().count(mail) == 2 and "kari" not in text[1].lower() and text[3] is None and text[4] == "" and text[5] == "clean text"
     assert text[2].split("; ")[1] == text[None] != "10.1.2.3"
     assert with_surrogates(docs.limit(0), "key").count() == 0
 
