@@ -12,9 +12,9 @@ from ledgerloom.operators import lobs as L
 from ledgerloom.sources import readers, writers
 from ledgerloom.streaming.intake import format_counts, start_intake
 
-CATALOG = """<?xml version="1.0"?><siardArchive xmlns="urn:x"><schemas><schema><name>Main</name><folder>schema0</folder><tables><table><name>Person</name><folder>table0</folder>
+CATALOG = """<?xml version="1.0"?><archive xmlns="urn:x"><schemas><schema><name>Main</name><folder>schema0</folder><tables><table><name>Person</name><folder>table0</folder>
 <columns><column><name>id</name><type>INTEGER</type><nullable>false</nullable></column><column><name>navn</name><type>VARCHAR(50)</type><description>Name</description></column><column><name>dok</name><lobFolder>lob3</lobFolder><type>BLOB</type></column></columns>
-<primaryKey><name>pk</name><column>id</column></primaryKey><foreignKeys><foreignKey><name>fk</name><referencedSchema>Main</referencedSchema><referencedTable>Code</referencedTable><reference><column>id</column><referenced>id</referenced></reference></foreignKey></foreignKeys><rows>3</rows></table></tables></schema></schemas></siardArchive>"""
+<primaryKey><name>pk</name><column>id</column></primaryKey><foreignKeys><foreignKey><name>fk</name><referencedSchema>Main</referencedSchema><referencedTable>Code</referencedTable><reference><column>id</column><referenced>id</referenced></reference></foreignKey></foreignKeys><rows>3</rows></table></tables></schema></schemas></archive>"""
 ROWS = """<?xml version="1.0"?><table xmlns="urn:x">
 <row><c1>1</c1><c2>Kari &amp; co</c2><c3 file="rec1.bin" length="4" digest="AB"/></row>
 <row><c1>2</c1><c2></c2></row>
