@@ -89,11 +89,6 @@ def recover_payload(i: Inputs) -> DataFrame:
     return L.recover_payload(_packed(i)).select("path", "route", F.length("content").alias("length"))
 
 
-@demo()
-def container_profile(i: Inputs) -> DataFrame:
-    return L.container_profile(_packed(i))
-
-
 @demo(f"WITH {TRI} SELECT path, ext, encrypted, route FROM ti")
 def triage(i: Inputs) -> DataFrame:
     return L.triage(_ident(i))
