@@ -211,7 +211,7 @@ def _across(postings: DataFrame, threshold: float) -> DataFrame:
     return postings.mapInArrow(run, "a long, b long, na long, nb long, shared long")
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
+def filter_bits(ids: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, set at the hashes of ids: 1 MB whatever the number of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +221,12 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.select(_bit(ids["doc_id"]).alias("bit")).coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in ids.select(doc_bit(ids["doc_id"]).alias("bit")).coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         bits |= np.frombuffer(row["bits"], np.uint8)
     return np.unpackbits(bits).astype(bool)
 
 
-def _bit(column):
+def doc_bit(column):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
 
 
@@ -235,7 +235,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, thr
     spark = docs.sparkSession
     pairs = written(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_bits(nodes.join(classes, "node").select("doc_id")))
+    bits = spark.sparkContext.broadcast(filter_bits(nodes.join(classes, "node").select("doc_id")))
     edges = (np.arange(1, PARTS, dtype=np.uint64) << U(64 - int(math.log2(PARTS)))).astype(U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, thr
                         grams += np.split(s, np.searchsorted(s, edges))
                 yield pa.RecordBatch.from_arrays([_long(np.array(name, U)), pa.array(part, pa.int32()), _lists(grams)], ["node", "part", "grams"])
 
-    sets = docs.select("text", _bit(docs["doc_id"]).alias("bit")).mapInArrow(run, "node long, part int, grams array<long>").where(F.size("grams") > 0)
+    sets = docs.select("text", doc_bit(docs["doc_id"]).alias("bit")).mapInArrow(run, "node long, part int, grams array<long>").where(F.size("grams") > 0)
     sets = sets.groupBy("node", "part").agg(F.first("grams").alias("grams"))
     left = pairs.select("a", "b", F.explode(F.array([F.lit(k) for k in range(PARTS)])).alias("part"))
     left = left.join(sets.select(F.col("node").alias("b"), "part", F.col("grams").alias("right")), ["b", "part"])

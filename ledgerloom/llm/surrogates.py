@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .ngram_join import doc_bit, filter_bits
 from .store import written
-from .textvec import BYTE, blocks, word_bounds, word_hashes
+from .textvec import BYTE, blocks, small, word_bounds, word_hashes
 
 # Given names by gender, titles by gender, all in the scripts the names are written in.
 FEMALE = "Anna Maria Emma Sofia Laura Julia Sarah Elena Marta Ines Lucia Claire Camille Hannah Katharina Greta Mary Linda Susan Jennifer Emily Olivia Анна Мария Елена Ольга Наталья Ирина Μαρία Ελένη Σοφία".split()
@@ -195,13 +196,26 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     One original has one surrogate in all documents, mentions in other formats included, and two originals never share
     one. Titles, separators, case and length of numbers stay; cards keep a valid check digit; e-mail addresses of one
     domain stay together. Null text stays null, text without entities stays as it is; repeated rows come out as often as
-    they go in. A null doc_id is treated like any other. An empty table gives an empty result.
+    they go in. A null doc_id is treated like any other. An empty table gives an empty result. Only documents that a fixed-size
+    filter of ids lets through are joined with their entities; the texts of the others do not move.
     """
     found = written(entities(docs), "entities")
     pairs = surrogate_map(found.select("type", "plain"), key)
     per = found.join(pairs, ["type", "plain"]).groupBy("doc_id").agg(F.collect_set(F.concat_ws("\x1f", "type", "plain", "surrogate")).alias("pairs"))
     per = written(per.withColumnRenamed("doc_id", "own_id"), "pairs")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(per, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "pairs")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(per.select(F.col("own_id").alias("doc_id"))))
+
+    def only(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small(batches):
+                hit = bits.value[b.column("bit").to_numpy()] == wanted
+                yield from pa.Table.from_batches([b]).select(["doc_id", "text"]).filter(pa.array(hit)).to_batches()
+
+        rows = docs.select(F.col("doc_id").cast("long"), "text", doc_bit(F.col("doc_id").cast("long")).alias("bit"))
+        return rows.mapInArrow(run, "doc_id long, text string")
+
+    rows = only(True).join(per, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "pairs")
+    plain = only(False).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("types"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,4 +234,4 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
             new = texts if not changed else pa.array([changed.get(r, t) for r, t in enumerate(texts.to_pylist())], texts.type)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), new, pa.array(counts), pa.array(kinds, pa.list_(pa.string()))], ["doc_id", "text", "n_entities", "types"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, n_entities long, types array<string>")
+    return rows.mapInArrow(run, "doc_id long, text string, n_entities long, types array<string>").unionByName(plain)
