@@ -49,7 +49,9 @@ def format_of(content: Column) -> Column:
         hit = head.startswith(sig) | within(sig) if sig[:2] in ("7B", "3C", "25") else head.startswith(sig)
         out = out.when(hit, kind(ext, mime))
     out = out.when(head.startswith("3C215750546F6F6C73"), kind("wpt", "application/x-wptools")).when(head.startswith("3C"), kind("xml", "application/xml"))
-    plain = ~window.rlike("^(?:..)*00") & F.is_valid_utf8(F.substring(content, 1, 512).cast("string"))
+    valid = lambda n: F.is_valid_utf8(F.substring(content, 1, n).cast("string"))
+    cut = (F.length(content) > 512) & (valid(511) | valid(510) | valid(509))  # the window may end within a character
+    plain = ~window.rlike("^(?:..)*00") & (valid(512) | cut)
     return out.when(plain, kind("txt", "text/plain")).otherwise(kind("bin", "application/octet-stream"))
 
 
