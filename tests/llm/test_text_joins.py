@@ -1,5 +1,6 @@
 """N-gram join, line dedup and decontamination against brute force, and their edge cases."""
 
+import random
 import re
 from itertools import combinations
 
@@ -116,6 +117,28 @@ def test_lines_brute_force(spark):
     assert text
 
 
+def test_near_lines_are_in_one_group(spark):
+    """Every brute-force near pair is in one group, and no group joins lines without a chain of near pairs."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    lines = ["de.", "die.", "del.", "con.", "on.", "abcdefgh", "abxdeffh", "x" * 40 + "abcdefghij" * 6, "x" * 40 + "abcdefghij" * 5 + "abc-efghij"]
+    for n in (2, 4, 7, 10, 20, 28, 60):
+        for _ in range(6):
+            w = [word() for _ in range(n)]
+            lines.append(" ".join(w))
+            for changed in {1, max(1, n // 12), max(1, n // 7)}:
+                v = list(w)
+                for k in rng.sample(range(n), changed):
+                    v[k] = word()
+                lines.append(" ".join(v))
+    lines = list(dict.fromkeys(lines))
+    links = [(a, b) for a, b in combinations(range(len(lines)), 2) if _distance(lines[a], lines[b]) <= 0.25 * max(len(lines[a]), len(lines[b])) + 1e-9]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = groups(links, range(len(lines)))
+    assert len(links) > 60
+    assert {r["doc_id"]: r["n_dropped"] for r in line_decisions(df).collect()} == {k: int(want[k] != k) for k in want}
+
+
 QUESTION = "If Maria Lopez buys 12 apples at 3 euros each and then sells 5 of them to Peter Hansen for 20 euros how much money does she have left at the end of the day?"
 
 
