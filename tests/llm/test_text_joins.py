@@ -167,6 +167,23 @@ def test_slots_must_agree(spark):
     assert [r["doc_id"] for r in leaks(d, b).collect()] == [1]
 
 
+def test_each_occurrence_is_judged_alone(spark):
+    other = QUESTION.replace("Maria Lopez", "Greta Olsen").replace("12", "40").replace("3", "8").replace("20", "90").replace("Peter Hansen", "Jan Berg")
+    third = QUESTION.replace("Maria Lopez", "Olga Braun").replace("12", "77").replace("5", "6").replace("Peter Hansen", "Luis Sommer")
+    d = spark.createDataFrame([(1, f"{QUESTION} {other}"), (2, f"{other} Some words between. {third} {QUESTION}")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, QUESTION), (2, other)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks(d, b).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_short_dense_and_rewrapped_items(spark):
+    dense = "3 4 5 6 plus 7 8 9 10 plus 11 12 13 14"
+    tom = "Tom has 5 apples in his bag. Tom gives 3 of them to Anna today. Tom then eats 1 more of them."
+    items = [(1, "which planet is the largest"), (2, dense), (3, tom), (4, QUESTION)]
+    docs = [(1, "He asked: WHICH planet\nis the largest? Nobody knew."), (2, f"Compute {dense} now"), (3, tom.replace("Tom", "Greta").replace("5", "9")), (4, QUESTION.upper()), (5, QUESTION.replace(" Maria", "\nMaria").replace(" Peter", "\nPeter").lower()), (6, re.sub(r"\d+", lambda m: str(int(m[0]) + 20), dense)), (7, "which planet is the smallest")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks(d, b).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)]
+
+
 def test_leaks_against_plain_13_grams(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     words = lambda t: re.findall(r"\w+", t.lower())
