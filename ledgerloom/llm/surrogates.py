@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .ngram_join import doc_bit, filter_bits
 from .store import written
-from .textvec import BYTE, blocks, small, word_bounds, word_hashes
+from .textvec import small
 
 # Given names by gender, titles by gender, all in the scripts the names are written in.
 FEMALE = "Anna Maria Emma Sofia Laura Julia Sarah Elena Marta Ines Lucia Claire Camille Hannah Katharina Greta Mary Linda Susan Jennifer Emily Olivia Анна Мария Елена Ольга Наталья Ирина Μαρία Ελένη Σοφία".split()
@@ -38,14 +39,7 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 _TITLE = "|".join(TITLES_F + TITLES_M + TITLES_ANY)
 _GIVEN = "|".join(FEMALE + MALE)
 _NAME = re.compile(rf"\b(?:(?P<title>{_TITLE})\.? )?(?:(?P<given>{_GIVEN}) )?(?P<family>{_WORD})")
-_ALNUM = np.ones(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-
-
-def _hashes(names: list[str]) -> np.ndarray:
-    raw = np.frombuffer(" ".join(names).encode(), np.uint8)
-    starts, ends, _ = word_bounds(raw, np.array([0, len(raw)]), _ALNUM)
-    return np.sort(word_hashes(raw, starts, ends, BYTE))
+_ALONE, _PART = re.compile(_WORD), re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -61,7 +55,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities of a text, in order, apart from each other.
 
     Types: email, ip, phone, card (13 to 19 digits that pass the Luhn test), ssn, and parts of names: a family name
-    after a title or a given name, and given names with gender. The normal form is what mentions of one entity share.
+    after a title or a given name, and given names with gender; where such names stand, also every other mention of
+    them alone, before or after. The normal form is what mentions of one entity share.
     """
     found = []
     for kind, pattern in (("email", _EMAIL), ("ip", _IP), ("card", _CARD), ("ssn", _SSN), ("phone", _PHONE)):
@@ -76,6 +71,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start("given"), m.end("given"), f"given_{gender}_{_script(m['given'])}", m["given"].lower()))
             if m["family"] not in FEMALE and m["family"] not in MALE:
                 found.append((m.start("family"), m.end("family"), f"family_{_script(m['family'])}", m["family"].lower()))
+    names = {}
+    for start, end, kind, plain in sorted(found):
+        if kind.startswith(("given", "family")):
+            names.setdefault(plain, (kind, plain))
+    if names:
+        full = {(s[0], s[1]) for s in found}
+        for m in _ALONE.finditer(text):
+            # a part of a hyphenated word is a mention too, and so is a name before a possessive ending
+            for start, end in [m.span()] if m[0].lower() in names else [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]:
+                if text[start].isupper() and (start, end) not in full and text[start:end].lower() in names:
+                    found.append((start, end, *names[text[start:end].lower()]))
     out, end = [], 0
     for s in sorted(found, key=lambda s: (s[0], -s[1])):
         if s[0] >= end:
@@ -130,28 +136,20 @@ def dressed(mention: str, kind: str, plain: str) -> str:
     return plain.capitalize() if mention[0].isupper() and kind != "email" else plain
 
 
-def _suspects(batch: pa.RecordBatch, names: np.ndarray) -> Iterator[int]:
-    """Rows with a digit, an @ or a word that is a title or given name: only there can an entity be."""
-    marks = np.zeros(256, bool)
-    marks[[64, *range(48, 58)]] = True
-    for first, raw, offs in blocks(batch.column("text")):
-        hit = np.concatenate(([0], np.cumsum(marks[raw])))
-        rows = (hit[offs[1:]] - hit[offs[:-1]]) > 0
-        starts, ends, own = word_bounds(raw, offs, _ALNUM)
-        h = word_hashes(raw, starts, ends, BYTE)
-        known = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h
-        rows[own[known]] = True
-        yield from (first + np.flatnonzero(rows)).tolist()
+def _suspects(batch: pa.RecordBatch) -> Iterator[int]:
+    """Rows with a digit, an @ or the letters of a title or given name anywhere: only there can an entity be."""
+    marks = pc.match_substring_regex(batch.column("text"), f"[0-9@]|{_TITLE}|{_GIVEN}")
+    other = pc.match_substring_regex(batch.column("text"), r"\p{Nd}")  # digits of other scripts
+    yield from np.flatnonzero(pc.fill_null(pc.or_(marks, other), False).to_numpy(zero_copy_only=False)).tolist()
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, type, plain: each entity of each document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _hashes(FEMALE + MALE + TITLES_F + TITLES_M + TITLES_ANY)
         for b in batches:
             ids, kinds, plains = [], [], []
-            for r in _suspects(b, names):
+            for r in _suspects(b):
                 for kind, plain in sorted({s[2:] for s in detect(b.column("text")[r].as_py())}):
                     ids.append(b.column("doc_id")[r].as_py())
                     kinds.append(kind)
