@@ -99,9 +99,12 @@ def folder_of(path: Column) -> Column:
 def file_organization(ledger: DataFrame) -> DataFrame:
     """Counts by folder, status and type, and each folder's total, distinct statuses and types (grouping level 'folder')."""
     rows = with_status(ledger).select(folder_of(F.col("src_path")).alias("folder"), "status", F.col("src_ext").alias("type"))
-    cells = rows.groupBy("folder", "status", "type").agg(F.count("*").alias("n")).withColumn("level", F.lit("cell"))
-    totals = rows.groupBy("folder").agg(F.countDistinct("status").cast("string").alias("status"), F.countDistinct("type").cast("string").alias("type"), F.count("*").alias("n"), F.lit("folder").alias("level"))
-    return cells.unionByName(totals)
+    cells = rows.groupBy("folder", "status", "type").agg(F.count("*").alias("n"))
+    cells = cells.groupBy("folder").agg(F.collect_list(F.struct("status", "type", "n")).alias("cells"))  # one entry for each status and type
+    distinct = lambda c: F.size(F.array_distinct(F.filter(F.col(f"cells.{c}"), lambda v: v.isNotNull()))).cast("string")
+    total = F.struct(distinct("status").alias("status"), distinct("type").alias("type"), F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]).alias("n"), F.lit("folder").alias("level"))
+    each = F.transform("cells", lambda c: F.struct(c["status"].alias("status"), c["type"].alias("type"), c["n"].alias("n"), F.lit("cell").alias("level")))
+    return cells.select("folder", F.explode(F.concat(each, F.array(total))).alias("c")).select("folder", "c.*")
 
 
 def format_distribution(inv: DataFrame, top: int = 8) -> DataFrame:
@@ -115,8 +118,10 @@ def format_distribution(inv: DataFrame, top: int = 8) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """The first k rows of each group, with the group's size and how many stay out."""
-    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).withColumn("in_group", F.count("*").over(W.partitionBy(group)))
-    return ranked.where(F.col("rank") <= k).withColumn("more", F.greatest(F.col("in_group") - k, F.lit(0)))
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("in_group"))
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+    joined = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+    return joined.withColumn("more", F.greatest(F.col("in_group") - k, F.lit(0)))
 
 
 def run_summary(steps: DataFrame) -> DataFrame:

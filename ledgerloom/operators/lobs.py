@@ -5,13 +5,22 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import lzma
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import BinaryIO, TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import decoded
+from .relations import numbered
+
+T = TypeVar("T")
+
 # Leading bytes in hex, extension and MIME type, in order of precedence.
 SIGNATURES = [
     ("25504446", "pdf", "application/pdf"), ("D0CF11E0", "doc", "application/msword"), ("89504E47", "png", "image/png"), ("FFD8FF", "jpg", "image/jpeg"), ("47494638", "gif", "image/gif"),
@@ -79,11 +88,14 @@ def is_hex(c: Column) -> Column:
 
 
 def extract_hex(cells: DataFrame, least: int = 200) -> DataFrame:
-    """Hex cells decoded: short ones become inline text, longer ones record files named by row, with length and MD5."""
+    """Hex cells decoded: short ones become inline text, longer ones record files named by row, with length and MD5.
+
+    Inline text is UTF-8 or else Windows-1252; control characters but tab and line ends become the replacement character.
+    """
     raw = F.try_to_binary("value", F.lit("hex"))
     out = cells.where(is_hex(F.col("value"))).withColumn("raw", raw)
     small = F.length("raw") < least
-    text = F.regexp_replace(F.try_validate_utf8(F.col("raw").cast("string")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    text = F.regexp_replace(decoded(F.col("raw")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "\ufffd")
     return out.select(
         "table_key", "row_pos", "col_idx", F.when(small, "inline").otherwise("file").alias("kind"), F.when(small, text).alias("text"),
         F.when(~small, F.concat(F.lit("xrec"), F.col("row_pos") + 1, F.lit(".bin"))).alias("file"), F.length("raw").cast("long").alias("length"), F.upper(F.md5("raw")).alias("md5"),
@@ -95,7 +107,8 @@ def extract_inline(cells: DataFrame) -> DataFrame:
     squeezed = F.regexp_replace("value", r"\s+", "")
     hexed = is_hex(squeezed) & (F.length(squeezed) >= 8)
     rows = cells.where("value is not null and value != ''").withColumn("content", F.when(hexed, F.try_to_binary(squeezed, F.lit("hex"))).otherwise(F.encode("value", "UTF-8")))
-    rows = rows.withColumn("f", format_of(F.col("content"))).withColumn("at", F.row_number().over(W.partitionBy("table_key").orderBy("row_pos")))
+    rows = rows.withColumn("f", format_of(F.col("content")))
+    rows = numbered(rows, "table_key", ["row_pos"])
     return rows.select("table_key", "row_pos", F.when(hexed, "hex").otherwise("text").alias("step"), F.concat(F.lit("rec"), "at", F.lit("."), "f.ext").alias("name"), F.length("content").cast("long").alias("length"), F.col("f.ext").alias("ext"))
 
 
@@ -107,36 +120,74 @@ def base64_payload(c: Column) -> Column:
     return F.when((F.length(plain) >= 48) & bare.rlike("^[A-Za-z0-9+/]+$") & (F.length(bare) % 4 != 1), F.try_to_binary(padded, F.lit("base64")))
 
 
-def _unpacked(data: bytes) -> tuple[str, list[tuple[str, bytes]]]:
-    """Container kind and members; a stream with a 4-byte length before it counts, too. Broken containers have none."""
+def _member_streams(data: bytes) -> tuple[str, Iterator[tuple[str, BinaryIO]]]:
+    """Container kind by leading bytes, and its members as streams; a bz2 stream with a 4-byte length before it counts, too."""
+
+    def zip_members() -> Iterator[tuple[str, BinaryIO]]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for info in z.infolist():
+                if info.flag_bits & 1:
+                    raise PermissionError(info.filename)
+                if not info.is_dir():
+                    yield info.filename, z.open(info)
+
+    def tar_members() -> Iterator[tuple[str, BinaryIO]]:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            for m in t:
+                if m.isfile():
+                    yield m.name, t.extractfile(m)
+
+    if data[:4] == b"PK\x03\x04":
+        return "zip", zip_members()
+    if data[:2] == b"\x1f\x8b":
+        return "gz", iter([("", gzip.GzipFile(fileobj=io.BytesIO(data)))])
+    for skip in (0, 4):
+        if data[skip : skip + 3] == b"BZh":
+            return "bz2", iter([("", bz2.BZ2File(io.BytesIO(data[skip:])))])
+    return ("tar", tar_members()) if data[257:262] == b"ustar" else ("none", iter(()))
+
+
+def _members(data: bytes | None, use: Callable[[str, BinaryIO], T], most: int | None = None) -> tuple[str, list[T]]:
+    """Container kind and use(name, stream) of each member, of the first ones if most is given; kind broken or encrypted, without members, where it cannot be read whole."""
+    kind, streams = _member_streams(data or b"")
     try:
-        if data[:4] == b"PK\x03\x04":
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                return "zip", [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
-        if data[:2] == b"\x1f\x8b":
-            return "gz", [("", gzip.decompress(data))]
-        for skip in (0, 4):
-            if data[skip : skip + 3] == b"BZh":
-                return "bz2", [("", bz2.decompress(data[skip:]))]
-        if data[257:262] == b"ustar":
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                return "tar", [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
-    except (OSError, EOFError, ValueError, zipfile.BadZipFile, tarfile.TarError):
-        pass
-    return "none", []
-
-
-def recover_payload(inv: DataFrame) -> DataFrame:
-    """path, route, content: payloads of LARGEST bytes or fewer unpacked (single member), or decoded from base-64 or hex; others as they are."""
+        return kind, [use(name, stream) for name, stream in islice(streams, most)]
+    except PermissionError:
+        return "encrypted", []
+    except (OSError, EOFError, ValueError, RuntimeError, zlib.error, lzma.LZMAError, zipfile.BadZipFile, tarfile.TarError):
+        return "broken", []
+
+
+def recover_payload(inv: DataFrame, largest: int = 1 << 30) -> DataFrame:
+    """path, route, content: containers of one member unpacked, text decoded from hex or base-64, others as they are.
+
+    Text is decoded up to LARGEST bytes. A container that is damaged has the route broken, one with a password encrypted, one whose
+    member exceeds largest bytes oversize: a guard against bombs, such a payload stays packed. Null content stays null.
+    """
+
+    def recovered(content: bytes | None) -> tuple[str, bytes | None]:
+        first: list[bytes] = []
+
+        def read(_: str, stream: BinaryIO) -> int:
+            if not first:
+                first.append(stream.read(largest + 1))
+            return 1
+
+        kind, members = _members(content, read, 2)
+        if kind in ("broken", "encrypted") or len(members) != 1:
+            return (kind if kind in ("broken", "encrypted") else "as_is"), content
+        return (kind, first[0]) if len(first[0]) <= largest else ("oversize", content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for b in batches:
-            routes, contents = [], []
-            for c in b["content"]:
-                kind, members = _unpacked(c) if c is not None and len(c) <= LARGEST else ("none", [])
-                routes.append(kind if len(members) == 1 else "as_is")
-                contents.append(members[0][1] if len(members) == 1 else c)
-            yield pd.DataFrame({"path": b["path"], "route": routes, "content": contents})
+            for path, content in zip(b["path"], b["content"], strict=True):
+                rows.append((path, *recovered(content)))
+                held += len(rows[-1][2] or b"")
+                if held > 32 << 20:
+                    yield pd.DataFrame(rows, columns=["path", "route", "content"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["path", "route", "content"])
 
     out = inv.select("path", "content").mapInPandas(run, "path string, route string, content binary")
     text = F.when(F.length("content") <= LARGEST, F.try_validate_utf8(F.col("content").cast("string")))
@@ -146,15 +197,22 @@ def recover_payload(inv: DataFrame) -> DataFrame:
 
 
 def container_profile(inv: DataFrame) -> DataFrame:
-    """path, kind, members, bytes and all_text of each container."""
+    """path, kind, members, bytes and all_text of each container; a broken or encrypted one has no members. Members are read as streams."""
+
+    def measured(_: str, stream: BinaryIO) -> tuple[int, bool]:
+        head = stream.read(512)
+        size = len(head)
+        while part := stream.read(1 << 20):
+            size += len(part)
+        return size, b"\x00" not in head
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, c in zip(b["path"], b["content"], strict=True):
-                kind, members = _unpacked(c) if c is not None else ("none", [])
-                if members:
-                    rows.append((path, kind, len(members), sum(len(m) for _, m in members), all(b"\x00" not in m[:512] for _, m in members)))
+                kind, members = _members(c, measured)
+                if members or kind in ("broken", "encrypted"):
+                    rows.append((path, kind, len(members), sum(n for n, _ in members), all(text for _, text in members)))
             yield pd.DataFrame(rows, columns=["path", "kind", "members", "bytes", "all_text"])
 
     return inv.select("path", "content").mapInPandas(run, "path string, kind string, members long, bytes long, all_text boolean")
@@ -214,8 +272,9 @@ def package_estimate(files: DataFrame, factor: float = 2.0) -> DataFrame:
 
 
 def record_names(cells: DataFrame) -> DataFrame:
-    at = F.row_number().over(W.partitionBy("table_key").orderBy("row_pos"))
-    return cells.select("table_key", "row_pos", F.concat(F.lit("xrec"), F.col("row_pos") + 1).alias("by_row"), F.concat(F.lit("rec"), at).alias("by_count"), F.concat(F.lit("LOB"), F.lpad(at.cast("string"), 6, "0")).alias("padded"))
+    at = F.col("at")
+    named = numbered(cells.select("table_key", "row_pos"), "table_key", ["row_pos"])
+    return named.select("table_key", "row_pos", F.concat(F.lit("xrec"), F.col("row_pos") + 1).alias("by_row"), F.concat(F.lit("rec"), at).alias("by_count"), F.concat(F.lit("LOB"), F.lpad(at.cast("string"), 6, "0")).alias("padded"))
 
 
 def type_hints(rows: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
@@ -238,8 +297,12 @@ def mask_inline_blobs(df: DataFrame, columns: list[str], placeholder: bytes = b"
 
 
 def replace_lobs(inv: DataFrame, placeholders: DataFrame) -> DataFrame:
-    """path, kind, new_length and new_md5 after each file is replaced by the placeholder of its format (kind 'bin' without one)."""
-    other = placeholders.where("kind = 'bin'").select(F.col("content").alias("other"))
-    out = inv.join(placeholders.withColumnRenamed("kind", "ext"), "ext", "left").crossJoin(F.broadcast(other))
+    """path, kind, new_length and new_md5 after each file is replaced by the placeholder of its format, else by that of kind 'bin', else by no bytes.
+
+    placeholders: kind, content; of several of a kind, the one with the least bytes in order counts.
+    """
+    own = placeholders.groupBy(F.col("kind").alias("ext")).agg(F.min("content").alias("content"))
+    other = placeholders.where("kind = 'bin'").agg(F.min("content").alias("other"))
+    out = inv.join(own, "ext", "left").crossJoin(F.broadcast(other)).withColumn("other", F.coalesce("other", F.lit(b"")))
     content = F.coalesce("content", "other")
     return out.select("path", F.when(F.col("content").isNotNull(), F.col("ext")).otherwise("bin").alias("kind"), F.length(content).cast("long").alias("new_length"), F.upper(F.md5(content)).alias("new_md5"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -33,9 +30,9 @@ EXCLUDED = "poststed poststad postalplace postplace".split()
 NAME_TYPES = ("CITY", "ADDRESS", "FIRST_NAME", "LAST_NAME", "FULL_NAME")
 STRONG_NAME = "fornavn etternavn slektsnavn mellomnavn fulltnavn firstname lastname surname givenname familyname forename".split()
 #: Names that the dictionary knows: first and last names, in small letters. A list of another country can be given.
-KNOWN_FIRST = "kari ola liv anne per nina jan lars hans ingrid eva john mary anna peter".split()
-KNOWN_LAST = "hansen berg solberg moen dahl lund strand olsen larsen johansen".split()
-AMBIGUOUS_FIRST = "per liv dag bo".split()
+KNOWN_FIRST = ("kari", "ola", "liv", "anne", "per", "nina", "jan", "lars", "hans", "ingrid", "eva", "john", "mary", "anna", "peter")
+KNOWN_LAST = ("hansen", "berg", "solberg", "moen", "dahl", "lund", "strand", "olsen", "larsen", "johansen")
+AMBIGUOUS_FIRST = ("per", "liv", "dag", "bo")
 VALUE_TYPES = ("FNR", "FIRST_NAME", "LAST_NAME", "FULL_NAME", "ADDRESS", "POSTNR", "CITY", "EMAIL")
 
 
@@ -47,10 +44,9 @@ def tail_samples(cells: DataFrame, rows: int = 500, values: int = 50) -> DataFra
     return tail.withColumn("at", at).where(F.col("at") <= values).select("table_key", "col_name", "row_pos", "value")
 
 
-def column_profile(sample: DataFrame) -> DataFrame:
+def column_profile(sample: DataFrame, known: Sequence[str] = KNOWN_FIRST + KNOWN_LAST) -> DataFrame:
     """Shares of each column's non-blank values that look like files, numbers, identity numbers, postcodes, mail, names; and lengths."""
     v = F.col("value")
-    known = KNOWN_FIRST + KNOWN_LAST
     share = lambda p, name: F.round(F.avg(p.cast("int")), 6).alias(name)
     return sample.where(F.trim("value") != "").groupBy("table_key", "col_name").agg(
         F.count("*").alias("n"), share(T.looks_like_file(v), "files"), share(F.trim("value").rlike("^[0-9]+$"), "numbers"), share(F.length(T.digits(v)) == 11, "eleven"),
@@ -95,18 +91,18 @@ def classify_columns(profile: DataFrame) -> DataFrame:
     return profile.withColumn("c", out).select("table_key", "col_name", "c.pii_type", "c.source")
 
 
-def may_replace(kind: str, v: Column) -> Column:
+def may_replace(kind: str, v: Column, known: Sequence[str] = KNOWN_FIRST + KNOWN_LAST) -> Column:
     """Last guard before a value is replaced: blank cells, file names and values that lack the type's form stay."""
     form = {"FNR": F.length(T.digits(v)) == 11, "POSTNR": F.trim(v).rlike("^[0-9]{4}$"), "EMAIL": T.email_valid(v), "CITY": v.rlike(r"\p{L}"), "ADDRESS": v.rlike(r"\p{L}")}
-    names = T.name_shape(v, KNOWN_FIRST + KNOWN_LAST)
+    names = T.name_shape(v, known)
     return F.coalesce((F.trim(v) != "") & ~T.looks_like_file(v) & form.get(kind, names), F.lit(False))
 
 
-def stand_in(kind: str, v: Column) -> Column:
+def stand_in(kind: str, v: Column, known: Sequence[str] = KNOWN_FIRST + KNOWN_LAST) -> Column:
     """The replacement of a value of a type, or the value itself where the guard says no."""
     fake = T.let(F.trim(v), T.FAKES[kind])
     fake = T.let(fake, lambda f: T.like_case(v, f)) if kind.endswith("NAME") else fake
-    return F.when(may_replace(kind, v), fake).otherwise(v)
+    return F.when(may_replace(kind, v, known), fake).otherwise(v)
 
 
 def pseudonymize(df: DataFrame, types: Mapping[str, str], max_len: Mapping[str, int] | None = None) -> DataFrame:
@@ -145,103 +141,103 @@ def dict_tokens(cells: DataFrame, names: DataFrame) -> DataFrame:
     return words.join(names, "token").groupBy("col_name", "token", "kind").agg(F.count("*").alias("n"))
 
 
-_SPAN = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("type", StringType()), StructField("text", StringType())]))
-_RANK = {"FNR": 4, "EMAIL": 3, "POSTNR": 2, "PHONE": 1}
-
-
-def _is_id(s: str) -> bool:
-    d = re.sub(r"\D", "", s)
-    ks = [(11 - sum(int(d[k]) * w for k, w in enumerate(ws)) % 11) % 11 for ws in (T.WEIGHTS_1, T.WEIGHTS_2)] if len(d) == 11 else []
-    return bool(ks) and ks == [int(d[9]), int(d[10])]
-
-
-def _is_phone(s: str) -> bool:
-    d = re.sub(r"^(\+47|0047)", "", s.strip()).replace(" ", "")
-    return bool(re.fullmatch(r"(47)?[2-9]\d{7}", d))
-
-
-_FORMS = [("FNR", re.compile(T.ID_NUMBER), _is_id), ("EMAIL", re.compile(rf"\b{T.EMAIL}\b"), bool), ("POSTNR", re.compile(T.POSTAL), bool), ("PHONE", re.compile(T.PHONE), _is_phone)]
-
-
-def _structured(text: str) -> list[dict]:
-    """Spans of identity numbers, mail, postcodes and phones that do not overlap, by rank of the type, then length."""
-    found = []
-    for kind, pattern, valid in _FORMS:
-        for m in pattern.finditer(text):
-            s = m[0].strip() if kind == "PHONE" else m[0]
-            end = m.start() + len(s)
-            in_file = kind == "PHONE" and text[end : end + 1] == "." and text[end + 1 : end + 2].isalnum()
-            if valid(s) and not in_file:
-                found.append({"start": m.start(), "end": end, "type": kind, "text": s})
-    kept: list[dict] = []
-    for s in sorted(found, key=lambda s: (-_RANK[s["type"]], s["start"] - s["end"])):
-        if all(s["end"] <= k["start"] or s["start"] >= k["end"] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s["start"])
-
-
-_NAME_WORD = re.compile(r"[^\W\d_][^\W\d_'\-]*(?:['\-][^\W\d_]+)*")
-
-
-def _names(text: str) -> list[dict]:
-    """Spans of names: known words in a row, one unknown capitalised word after a first name, 'Last, First'; a lone first name if it is no common word."""
-    first, known = set(KNOWN_FIRST), set(KNOWN_FIRST) | set(KNOWN_LAST)
-    words = [(m[0], m.start(), m.end()) for m in _NAME_WORD.finditer(text)]
-    out, i = [], 0
-    while i < len(words):
-        if words[i][0].lower() not in known:
-            i += 1
-            continue
-        j, has_first, absorbed = i, False, False
-        while j < len(words) and j - i < 4:
-            w = words[j][0]
-            if w.lower() in known:
-                has_first |= w.lower() in first
-            elif has_first and not absorbed and w[0].isupper() and len(w) > 2:
-                absorbed = True
-            else:
-                break
-            j += 1
-        run = [w for w, _, _ in words[i:j]]
-        start, sure = words[i][1], run[0].lower() in first and run[0].lower() not in AMBIGUOUS_FIRST
-        before = words[i - 1] if i else None
-        turned = bool(sure and before and re.fullmatch(r" ?, *", text[before[2] : start]) and before[0][0].isupper() and not before[0].isupper() and len(before[0]) > 1)
-        start = before[1] if turned else start
-        strong = turned or any(w[0].isupper() for w in run) or any(w.lower() in known and w.lower() not in AMBIGUOUS_FIRST for w in run)
-        if (turned or len(run) > 1) and strong:
-            out.append({"start": start, "end": words[j - 1][2], "type": "FULL_NAME", "text": text[start : words[j - 1][2]]})
-        elif len(run) == 1 and sure:
-            out.append({"start": start, "end": words[i][2], "type": "FIRST_NAME", "text": run[0]})
-        i = j
-    return out
+#: A word: letters, joined by single apostrophes and hyphens. Words and what stands between them make up a text.
+_WORD = r"\p{L}+(?:['-]\p{L}+)*"
+_TOKEN = rf"{_WORD}|\P{{L}}+"
+#: Classes of words, in capitals if the word begins with one: F first name, A first name that is a common word too, L last
+#: name, N another word in capitals of three letters or more, S of two letters, U all in capitals, x other. Between words: , or -.
+_KNOWN, _GIVEN = "[FfAaLl]", "[FfAa]"
+_AFTER = f"(?:[,-]{_KNOWN})"
+#: A name: up to four known words, with one other capitalised word after a first name; a turned one has the last name before a comma.
+_RUN = (
+    f"(?:[NS],(?=[Ff]))?(?:{_GIVEN}[,-][NU]{_AFTER}{{0,2}}|(?:{_GIVEN}[,-]{_KNOWN}|{_KNOWN}[,-]{_GIVEN})[,-][NU]{_AFTER}?"
+    f"|(?={_KNOWN}?[,-]?{_KNOWN}?[,-]?{_GIVEN}){_KNOWN}{_AFTER}{{2}}[,-][NU]|{_KNOWN}{_AFTER}{{0,3}})"
+)
+
+
+def spans_of(text: Column, pattern: str) -> Column:
+    """array of struct(start, end, text) of the matches of a pattern, in characters from 0: lengths of pieces and matches, summed."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pieces = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda hit, gap: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + piece["gap"]
+        end = start + F.length(piece["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("text")))).alias("found"))
+
+    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda acc: acc["found"])).otherwise(none)
+
+
+def _typed(spans: Column, kind: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    kept = F.filter(spans, lambda s: valid(s["text"])) if valid else spans
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type"), s["text"].alias("text")))
+
 
+def _apart(spans: Column, taken: Column) -> Column:
+    """Those of spans that do not overlap any of taken."""
+    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
-@F.pandas_udf(_SPAN)
-def pii_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _structured(t) if t else [])
 
+def _ids(text: Column) -> Column:
+    return _typed(spans_of(text, T.ID_NUMBER), "FNR", T.id_number_valid)
+
+
+def pii_spans(text: Column) -> Column:
+    """Spans (start, end, type, text) of identity numbers, mail addresses, postcodes with place and phone numbers, in order.
+
+    A span gives way to those of an earlier type that it overlaps. Null text has none. Expressions only.
+    """
+    phones = rf"{T.PHONE}(?!\.[\p{{L}}0-9])"  # not the start of a file's name
+    rest = [_typed(spans_of(text, T.EMAIL), "EMAIL"), _typed(spans_of(text, T.POSTAL), "POSTNR"), _typed(spans_of(text, phones), "PHONE", T.phone_valid)]
+    taken = _ids(text)
+    with_rest = lambda spans: lambda t: F.concat(t, _apart(spans, t))
+    for spans in rest:
+        taken = T.let(taken, with_rest(spans))
+    return F.array_sort(taken)
+
+
+def name_spans(text: Column, first: Sequence[str] = KNOWN_FIRST, last: Sequence[str] = KNOWN_LAST, ambiguous: Sequence[str] = AMBIGUOUS_FIRST) -> Column:
+    """Spans (start, end, type, text) of names: FULL_NAME of several words, FIRST_NAME of one that is no common word.
+
+    Each word of the text becomes one letter for its class in the dictionary (first, last, ambiguous: in small
+    letters), each gap a mark; names are the matches of one pattern in that string of classes. Null text has none.
+    """
+    sure = [w for w in first if w not in set(ambiguous)]
+    vague = [w for w in first if w in set(ambiguous)]
+    family = [w for w in last if w not in set(first)]
 
-@F.pandas_udf(_SPAN)
-def name_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _names(t) if t else [])
+    def class_of(token: Column) -> Column:
+        low = F.lower(token)
+        capital = token.rlike(r"^\p{Lu}")
+        known = F.when(low.isin(sure), "f").when(low.isin(vague), "a").when(low.isin(family), "l")
+        other = F.when(~capital | (F.length(token) < 2), "x").when(F.upper(token) == token, F.when(F.length(token) > 2, "U").otherwise("x")).when(F.length(token) > 2, "N").otherwise("S")
+        word = F.coalesce(F.when(capital, F.upper(known)).otherwise(known), other)
+        return F.when(token.rlike(r"^\p{L}"), word).when(token.rlike("^ ?, *$"), ",").otherwise("-")
 
+    def names(tokens: Column) -> Column:
+        before = lambda n: F.length(F.array_join(F.slice(tokens, F.lit(1), n), ""))
+        classes = F.array_join(F.transform(tokens, class_of), "")
+        several = lambda s: (F.length(s["text"]) > 1) & s["text"].rlike("[FALNUSfl]")
+        single = lambda s: s["text"].isin("F", "f")
+        runs = F.filter(spans_of(classes, _RUN), lambda s: several(s) | single(s))
+        placed = F.transform(runs, lambda s: F.struct(before(s["start"]).alias("start"), before(s["end"]).alias("end"), F.when(several(s), "FULL_NAME").otherwise("FIRST_NAME").alias("type")))
+        return F.transform(placed, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["type"].alias("type"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("text")))
 
-@F.pandas_udf(_SPAN)
-def text_spans(texts: pd.Series) -> pd.Series:
-    """What redaction replaces: identity numbers, mail and names apart from both."""
+    return T.let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), names)
 
-    def spans(t: str) -> list[dict]:
-        hard = [s for s in _structured(t) if s["type"] in ("FNR", "EMAIL")] if t else []
-        soft = [n for n in (_names(t) if t else []) if all(n["end"] <= s["start"] or n["start"] >= s["end"] for s in hard)]
-        return sorted(hard + soft, key=lambda s: s["start"])
 
-    return texts.map(spans)
+def text_spans(text: Column) -> Column:
+    """What redaction replaces: identity numbers, mail addresses, and names apart from both."""
+    hard = T.let(_ids(text), lambda ids: F.concat(ids, _apart(_typed(spans_of(text, T.EMAIL), "EMAIL"), ids)))
+    return T.let(hard, lambda h: F.array_sort(F.concat(h, _apart(name_spans(text), h))))
 
 
 def redact_text(df: DataFrame, column: str) -> DataFrame:
     """df with identity numbers, mail addresses and names in a text column replaced by their stand-ins, and n_redacted.
 
-    Only the spans come from an Arrow function; the text is put together from expressions.
+    Expressions only.
     """
     spans, text = F.col("__spans"), F.col(column)
     value = lambda kind, t: F.when(kind == "FNR", T.fake_id_number(t)).when(kind == "EMAIL", T.fake_email(t)).when(kind == "FIRST_NAME", T.like_case(t, T.fake_first(t))).otherwise(T.like_case(t, T.fake_full(t)))

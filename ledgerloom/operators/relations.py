@@ -21,15 +21,15 @@ class ForeignKey:
     parent_columns: tuple[str, ...]
 
 
-def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos") -> DataFrame:
-    """df with the 0-based place of each row in the given order.
+def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos", keep: Iterable[str] | None = None) -> DataFrame:
+    """df, or its columns keep, with the 0-based place of each row in the given order.
 
     Rows are dealt out by range and sorted within partitions; a partition's offset is the count of the rows before it,
-    so no task ever holds more than its range. Equal rows get neighbouring places.
+    so no task ever holds more than its range. Equal rows get neighbouring places. Only the columns asked for are written.
     """
     cols = [F.col(c).asc_nulls_first() for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    placed = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).select(*(keep or df.columns))
     placed = placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     placed = materialized(placed)  # range bounds are sampled: a second run could draw others
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
@@ -38,6 +38,14 @@ def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos") ->
     return placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
+def numbered(df: DataFrame, group: str, order: Iterable[str], name: str = "at") -> DataFrame:
+    """df with the 1-based place of each row within its group, in the given order; a large group is spread over many tasks."""
+    placed = with_row_pos(df, [group, *order], "__place")
+    first = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__place").alias("__first"))
+    joined = placed.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__group", "__first")
+
+
 def spread_positions(df: DataFrame, n: int, threshold: int) -> DataFrame:
     """row_pos of n rows spread evenly, int(i * total / n); of all rows if there are at most threshold or n."""
     total = df.count()
@@ -118,8 +126,9 @@ def referential_subset(rows: Mapping[str, DataFrame], fks: list[ForeignKey], n:
     """row_pos to keep, per table: seeds, then children of important tables' seeds, then all parents.
 
     Seeds are n rows spread over each table that is not excluded (a small one whole); children are the first cap per
-    seed row and foreign key, one level, up to budget rows in all (50 * n * tables) in the order of table, seed,
-    foreign key and row; excluded tables can return as children or parents, which closure needs.
+    seed row and foreign key, one level, in the order of table, seed, foreign key and row, until budget rows (50 * n *
+    tables) are kept, seeds counted; rows that are seeds already cost nothing. If the seeds alone fill the budget, the
+    first child comes on top. Excluded tables can return as children or parents, which closure needs.
     """
     threshold, cap = n if threshold is None else threshold, n if cap is None else cap
     budget = 50 * n * len(rows) if budget is None else budget
@@ -134,7 +143,13 @@ def referential_subset(rows: Mapping[str, DataFrame], fks: list[ForeignKey], n:
         kids = chosen[0]
         for c in chosen[1:]:
             kids = kids.unionByName(c)
-        kids = kids.orderBy("i", "parent_pos", "j", "row_pos").limit(budget)
+        order = ["i", "parent_pos", "j", "row_pos"]
+        left = budget - sum(df.count() for df in seeds.values())
+        if left > 0:
+            kids = kids.groupBy("table", "row_pos").agg(F.min(F.struct("i", "parent_pos", "j")).alias("first")).select("table", "row_pos", "first.*")
+            for t in {f.child for f in fks if f.parent in set(important)}:
+                kids = kids.join(seeds[t].select(F.lit(t).alias("table"), "row_pos"), ["table", "row_pos"], "left_anti")
+        kids = materialized(kids.orderBy(*order).limit(max(left, 1)))
         for t in {f.child for f in fks if f.parent in set(important)}:
             keep[t] = keep[t].unionByName(kids.where(F.col("table") == t).select("row_pos")).distinct()
     return close_parents(keep, edges, fks)
@@ -175,3 +190,19 @@ def refreshed_counts(declared: DataFrame, rows: DataFrame) -> DataFrame:
     actual = rows.groupBy("table_key").agg(F.count("*").alias("actual_rows"))
     out = declared.join(actual, "table_key", "left").withColumn("actual_rows", F.coalesce("actual_rows", F.lit(0)))
     return out.select("table_key", "declared_rows", "actual_rows", (F.col("declared_rows") != F.col("actual_rows")).alias("changed"))
+
+
+def pair_documents(rows: DataFrame, case_id: str, seq: str, order: list[str], main: int = 1, data: int = 2) -> DataFrame:
+    """The rows whose seq is main, each with data: the first row, by order, whose seq is data in the same case; null without one.
+
+    Rows with a null case have no data. Several main rows of a case share its first data row. One shuffle by case, after
+    the first row of each case and task has been picked.
+    """
+    fields = F.struct(*[F.col(c) for c in rows.columns if c != case_id])
+    first = rows.where(F.col(seq) == data).groupBy(case_id).agg(F.min_by(fields, F.struct(*order)).alias("data"))
+    return rows.where(F.col(seq) == main).join(first, case_id, "left")
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """mains, paired and singles of what pair_documents returns."""
+    return pairs.agg(F.count("*").alias("mains"), F.count("data").alias("paired"), F.count_if(F.col("data").isNull()).alias("singles"))

@@ -23,14 +23,19 @@ def schema_sanitize(i: Inputs) -> DataFrame:
     return C.sanitize_schemas(i.d_tables)
 
 
-@demo("SELECT table_key, CASE WHEN trim(schema_name) = '' THEN 'Restored' ELSE schema_name END AS schema_name, trim(schema_name) = '' AS filled, false AS unresolved FROM d_tables")
+@demo("""WITH f AS (SELECT DISTINCT split_part(table_key, '/', 1) AS folder, concat('Restored ', split_part(table_key, '/', 1)) AS fixed FROM d_tables WHERE trim(schema_name) = '' AND ends_with(split_part(table_key, '/', 1), '2'))
+SELECT table_key, CASE WHEN trim(schema_name) <> '' THEN schema_name ELSE coalesce(fixed, only_one, '') END AS schema_name, trim(schema_name) = '' AND coalesce(fixed, only_one) IS NOT NULL AS filled, trim(schema_name) = '' AND coalesce(fixed, only_one) IS NULL AS unresolved
+FROM d_tables LEFT JOIN f ON folder = split_part(table_key, '/', 1) CROSS JOIN (SELECT CASE WHEN count(*) = 1 THEN min(fixed) END AS only_one FROM f) o""")
 def schema_fill(i: Inputs) -> DataFrame:
-    return C.fill_schema_names(i.d_tables, i.spark.createDataFrame([("schema9", "Restored")], "schema_folder string, fixed_name string"))
+    folder = F.substring_index("table_key", "/", 1)
+    fixes = i.d_tables.where((F.trim("schema_name") == "") & folder.endswith("2")).select(folder.alias("schema_folder"), F.concat(F.lit("Restored "), folder).alias("fixed_name")).distinct()
+    return C.fill_schema_names(i.d_tables, fixes)
 
 
-@demo("SELECT table_key, table_name FROM d_tables WHERE lower(table_name) NOT IN ('log', 'region')")
+@demo("SELECT table_key, table_name FROM d_tables WHERE lower(table_name) NOT IN (SELECT lower(table_name) FROM d_tables WHERE declared_rows % 5000 = 0)")
 def table_drop(i: Inputs) -> DataFrame:
-    return C.drop_tables(i.d_tables, i.spark.createDataFrame([("LOG ",), ("Region",)], "table_name string")).select("table_key", "table_name")
+    marked = i.d_tables.where("declared_rows % 5000 = 0").select(F.concat(F.upper("table_name"), F.lit(" ")).alias("table_name"))
+    return C.drop_tables(i.d_tables, marked).select("table_key", "table_name")
 
 
 @demo("""WITH s AS (SELECT * FROM (VALUES ('custkey'), ('NAME'), ('orderkey'), ('absent')) v(suffix)), c AS (SELECT table_key, name, lower(regexp_replace(name, '^[^_]*_', '')) AS k FROM d_columns WHERE contains(name, '_'))
@@ -95,13 +100,15 @@ def top_tables(i: Inputs) -> DataFrame:
     return i.d_inv.groupBy("table_key").agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("bytes"), "table_key").limit(5)
 
 
-@demo("""SELECT schema_name, table_name, declared_rows, (SELECT count(*) FROM d_inv f WHERE f.table_key = t.table_key) AS lob_files, coalesce((SELECT string_agg(col, ', ' ORDER BY col) FROM d_keys k WHERE k.table_key = t.table_key), '') AS key_columns, description FROM d_tables t""")
+@demo("""WITH k AS (SELECT table_key, concat(array_to_string(list_slice(list(col ORDER BY col), 1, 4), ', '), CASE WHEN count(*) > 4 THEN concat(' (+', count(*) - 4, ')') ELSE '' END) AS cols FROM d_primary GROUP BY 1), f AS (SELECT table_key, count(*) AS n FROM d_inv GROUP BY 1)
+SELECT schema_name, table_name, declared_rows, coalesce(n, 0) AS lob_files, coalesce(cols, '') AS key_columns, description FROM d_tables LEFT JOIN k USING (table_key) LEFT JOIN f USING (table_key)""")
 def inventory_listing(i: Inputs) -> DataFrame:
-    return C.inventory_listing(i.d_tables, i.d_inv, i.d_keys)
+    return C.inventory_listing(i.d_tables, i.d_inv, i.d_primary)
 
 
 @demo("""SELECT 'schema name is empty' AS rule, 'error' AS severity, table_key AS subject FROM d_tables WHERE trim(schema_name) = '' UNION ALL SELECT 'table has no columns', 'error', table_key FROM d_tables WHERE table_key NOT IN (SELECT table_key FROM d_columns)
-UNION ALL SELECT 'table has no description', 'info', table_key FROM d_tables WHERE description = '' UNION ALL SELECT 'table is empty', 'warning', table_key FROM d_tables WHERE declared_rows = 0""")
+UNION ALL SELECT 'table has no description', 'info', table_key FROM d_tables WHERE description = '' UNION ALL SELECT 'table is empty', 'warning', table_key FROM d_tables WHERE declared_rows = 0
+UNION ALL SELECT 'key refers to an unknown table', 'error', name FROM d_keys WHERE ref_table_key NOT IN (SELECT table_key FROM d_tables)""")
 def validation_findings(i: Inputs) -> DataFrame:
     return C.validation_findings(i.d_tables, i.d_columns, i.d_keys)
 

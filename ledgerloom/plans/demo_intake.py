@@ -72,8 +72,9 @@ def ident_report(i: Inputs) -> DataFrame:
 def template_tables(i: Inputs) -> DataFrame:
     path = _folder(i, "template")
     entries = F.array_sort(F.collect_list(F.struct("table_key", F.col("table_name").alias("name"), "description")))
-    root = i.d_tables.agg(F.to_json(F.struct(F.transform(entries, lambda t: F.struct(t["name"].alias("name"), t["description"].alias("description"))).alias("tables"))).alias("value"))
-    root.coalesce(1).write.text(path)
+    root = F.to_json(F.struct(F.transform(entries, lambda t: F.struct(t["name"].alias("name"), t["description"].alias("description"))).alias("tables")))
+    templates = i.d_tables.groupBy(F.substring_index("table_key", "/", 1).alias("part")).agg(root.alias("value"))
+    templates.write.partitionBy("part").text(path)  # one template per schema
     return readers.read_template(i.spark, path)
 
 
@@ -82,7 +83,7 @@ def catalog_tables(i: Inputs) -> DataFrame:
     path = _folder(i, "catalog")
     table = F.struct(F.col("table_name").alias("name"), F.substring_index("table_key", "/", -1).alias("folder"), "description", F.col("declared_rows").alias("rows"))
     schemas = i.d_tables.where("schema_name != ''").groupBy(F.col("schema_name").alias("name"), F.substring_index("table_key", "/", 1).alias("folder")).agg(F.struct(F.collect_list(table).alias("table")).alias("tables"))
-    schemas.coalesce(1).write.format("xml").option("rootTag", "schemas").option("rowTag", "schema").save(f"{path}/a1/header/metadata.xml")
+    schemas.write.format("xml").option("rootTag", "schemas").option("rowTag", "schema").save(f"{path}/a1/header/metadata.xml")
     return readers.read_catalog(i.spark, path)["tables"].select("table_key", "table_name", "declared_rows")
 
 

@@ -72,10 +72,12 @@ def inline_extract(i: Inputs) -> DataFrame:
     return L.extract_inline(i.d_cells)
 
 
-@demo("SELECT doc_id, CASE WHEN length(to_base64(encode(substr(text, 1, 200)))) >= 48 THEN substr(text, 1, 200) END AS text FROM documents")
+@demo("SELECT doc_id, CASE WHEN length(to_base64(encode(text))) >= 48 THEN text END AS text FROM documents")
 def base64_recover(i: Inputs) -> DataFrame:
-    coded = F.translate(F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 200), "UTF-8")), r"\s|=", ""), "+/", "-_")
-    return i.documents.select("doc_id", L.base64_payload(F.when(F.length(F.base64(F.encode(F.substring("text", 1, 200), "UTF-8"))) >= 48, F.rpad(coded, F.greatest(F.length(coded), F.lit(48)), "="))).cast("string").alias("text"))
+    """Whole texts in the alphabet for addresses, without padding; where that leaves fewer than 48 characters, with it."""
+    plain = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
+    coded = F.translate(F.regexp_replace(plain, "=", ""), "+/", "-_")
+    return i.documents.select("doc_id", L.base64_payload(F.when(F.length(plain) >= 48, F.rpad(coded, F.greatest(F.length(coded), F.lit(48)), "="))).cast("string").alias("text"))
 
 
 def _packed(i: Inputs) -> DataFrame:

@@ -143,18 +143,23 @@ def dict_tokens(i: Inputs) -> DataFrame:
 
 @demo(f"SELECT count(*) AS texts, CAST(sum(len(regexp_extract_all(note, '{MAIL}'))) AS BIGINT) AS mails FROM d_people")
 def redact_email_counts(i: Inputs) -> DataFrame:
-    spans = F.filter(P.pii_spans("note"), lambda s: s["type"] == "EMAIL")
+    spans = F.filter(P.pii_spans(F.col("note")), lambda s: s["type"] == "EMAIL")
     return i.d_people.select(F.size(spans).alias("n")).agg(F.count("*").alias("texts"), F.sum("n").cast("long").alias("mails"))
 
 
-@demo()
+#: Where the parts of a note stand.
+NOTES = f"""nt AS (SELECT *, string_split(full_name, ' ')[1] AS f, CAST(length(concat('Case ', person_id, ': contact ')) AS INTEGER) AS at_name, CAST(length(full_name) AS INTEGER) AS n_name, CAST(length(email) AS INTEGER) AS n_email, {id_sql('id_number')} AS valid FROM d_people),
+np AS (SELECT *, at_name + n_name + 4 AS at_email, at_name + n_name + 4 + n_email + 5 AS at_id FROM nt)"""
+
+
+@demo(f"WITH {NOTES} SELECT person_id, at_email AS start, at_email + n_email AS \"end\", 'EMAIL' AS type, email AS text FROM np UNION ALL SELECT person_id, at_id, at_id + 11, 'FNR', id_number FROM np WHERE valid")
 def pii_spans(i: Inputs) -> DataFrame:
-    return i.d_people.select("person_id", F.explode(P.pii_spans("note")).alias("s")).select("person_id", "s.*")
+    return i.d_people.select("person_id", F.explode(P.pii_spans(F.col("note"))).alias("s")).select("person_id", "s.*")
 
 
-@demo()
+@demo(f"WITH {NOTES} SELECT person_id, at_name AS start, at_name + n_name AS \"end\", 'FULL_NAME' AS type, full_name AS text FROM np UNION ALL SELECT person_id, at_email, CAST(at_email + length(f) AS INTEGER), 'FIRST_NAME', lower(f) FROM np WHERE lower(f) NOT IN ({', '.join(repr(w) for w in P.AMBIGUOUS_FIRST)})")
 def name_spans(i: Inputs) -> DataFrame:
-    return i.d_people.select("person_id", F.explode(P.name_spans("note")).alias("s")).select("person_id", "s.*")
+    return i.d_people.select("person_id", F.explode(P.name_spans(F.col("note"))).alias("s")).select("person_id", "s.*")
 
 
 @demo()

@@ -28,7 +28,7 @@ def star_rows(i: Inputs) -> dict[str, DataFrame]:
         df = getattr(i, t)
         if t != "lineitem":  # the first column is unique: no need to carry the rest through the sort
             df = df.select(*dict.fromkeys([df.columns[0], *keys[t]]))
-        out[t] = R.with_row_pos(df, df.columns).select("row_pos", *keys[t])
+        out[t] = R.with_row_pos(df, df.columns, keep=keys[t])
     return out
 
 
@@ -73,6 +73,17 @@ def referential_subset(i: Inputs) -> DataFrame:
     return R.kept_counts(rows, R.referential_subset(rows, KEYS, N, important=["customer"]))
 
 
+_LEFT = "greatest(400 - (" + " + ".join(f"(SELECT count(*) FROM s_{t})" for t in STAR) + "), 1)"
+_CAPPED = f"few AS (SELECT row_pos FROM (SELECT row_pos, row_number() OVER (ORDER BY parent_pos, row_pos) AS place FROM kids WHERE row_pos NOT IN (SELECT row_pos FROM s_orders)) WHERE place <= {_LEFT})"
+
+
+@demo(f"WITH {_p(*STAR)}, {_SEEDS}, {_KIDS}, {_CAPPED}, {_closure({'orders': 'SELECT row_pos FROM s_orders UNION SELECT row_pos FROM few'})} {_COUNTS}")
+def referential_subset_capped(i: Inputs) -> DataFrame:
+    """At most 400 rows before closure: the budget binds."""
+    rows = star_rows(i)
+    return R.kept_counts(rows, R.referential_subset(rows, KEYS, N, important=["customer"], budget=400))
+
+
 @demo(f"WITH {_p(*STAR)}, {_SEEDS}, {_closure({t: f'SELECT row_pos FROM p_{t} WHERE false' for t in STAR if t != 'lineitem'})} {_COUNTS}")
 def parent_closure(i: Inputs) -> DataFrame:
     rows = star_rows(i)
@@ -122,3 +133,27 @@ def row_count_refresh(i: Inputs) -> DataFrame:
 @demo("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10")
 def row_preview(i: Inputs) -> DataFrame:
     return i.orders.orderBy("o_orderkey").limit(10).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+#: Turns as the documents of a case: the opening turn is the main document, answers of the assistant are data; every ninth case has lost them.
+TURNS = "tn AS (SELECT conv_id, turn, text, CASE WHEN turn = 0 THEN 1 WHEN role = 'assistant' AND conv_id % 9 <> 4 THEN 2 ELSE 3 END AS seq FROM conversations), fd AS (SELECT conv_id, arg_min(text, turn) AS data_text, min(turn) AS data_turn FROM tn WHERE seq = 2 GROUP BY 1), pd AS (SELECT tn.conv_id, text, data_turn, data_text FROM tn LEFT JOIN fd USING (conv_id) WHERE seq = 1)"
+
+
+def _pairs(i: Inputs) -> DataFrame:
+    seq = F.when(F.col("turn") == 0, 1).when((F.col("role") == "assistant") & (F.col("conv_id") % 9 != 4), 2).otherwise(3)
+    return R.pair_documents(i.conversations.select("conv_id", "turn", "text", seq.alias("seq")), "conv_id", "seq", ["turn"])
+
+
+@demo(f"WITH {TURNS} SELECT conv_id, text, data_turn, data_text FROM pd WHERE data_turn IS NOT NULL")
+def doc_pairs(i: Inputs) -> DataFrame:
+    return _pairs(i).where("data is not null").select("conv_id", "text", F.col("data.turn").alias("data_turn"), F.col("data.text").alias("data_text"))
+
+
+@demo(f"WITH {TURNS} SELECT conv_id, text FROM pd WHERE data_turn IS NULL")
+def doc_singles(i: Inputs) -> DataFrame:
+    return _pairs(i).where("data is null").select("conv_id", "text")
+
+
+@demo(f"WITH {TURNS} SELECT count(*) AS mains, count(data_turn) AS paired, count(*) - count(data_turn) AS singles FROM pd")
+def doc_pair_counts(i: Inputs) -> DataFrame:
+    return R.pair_counts(_pairs(i))

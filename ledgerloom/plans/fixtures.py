@@ -51,27 +51,30 @@ select concat('[12:00:', lpad(cast(o_orderkey % 60 as string), 2, '0'), ']  ', p
 from d_inv where o_orderkey % 24 in (0, 9)
 """,
     "d_tables": r"""
-select * from (values
- ('schema0/table0','Main','Customer','The buyers',150), ('schema0/table1','Main','Customer_tmp','',150),
- ('schema0/table2','Main','Orders','Purchases',1500),   ('schema0/table3','Main','Orders_20230101','',1500),
- ('schema0/table4','Main','Lineitem','',6000),          ('schema1/table0','Ref data','Nation','Countries',25),
- ('schema1/table1','Ref data','Region','',5),           ('schema1/table2','Ref data','Log','',90000),
- ('schema2/table0','','Journal_backup','',10)) as t(table_key, schema_name, table_name, description, declared_rows)
+select concat('schema', s, '/table', k % 25) as table_key,
+       case s % 4 when 1 then concat('Ref data ', s) when 2 then '' else concat('main_', s) end as schema_name,
+       case k % 4 when 0 then (case when g % 5 = 4 then concat('Solo_', g, 'b') else base end) when 1 then concat(base, '_tmp') when 2 then concat(base, '_20230101') else concat(base, '_Backup kopi') end as table_name,
+       case when k % 3 = 0 then concat('About ', p_name) else '' end as description, cast(k % 11 * 1000 as int) as declared_rows
+from (select *, concat(case g % 6 when 0 then 'Customer' when 1 then 'Orders' when 2 then 'Journal' when 3 then 'Log' when 4 then 'Nation' else 'Region' end, '_', g, 'a') as base
+      from (select p_partkey as k, p_name, cast(floor(p_partkey / 25) as bigint) as s, cast(floor(p_partkey / 4) as bigint) as g from part) p) q
 """,
     "d_columns": r"""
-select * from (values
- ('schema0/table0',1,'c_custkey','BIGINT','Key',''), ('schema0/table0',2,'c_name','VARCHAR(25)','',''),
- ('schema0/table0',3,'photo','BLOB','','content/schema0/table0/lob3/'), ('schema0/table2',1,'o_orderkey','BIGINT','Key',''),
- ('schema0/table2',2,'o_custkey','BIGINT','',''), ('schema0/table2',3,'letter','CLOB','','/content/schema0/table2/lob3'),
- ('schema0/table4',1,'l_orderkey','BIGINT','',''), ('schema1/table0',1,'n_nationkey','INTEGER','',''),
- ('schema1/table1',1,'r_regionkey','INTEGER','','')) as t(table_key, col_idx, name, type, description, lob_folder)
+select table_key, col_idx,
+       case col_idx when 1 then concat(lower(substr(table_name, 1, 1)), case when declared_rows < 4000 then '_custkey' else '_orderkey' end) when 2 then concat(lower(substr(table_name, 1, 1)), '_name') else 'letter' end as name,
+       case col_idx when 1 then 'BIGINT' when 2 then 'VARCHAR(25)' else (case when declared_rows < 4000 then 'BLOB' else 'CLOB' end) end as type,
+       case when col_idx = 1 then 'Key' else '' end as description,
+       case when col_idx < 3 then '' when declared_rows < 3000 then concat('content/', table_key, '/lob3/') when declared_rows < 6000 then concat('/content/', table_key, '/lob3') when declared_rows < 8000 then concat('/', table_key) else '' end as lob_folder
+from d_tables cross join (select * from (values (1), (2), (3)) as v(col_idx)) c
+where declared_rows <> 5000
 """,
     "d_keys": r"""
-select * from (values
- ('schema0/table2','fk_oc','schema0/table0','o_custkey','c_custkey'),
- ('schema0/table4','fk_lo','schema0/table2','l_orderkey','o_orderkey'),
- ('schema0/table0','fk_cn','schema1/table0','c_nationkey','n_nationkey'),
- ('schema1/table0','fk_nr','schema1/table1','n_regionkey','r_regionkey')) as t(table_key, name, ref_table_key, col, ref_col)
+select concat('schema', cast(floor(k / 25) as bigint), '/table', k % 25) as table_key, concat('fk_', k) as name,
+       case when k % 50 = 7 then concat('schema', k, '/none') else concat('schema', cast(floor(r / 25) as bigint), '/table', r % 25) end as ref_table_key, 'parent_id' as col, 'id' as ref_col
+from (select p_partkey as k, cast(floor(p_partkey / 3) as bigint) as r from part where p_partkey > 0 and p_partkey % 5 <> 1) p
+""",
+    "d_primary": r"""
+select concat('schema', cast(floor(p_partkey / 25) as bigint), '/table', p_partkey % 25) as table_key, concat('id', n) as col
+from part join (select * from (values (1), (2), (3), (4), (5), (6)) as v(n)) v on n <= 1 + p_partkey % 6
 """,
     "d_people": r"""
 select c_custkey as person_id,
@@ -88,9 +91,8 @@ join (select * from (values (0,'Kari','Hansen','01819910150'),(1,'Ola','Berg','1
   on v.k = c_custkey % 7
 """,
     "d_cells": r"""
-select 'schema0/table9' as table_key, doc_id as row_pos, 3 as col_idx,
-       case doc_id % 5 when 0 then hex(encode(substr(text, 1, 400), 'UTF-8')) when 1 then hex(encode(substr(text, 1, 20), 'UTF-8'))
-            when 2 then substr(text, 1, 300) when 3 then '' else cast(null as string) end as value
+select concat('schema0/table', doc_id % 9) as table_key, doc_id as row_pos, 3 as col_idx,
+       case when doc_id % 5 < 2 then hex(encode(text, 'UTF-8')) else text end as value
 from documents
 """,
     "d_pad": r"""
@@ -99,20 +101,17 @@ select p_partkey as row_pos, concat(replace(p_name, ' ', concat(chr(92), 'u0020'
 from part
 """,
     "d_steps": r"""
-select * from (values
- ('r1',1,'hash','Integrity',false,0,'','',true,false,1.2,'ok'),
- ('r1',2,'unpack','Pipeline',true,0,'Adjustment','schema names',true,false,3.0,'no change'),
- ('r1',3,'hex','Content',true,12,'Migration','hex extraction',true,false,9.5,'12 fields'),
- ('r1',4,'convert','Content',true,8,'Migration','format conversion',true,false,120.0,'8 converted'),
- ('r1',5,'clean','Content',true,40,'Tidying','padding',true,false,2.0,'40 runs'),
- ('r1',6,'scan','Security',false,0,'','',false,false,30.0,'failed'),
- ('r2',1,'hash','Integrity',false,0,'','',true,false,1.0,'ok'),
- ('r2',2,'select','Content',true,1,'Deletion','schema selection',true,true,0.0,'skipped'))
- as t(run_id, seq, op_id, category, modifies, changed, event_type, event_label, success, skipped, elapsed, message)
+select concat('r', cast(floor(event_id / 8) as bigint)) as run_id, event_id % 8 + 1 as seq, concat('op', event_id % 12) as op_id,
+       case event_id % 4 when 0 then 'Integrity' when 1 then 'Pipeline' when 2 then 'Content' else 'Security' end as category,
+       event_id % 3 <> 0 as modifies, event_id % 5 as changed,
+       case event_id % 7 when 0 then 'Adjustment' when 1 then 'Migration' when 2 then 'Tidying' when 3 then 'Deletion' when 4 then 'Normalisation' when 5 then 'Other' else '' end as event_type,
+       event_type as event_label, event_id % 17 <> 3 as success, event_id % 13 = 5 as skipped, value as elapsed, concat(event_id % 5, ' changed') as message
+from events
 """,
     "d_scanlog": r"""
-select * from (values ('s1',1,1,'scanning content'),('s1',2,1,'rec9.bin: Trojan.Test FOUND'),('s1',3,1,'Infected files: 1'),
- ('s2',1,2,'CmdTool: Failed with hr = 0x80508023'),('s2',2,2,'error'),('s3',1,0,'all clean')) as t(scan_id, line_no, return_code, line)
+select concat('s', cast(floor(event_id / 16) as bigint)) as scan_id, event_id as line_no, cast(floor(event_id / 16) % 3 as int) as return_code,
+       case event_id % 97 when 3 then concat('rec', event_id, '.bin: Trojan.Test FOUND') when 4 then 'Infected files: 1' when 50 then 'CmdTool: Failed with hr = 0x80508023' when 51 then 'Error' when 80 then 'Infected files: 0' else concat('scanning rec', event_id) end as line
+from events
 """,
 }
 
