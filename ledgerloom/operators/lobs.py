@@ -139,7 +139,7 @@ def _member_streams(data: bytes) -> tuple[str, Iterator[tuple[str, BinaryIO]]]:
 
     if data[:4] == b"PK\x03\x04":
         return "zip", zip_members()
-    if data[:2] == b"\x1f\x8b":
+    if data[:3] == b"\x1f\x8b\x08":  # a gzip header names its one method, 8
         return "gz", iter([("", gzip.GzipFile(fileobj=io.BytesIO(data)))])
     for skip in (0, 4):
         if data[skip : skip + 3] == b"BZh":
