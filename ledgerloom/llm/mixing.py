@@ -8,19 +8,35 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .store import written
 
-#: Ranges of the Pareto rank by which running sums are made, so that no source's rows meet in one task.
+#: Ranges of the Pareto rank by which running counts are made, so that no source's rows meet in one task.
 RANGES = 4096
+#: Sizes up to EXACT are classes of their own; above, OCTAVE classes lie between a size and its double.
+EXACT, OCTAVE = 16, 8
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _rank(doc_id: Column, size: Column, seed: int) -> Column:
-    """Random odds divided by inclusion odds; inclusion odds rise with the logarithm of the size."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    return (u / (1 - u)) / (1 + F.log2(1 + size))
+def _unit(seed: int, *parts: Column) -> Column:
+    """A number between 0 and 1, both excluded, that seed and parts decide."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
+def _size_class(size: Column) -> Column:
+    return F.when(size < EXACT, size).otherwise(F.floor(OCTAVE * F.log2(size.cast("double")))).cast("int")
+
+
+def _rank(u: Column, size: Column, drawn: Column, docs: Column, mean: Column) -> Column:
+    """Random odds divided by inclusion odds.
+
+    Within a class the inclusion probability of a document rises with its size about the share drawn / docs; it lies
+    between 0 and 1, and the probabilities of a class sum to drawn. Null where nothing is drawn or there are no words.
+    """
+    share = drawn / docs
+    p = F.nullif(share + share * (1 - share) * (size / F.nullif(mean, F.lit(0.0)) - 1), F.lit(0.0))
+    return (u / (1 - u)) * ((1 - p) / p)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -38,86 +54,107 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     after, before = order.rowsBetween(0, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy()
     level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    per = per.withColumn("level", level)
-    level = F.min(F.when(F.col("limit") / F.col("w") >= F.col("level"), F.struct(F.col("limit") / F.col("w"), "level"))).over(every)["level"]
+    per = per.withColumn("level", level).withColumn("k", F.row_number().over(order))
+    level = F.min(F.when(F.col("limit") / F.col("w") >= F.col("level"), F.struct("k", "level"))).over(every)["level"]
     per = per.withColumn("target", F.least("limit", F.coalesce(level, F.col("level")) * F.col("w")))
     return per.select("source", "source_size", "target")
 
 
-def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: float, rounds: int = 4) -> DataFrame:
-    """One row per source: source_size, target, copies (whole copies of each document) and cuts.
+def class_draws(plan: DataFrame, sized: DataFrame, seed: int) -> DataFrame:
+    """source, source_size, target, copies, class, docs, mean and drawn: how many documents of each class of sizes get one more copy.
 
-    cuts holds, for each round, the largest size and rank of the documents that get one more copy. A round takes
-    documents in rank order as long as the words left allow; the next does so with documents that still fit. At the
-    end the smallest document left is taken if the source then comes nearer to its target than without.
-    sized has doc_id, source, size and rank.
+    Classes are walked from the largest sizes down. Each is to give the share of its words that the words still needed
+    are of all words still to come; the count is that share of its documents, rounded up or down at random so that it
+    is right on average, within what the smaller classes can make up for. A source has a few hundred classes at most.
     """
-    plan = source_targets(sized, weights, share, most)
+    classes = sized.groupBy("source", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
+    toss = _unit(seed, F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"), F.col("class").cast("string"))
+    classes = classes.select("source", F.struct("class", "docs", F.col("words").cast("double").alias("words"), toss.alias("toss")).alias("c"))
+    own = classes.groupBy("source").agg(F.sort_array(F.collect_list("c"), asc=False).alias("classes"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("copies", F.floor(ratio)).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
-    plan = written(plan.withColumn("cuts", F.expr("cast(array() as array<struct<most:double,rank:double,doc_id:bigint>>)")), "plan")
-    for _ in range(rounds):
-        own = plan.select(F.col("source").alias("s"), "left", "cuts")
-        open_ = sized.join(own, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") <= F.col("left")) & ~_chosen(F.col("size"), F.col("rank"), F.col("doc_id"), F.col("cuts")))
-        open_ = open_.select("source", "doc_id", "size", "rank", "left", F.floor(RANGES * F.col("rank") / (F.col("rank") + 0.1)).alias("range"))
-        sums = open_.groupBy("source", "range").agg(F.sum("size").alias("own"), F.first("left").alias("left"))
-        upto = F.sum("own").over(W.partitionBy("source").orderBy("range"))
-        sums = sums.withColumn("upto", upto).groupBy("source").agg(
-            F.coalesce(F.min(F.when(F.col("upto") > F.col("left"), F.struct("range", (F.col("upto") - F.col("own")).alias("before")))), F.struct(F.lit(RANGES + 1).cast("long").alias("range"), F.max("upto").alias("before"))).alias("cut")
-        )
-        cut = sums.select(F.col("source").alias("cs"), "cut")
-        near = open_.join(cut, F.col("source").eqNullSafe(F.col("cs"))).where(F.col("range") <= F.col("cut.range"))
-        whole = near.where(F.col("range") < F.col("cut.range")).groupBy("source").agg(F.sum("size").alias("got"), F.max(F.struct("rank", "doc_id")).alias("last"))
-        last = near.where(F.col("range") == F.col("cut.range"))
-        run = F.sum("size").over(W.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first())) + F.col("cut.before")
-        last = last.withColumn("run", run).where(F.col("run") <= F.col("left")).groupBy("source").agg(F.sum("size").alias("got"), F.max(F.struct("rank", "doc_id")).alias("last"))
-        got = whole.unionByName(last).groupBy("source").agg(F.sum("got").alias("got"), F.max("last").alias("last")).withColumnRenamed("source", "gs")
-        plan = plan.join(got, F.col("source").eqNullSafe(F.col("gs")), "left")
-        cuts = F.concat("cuts", F.array(F.struct(F.col("left").alias("most"), F.col("last.rank").alias("rank"), F.col("last.doc_id").alias("doc_id"))))
-        plan = written(plan.select("source", "source_size", "target", "copies", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), F.when(F.col("got").isNull(), F.col("cuts")).otherwise(cuts).alias("cuts")), "plan")
-    own = plan.select(F.col("source").alias("s"), "left", "cuts")
-    over = sized.join(own, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") > 0) & ~_chosen(F.col("size"), F.col("rank"), F.col("doc_id"), F.col("cuts")))
-    over = over.groupBy(F.col("source").alias("gs")).agg(F.min(F.struct("size", "rank", "doc_id")).alias("next"))
-    plan = plan.join(over, F.col("source").eqNullSafe(F.col("gs")), "left")
-    nearer = F.concat("cuts", F.array(F.struct(F.col("next.size").cast("double").alias("most"), F.col("next.rank").alias("rank"), F.col("next.doc_id").alias("doc_id"))))
-    return written(plan.select("source", "source_size", "target", "copies", F.when(F.col("next.size") < 2 * F.col("left"), nearer).otherwise(F.col("cuts")).alias("cuts")), "plan")
-
-
-def _chosen(size: Column, rank: Column, doc_id: Column, cuts: Column) -> Column:
-    upto = lambda c: (rank < c["rank"]) | ((rank == c["rank"]) & (F.coalesce(doc_id, F.lit(-(1 << 63))) <= F.coalesce(c["doc_id"], F.lit(-(1 << 63)))))
-    return F.exists(cuts, lambda c: (size <= c["most"]) & upto(c))
-
-
-def sized_documents(docs: DataFrame, seed: int) -> DataFrame:
+    plan = plan.withColumn("copies", F.floor(ratio)).withColumn("need", F.col("target") - F.col("copies") * F.col("source_size"))
+    own = own.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
+
+    def step(acc: Column, c: Column) -> Column:
+        mean, after = c["words"] / c["docs"], acc["rest"] - c["words"]
+        some = F.nullif(mean, F.lit(0.0))
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["need"] / F.nullif(acc["rest"], F.lit(0.0))))
+        low, high = F.ceil((acc["need"] - after) / some - 1e-9), F.floor(acc["need"] / some + 1e-9)
+        nearest = F.when(low * mean - acc["need"] < acc["need"] - high * mean - after, low).otherwise(high)
+        drawn = F.when(low > high, nearest).otherwise(F.greatest(low, F.least(high, F.floor(share * c["docs"] + c["toss"]))))
+        drawn = F.when(mean > 0, F.greatest(F.lit(0), F.least(c["docs"], drawn))).otherwise(0).cast("long")
+        given = lambda n: F.struct((acc["need"] - n * mean).alias("need"), after.alias("rest"), F.concat(acc["out"], F.array(F.struct(c["class"].alias("class"), c["docs"].alias("docs"), mean.alias("mean"), n.alias("drawn")))).alias("out"))
+        return F.get(F.transform(F.array(drawn), given), F.lit(0))
+
+    none = F.expr("cast(array() as array<struct<class:int,docs:bigint,mean:double,drawn:bigint>>)")
+    start = F.struct(F.col("need").alias("need"), F.col("source_size").cast("double").alias("rest"), none.alias("out"))
+    drawn = F.aggregate("classes", start, step, lambda acc: acc["out"])
+    return own.select("source", "source_size", "target", "copies", F.inline(drawn))
+
+
+def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
+    """What class_draws returns, with the range of the Pareto rank and the rank up to which documents of the class are drawn.
+
+    sized has source, size, u and class. Documents are counted by range of their rank; only those in the one range of
+    a class where the count is reached are put in order.
+    """
+    draws = written(class_draws(source_targets(sized, weights, share, most), sized, seed), "draws")
+    some = draws.where("drawn > 0 and drawn < docs").select(F.col("source").alias("s"), F.col("class").alias("c"), "docs", "mean", "drawn")
+    ranked = sized.join(some, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
+    ranked = ranked.select("source", "class", "drawn", _rank(F.col("u"), F.col("size"), F.col("drawn"), F.col("docs"), F.col("mean")).alias("rank")).withColumn("range", _range("rank"))
+    counts = ranked.groupBy("source", "class", "range").agg(F.count("*").alias("own"), F.first("drawn").alias("drawn"))
+    counts = counts.withColumn("upto", F.sum("own").over(W.partitionBy("source", "class").orderBy("range")))
+    cut = counts.where("upto >= drawn").groupBy("source", "class").agg(F.min(F.struct("range", (F.col("upto") - F.col("own")).alias("before"))).alias("cut"))
+    cut = cut.select(F.col("source").alias("s"), F.col("class").alias("c"), "cut.*").withColumnRenamed("range", "cut_range")
+    same = lambda left: F.col(f"{left}.source").eqNullSafe(F.col("cut.s")) & (F.col(f"{left}.class") == F.col("cut.c"))
+    last = ranked.alias("ranked").join(cut.alias("cut"), same("ranked") & (F.col("range") == F.col("cut_range")))
+    place = F.count("*").over(W.partitionBy("source", "class").orderBy("rank")) + F.col("before")  # equal ranks share a place
+    last = last.withColumn("place", place).where("place <= drawn").groupBy("source", "class").agg(F.max("rank").alias("cut_rank"))
+    last = last.select(F.col("source").alias("s2"), F.col("class").alias("c2"), "cut_rank")
+    plan = draws.alias("draws").join(cut.alias("cut"), same("draws"), "left")
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2")), "left")
+    return written(plan.select("source", "source_size", "target", "copies", "class", "docs", "mean", "drawn", "cut_range", "cut_rank"), "plan")
+
+
+def _range(rank: str) -> Column:
+    return F.floor(RANGES * F.col(rank) / (F.col(rank) + 1)).cast("long")
+
+
+def sized_documents(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, u, class and more of each row; u depends on seed and doc_id, where that is null on the text."""
     size = word_count(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")).withColumn("rank", _rank(F.col("doc_id"), F.col("size"), seed))
+    u = _unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), u.alias("u"), _size_class(size).alias("class"), *more)
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(decisions, plan). decisions: doc_id, size, source_size, target and taken for each row of docs (doc_id, text, source).
 
     taken is size times the copies that the mix takes: floor(target / source_size) whole copies of every document, and
-    one more of those chosen by Pareto order sampling: documents rank by random odds over inclusion odds and are taken
-    in that order up to the words that the source still needs. The random number depends on seed and doc_id alone, so
-    reruns agree. Null source is a source of its own; null or empty text has size 0 and is taken with 0 words; rows
-    that repeat a doc_id and text share their fate. An empty table gives an empty result. Sources meet only in sums:
-    rows are joined with one row per source, which Spark sends to all tasks only while it is small.
+    one more of those chosen by Pareto order sampling: each class of sizes of a source has a fixed number to draw, each
+    document an inclusion probability, and documents with the least random odds over inclusion odds are drawn. The random
+    number depends on seed and doc_id alone, so reruns agree. Null source is a source of its own; null or empty text
+    has size 0 and is taken with 0 words; rows that repeat a doc_id and text share their fate. An empty table gives an
+    empty result. Sources meet only in sums: rows are joined with a few hundred rows per source, which Spark sends to
+    all tasks only while they are small.
     """
     sized = written(sized_documents(docs, seed), "sized")
-    plan = mix_plan(sized, weights, share, most)
+    plan = mix_plan(sized, weights, share, most, seed)
     return _decided(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")), plan
 
 
 def _decided(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    own = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "copies", "cuts")
-    joined = sized.join(own, F.col("source").eqNullSafe(F.col("plan_source")))
-    return joined.withColumn("times", F.col("copies") + _chosen(F.col("size"), F.col("rank"), F.col("doc_id"), F.col("cuts")).cast("long"))
+    own = plan.withColumnsRenamed({"source": "plan_source", "class": "plan_class"})
+    joined = sized.join(own, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("class") == F.col("plan_class")))
+    joined = joined.withColumn("rank", _rank(F.col("u"), F.col("size"), F.col("drawn"), F.col("docs"), F.col("mean")))
+    reached = (_range("rank") < F.col("cut_range")) | ((_range("rank") == F.col("cut_range")) & (F.col("rank") <= F.col("cut_rank")))
+    more = F.when(F.col("drawn") == 0, False).when(F.col("drawn") == F.col("docs"), True).otherwise(F.coalesce(reached, F.lit(False)))
+    return joined.withColumn("times", F.col("copies") + more.cast("long"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their own columns; texts move in no shuffle."""
-    plan = mix_plan(written(sized_documents(docs, seed), "sized"), weights, share, most)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("rank", _rank(F.col("doc_id"), F.col("size"), seed))
+    """The rows of docs as often as the mix takes them, with their own columns, whatever their names; texts move in no shuffle."""
+    plan = mix_plan(written(sized_documents(docs, seed), "sized"), weights, share, most, seed)
+    rows = sized_documents(docs, seed, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     times = _decided(rows, plan).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
     return times.select("doc.*")

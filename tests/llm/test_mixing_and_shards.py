@@ -54,6 +54,38 @@ def test_mix(spark):
     assert mix_sources(docs.limit(0))[0].count() == 0
 
 
+def test_inclusion_frequencies(spark):
+    """400 sources with the same sizes: each document is drawn as often as its inclusion probability says, and each source ends near its target."""
+    sizes = [1, 2, 3, 5, 8, 8, 9, 30, 31, 33, 35, 100, 105, 110, 118, 150]
+    n = len(sizes)
+    length = F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % n + 1).cast("int"))
+    docs = spark.range(400 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") / n).cast("long")).alias("source"), F.array_join(F.array_repeat(F.lit("w"), length), " ").alias("text"))
+    rows = mix_sources(docs, weights=(1,), share=1.3)[0].collect()
+    drawn, taken = [0] * n, {}
+    for r in rows:
+        drawn[r["doc_id"] % n] += r["taken"] > r["size"]
+        taken[r["doc_id"] // n] = taken.get(r["doc_id"] // n, 0) + r["taken"]
+    assert all(r["taken"] in (r["size"], 2 * r["size"]) and r["target"] == pytest.approx(1.3 * sum(sizes)) for r in rows)
+    # a source has 16 documents here: the seven smallest, of 36 words together, make up for what the others miss
+    assert all(abs(d / 400 - 0.3) < 0.08 for d in drawn[7:]), drawn
+    assert all(abs(t - 1.3 * sum(sizes)) <= 5 for t in taken.values())
+
+
+def test_mix_ties_long_texts_and_clashing_names(spark):
+    """Equal sources and sizes, repeated rows, a text of a million words, and columns named as those made on the way."""
+    made = ["size", "rank", "class", "u", "plan_source", "drawn", "copy", "doc", "target"]
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), *[F.lit("x").alias(c) for c in made])
+    long = docs.where("doc_id = 0").withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.repeat(F.lit("w "), 1_000_000))
+    docs = docs.unionByName(docs.where("doc_id < 4")).unionByName(long)
+    rows = mix_sources(docs)[0].collect()
+    times = {}
+    for r in rows:
+        times.setdefault(r["doc_id"], set()).add(r["taken"])
+    assert len(rows) == 45 and all(len(t) == 1 for t in times.values())
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["taken"] // r["size"] for r in rows)
+
+
 def test_shards(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.createDataFrame([(-1, None, None, None, 0), (-2, "", "en", "x", 0), (None, "é", "en", "x", 1), (-3, "é", "en", "x", 1), (-3, "é", "en", "x", 1)], DOCS))
     rows = kd_shards(docs).collect()
