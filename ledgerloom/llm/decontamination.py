@@ -166,4 +166,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, consiste
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id holds no item; a null doc_id stays."""
     leaked = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")

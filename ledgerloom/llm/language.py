@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .sampling import fold, hash_sample, texts_of
-from .textvec import BYTE, U, blocks
+from .textvec import BYTE, U, blocks, small
 
 CELLS = 1 << 12
 #: A decision is ambiguous if the runner-up's probability is over this share of the winner's.
@@ -112,7 +112,7 @@ def languages(docs: DataFrame, codes: Codes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.value
-        for b in batches:
+        for b in small(batches):  # a row of features takes as much room for a short text as for a long one
             best, sure, vague = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
             for first, raw, offs in blocks(b.column("text")):
                 if c.names:

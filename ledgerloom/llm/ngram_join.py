@@ -495,9 +495,10 @@ def one_of_each_group(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> D
     """
     found = written(ngram_components(docs, n, threshold).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "found")
     gone = written(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")), "gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     again = written(found.where("rows > 1 and doc_id = component_id").select(F.col("doc_id").alias("again")), "again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(once)
+    same = kept["doc_id"] == again["again"]
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, same, "left_anti").unionByName(once)

@@ -117,3 +117,13 @@ def test_secrets(spark, docs):
     assert "markov:0:26" in more[5] and more[5].count("markov") == 1
     plan = secret_digests(secret_spans(df, ratios))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_many_short_texts_in_one_batch(spark, docs):
+    """20,000 texts of a word or two, ties among them, a text of a million words and an empty table."""
+    codes = fit_language(docs)
+    short = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the").when(F.col("id") % 3 == 1, "und so").otherwise("3").alias("text")).coalesce(1)
+    found = languages(short, codes).groupBy((F.col("doc_id") % 3).alias("k")).agg(F.count("*").alias("n"), F.countDistinct("lang_pred", "score").alias("kinds")).collect()
+    assert sorted((r["k"], r["n"], r["kinds"]) for r in found) == [(0, 6667, 1), (1, 6667, 1), (2, 6666, 1)]
+    long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the house "), 500_000).alias("text"))
+    assert languages(long, codes).count() == 1 and languages(short.limit(0), codes).count() == 0

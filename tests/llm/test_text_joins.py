@@ -190,3 +190,15 @@ def test_leaks_against_plain_13_grams(spark):
     texts = {r["doc_id"]: " " + " ".join(words(r["text"])) + " " for r in docs.collect()}
     want = {(k, r["item_id"]) for r in items.collect() for w in [words(r["text"])] for k, t in texts.items() if any(f" {' '.join(w[j : j + 13])} " in t for j in range(len(w) - 12))}
     assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == want and want
+
+
+def test_columns_that_clash_with_names_made_on_the_way(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (3, "what is the capital of the old kingdom by the sea"), (4, None)]
+    made = ["gone", "again", "leaked_id", "gone_id", "dropped", "component_id", "first", "line", "window", "node"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in made])
+    benchmark = spark.createDataFrame([(7, rows[3][1])], "item_id long, text string")
+    kept, clean, cut = one_of_each_group(docs), decontaminated(docs, benchmark), without_repeats(docs)
+    assert all(out.columns == docs.columns for out in (kept, clean, cut))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    assert sorted(r["doc_id"] for r in clean.collect()) == [1, 2, 2, 4]
+    assert sorted((r["doc_id"], r["text"]) for r in cut.where("text is not null").collect()) == [(1, rows[0][1]), (2, ""), (2, ""), (3, rows[3][1])]
