@@ -10,13 +10,14 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 from typing import BinaryIO, TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import decoded
+from ..functions.text import decoded, let
 from .relations import numbered
 
 T = TypeVar("T")
@@ -32,6 +33,18 @@ SIGNATURES = [
     ("1A000004", "wpd", "application/vnd.wordperfect"), ("31BE0000", "wri", "application/x-mswrite"), ("32BE0000", "wri", "application/x-mswrite"), ("0000000C66747970", "mp4", "video/mp4"),
     ("0000001866747970", "mp4", "video/mp4"), ("0000002066747970", "mp4", "video/mp4"),
 ]
+# Office documents by a part of a member's name in a ZIP container, in order of precedence.
+OFFICE_PARTS = [("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx"), ("content.xml", "odt")]
+# Office documents by a stream of a compound file; by what its first 32 KB hold, in UTF-16 or in single bytes; by programs named in its first 4 KB; class ids of encrypted ones.
+STREAMS = [("WordDocument", "doc"), ("Workbook", "xls"), ("Book", "xls"), ("PowerPoint Document", "ppt")]
+STREAM_MARKS = [("WordDocument", "Word.Document", "doc"), ("Workbook", "Excel.Sheet", "xls"), ("PowerPoint Document", "PowerPoint.Show", "ppt")]
+PROGRAMS = [("Microsoft Excel", "xls"), ("Microsoft PowerPoint", "ppt"), ("Calc", "xls"), ("Impress", "ppt")]
+CLASS_IDS = [("2008020000000000C000000000000046", "xlsx"), ("108D81649B4FCF1186EA00AA00B929E8", "pptx")]
+OFFICE_MIME = {
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "odt": "application/vnd.oasis.opendocument.text",
+    "doc": "application/msword", "xls": "application/vnd.ms-excel", "ppt": "application/vnd.ms-powerpoint",
+}
 # Format lists of the triage.
 ARCHIVES = "zip gz bz2 tar rar 7z".split()
 UPGRADE = {"xls": "xlsx", "xlt": "xlsx", "ppt": "pptx", "pot": "pptx"}
@@ -43,17 +56,103 @@ FORMAT_CODES = [("fmt/37", "doc"), ("fmt/38", "doc"), ("fmt/39", "doc"), ("fmt/4
 LARGEST = 10 << 20
 
 
+def _kind(ext: str, mime: str, encrypted: Column | bool = False) -> Column:
+    return F.struct(F.lit(ext).alias("ext"), F.lit(mime).alias("mime"), (encrypted if isinstance(encrypted, Column) else F.lit(encrypted)).alias("encrypted"))
+
+
+def _latin(content: Column, at: Column | int, n: Column | int) -> Column:
+    """n bytes from at (from 0), each as the character of its number."""
+    where = (at + 1 if isinstance(at, Column) else F.lit(at + 1)).cast("int")
+    return F.decode(F.substring(content, where, n if isinstance(n, Column) else F.lit(n)), "ISO-8859-1")
+
+
+def _number(text: Column, at: int, n: int) -> Column:
+    """The number in n characters of such a text from at, the lowest first."""
+    return reduce(lambda a, b: a + b, [F.ascii(F.substring(text, at + k + 1, 1)).cast("long") * (1 << (8 * k)) for k in range(n)])
+
+
+def zip_names(content: Column) -> Column:
+    """Names of the members in a ZIP container's directory; null without one. Only the directory is read."""
+
+    def listed(directory: Column) -> Column:
+        heads = F.regexp_extract_all(directory, F.lit(r"(?s)PK\x01\x02(?=(.{42}.{0,1000}))"), F.lit(1))
+        return F.transform(heads, lambda h: F.substring(h, F.lit(43), _number(h, 24, 2).cast("int")))
+
+    def found(tail: Column) -> Column:
+        end = F.regexp_extract(tail, r"(?s).*PK\x05\x06(.{18})", 1)
+        at = _number(end, 12, 4)
+        return F.when((F.length(end) > 0) & (at < F.length(content)), let(_latin(content, at, _number(end, 8, 4).cast("int")), listed))
+
+    back = F.least(F.length(content), F.lit(66_000))  # the end record and the longest comment after it
+    return let(_latin(content, F.length(content) - back, back), found)
+
+
+def compound_names(content: Column) -> Column:
+    """Storages and streams in the first 64 entries of a compound file's directory; null if its header names none."""
+    entry = lambda directory, k: F.substring(directory, k * 128 + 1, F.lit(128))
+
+    def name(e: Column) -> Column:
+        n = _number(e, 64, 2)
+        good = (F.length(e) == 128) & _number(e, 66, 1).isin(1, 2) & n.between(2, 64)
+        return F.when(good, F.regexp_replace(F.substring(e, F.lit(1), (n - 2).cast("int")), r"\x00", ""))
+
+    names = lambda d: F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: name(entry(d, k))), lambda x: F.length(x) > 0)
+    at = _directory_at(content)
+    return F.when(at.isNotNull(), let(_latin(content, F.least(at, F.length(content)), 64 * 128), names))
+
+
+def _directory_at(content: Column) -> Column:
+    """Where the directory of a compound file begins: after the header, so many sectors on."""
+
+    def at(head: Column) -> Column:
+        power, sector = _number(head, 30, 2), _number(head, 48, 4)
+        return F.when((F.length(head) >= 52) & power.between(6, 20) & (sector != 0xFFFFFFFE), 512 + sector * F.pow(F.lit(2.0), power).cast("long"))
+
+    return let(_latin(content, 0, 512), at)
+
+
+def _compound_kind(content: Column) -> Column:
+    def kind(names: Column) -> Column:
+        has = lambda word: F.array_contains(names, word)
+        secret = has("EncryptionInfo")
+        root = F.hex(F.substring(content, (F.least(_directory_at(content), F.length(content).cast("long")) + 81).cast("int"), F.lit(16)))
+        packed = reduce(lambda rest, c: F.when(root == c[0], _kind(c[1], OFFICE_MIME[c[1]], True)).otherwise(rest), CLASS_IDS, _kind("docx", OFFICE_MIME["docx"], True))
+        start = _latin(content, 0, 1 << 15)
+        out = F.when(names.isNull(), _kind("doc", OFFICE_MIME["doc"])).when(secret & has("EncryptedPackage"), packed)
+        for stream, ext in STREAMS:
+            out = out.when(has(stream), _kind(ext, OFFICE_MIME[ext], secret))
+        for wide, narrow, ext in STREAM_MARKS:
+            out = out.when(start.contains("".join(c + "\0" for c in wide)) | start.contains(narrow), _kind(ext, OFFICE_MIME[ext], secret))
+        for program, ext in PROGRAMS:
+            out = out.when(_latin(content, 0, 4096).contains(program), _kind(ext, OFFICE_MIME[ext], secret))
+        return out.otherwise(_kind("doc", OFFICE_MIME["doc"]))
+
+    return let(compound_names(content), kind)
+
+
+def _zip_kind(content: Column) -> Column:
+    def kind(names: Column) -> Column:
+        out = F.when(names.isNull(), _kind("zip", "application/zip"))
+        for part, ext in OFFICE_PARTS:
+            out = out.when(F.exists(names, lambda n: n.contains(part)), _kind(ext, OFFICE_MIME[ext]))  # noqa: B023
+        return out.otherwise(_kind("zip", "application/zip"))
+
+    return let(zip_names(content), kind)
+
+
 def format_of(content: Column) -> Column:
     """struct(ext, mime, encrypted) by leading bytes, byte-order mark and blanks aside; text without zero bytes is txt, the rest bin.
 
-    Signatures that begin with '{', '<' or '%' also count within the first 512 bytes. Expressions only.
+    Office documents are told apart by their inner directories: streams of compound files, which also tell whether
+    there is a password, and members of ZIP containers. Damaged ones are doc and zip. Signatures that begin with '{', '<' or '%' also count within the first 512 bytes. Expressions only.
     """
     window = F.hex(F.substring(content, 1, 512))
     head = F.regexp_replace(F.regexp_replace(window, "^(?:EFBBBF|FFFE0000|0000FEFF|FFFE|FEFF)", ""), "^(?:20|09|0D|0A)+", "")
-    kind = lambda ext, mime: F.struct(F.lit(ext).alias("ext"), F.lit(mime).alias("mime"), F.lit(False).alias("encrypted"))
+    kind = _kind
     within = lambda sig: window.rlike(f"^(?:..)*{sig}")
-    out = F.when(F.length(content) == 0, kind("bin", "application/octet-stream")).when(head.startswith("D0CF11E0"), kind("doc", "application/msword"))
+    out = F.when(F.length(content) == 0, kind("bin", "application/octet-stream")).when(head.startswith("D0CF11E0"), _compound_kind(content))
     out = out.when((F.length(content) > 10) & window.rlike("^.{8}425A683[1-9]"), kind("bz2", "application/x-bzip2"))
+    out = out.when(head.startswith("504B0304"), _zip_kind(content))
     for sig, ext, mime in SIGNATURES:
         hit = head.startswith(sig) | within(sig) if sig[:2] in ("7B", "3C", "25") else head.startswith(sig)
         out = out.when(hit, kind(ext, mime))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import lobs as L
@@ -32,6 +38,28 @@ def identify_formats(i: Inputs) -> DataFrame:
     return L.identify(_heads(i)).select("doc_id", "path", "ext", "encrypted")
 
 
+def _office(kind: int, text: str) -> bytes:
+    """A container of one of eight kinds around a text: four ZIP ones, three compound ones, and a compound one with a password."""
+    if kind < 4:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.xml", "<a/>")
+            z.writestr(["word/document.xml", "xl/workbook.xml", "content.xml", "notes.txt"][kind], text)
+        return out.getvalue()
+    entries = b"".join(n.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HB", 2 * len(n) + 2, 1 + (k > 0)).ljust(64, b"\0") for k, n in enumerate(["Root", *[["WordDocument"], ["Workbook"], ["PowerPoint Document"], ["EncryptionInfo", "EncryptedPackage"]][kind - 4]]))
+    head = bytes.fromhex("D0CF11E0A1B11AE1").ljust(30, b"\0") + struct.pack("<H", 9).ljust(18, b"\0") + struct.pack("<I", 1)
+    return head.ljust(1024, b"\0") + entries.ljust(512, b"\0") + text.encode()
+
+
+@demo("""SELECT concat('o', doc_id) AS path, CASE doc_id % 8 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'odt' WHEN 3 THEN 'zip' WHEN 4 THEN 'doc' WHEN 5 THEN 'xls' WHEN 6 THEN 'ppt' ELSE 'docx' END AS ext, doc_id % 8 = 7 AS encrypted FROM documents""")
+def office_formats(i: Inputs) -> DataFrame:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": "o" + b["doc_id"].astype(str), "content": [_office(k % 8, t or "") for k, t in zip(b["doc_id"], b["text"], strict=True)]})
+
+    return L.identify(i.documents.select("doc_id", "text").mapInPandas(packed, "path string, content binary")).select("path", "ext", "encrypted")
+
+
 _REPORT = "rp AS (SELECT path, CASE o_orderkey % 5 WHEN 0 THEN 'fmt/18' WHEN 1 THEN 'fmt/40' WHEN 2 THEN 'fmt/61' WHEN 3 THEN 'fmt/99999' ELSE 'fmt/412' END AS code, CASE WHEN o_orderkey % 19 = 0 THEN 'File is Encrypted' WHEN o_orderkey % 29 = 0 THEN 'password needed' ELSE '' END AS warning FROM d_inv)"
 
 

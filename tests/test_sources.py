@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import lobs as L
+from ledgerloom.plans.demo_lobs import _office
 from ledgerloom.sources import readers, writers
 from ledgerloom.streaming.intake import format_counts, start_intake
 
@@ -90,6 +91,25 @@ def test_formats(spark):
     assert [r["ext"] for r in df.select("k", L.format_of(F.col("content"))["ext"].alias("ext")).orderBy("k").collect()] == [e for _, e in rows]
 
 
+def test_office_formats(spark):
+    """Containers of real and damaged office files; a password; marks outside the directory; a comment after the directory."""
+    whole = [_office(k, "some text " * 50) for k in range(8)]
+    excel = bytearray(whole[7])
+    excel[1104:1120] = bytes.fromhex("2008020000000000C000000000000046")
+    bare = whole[4][:1024].ljust(1536, b"\0")
+    late = io.BytesIO()
+    with zipfile.ZipFile(late, "w") as z:
+        z.comment = b"x" * 60_000
+        z.writestr("é.txt", b"PK\x01\x02" * 50)
+        z.writestr("ppt/presentation.xml", "p")
+    rows = [*zip(whole, [(e, e == "docx" and k == 7) for k, e in enumerate("docx xlsx odt zip doc xls ppt docx".split())], strict=True)]
+    rows += [(bytes(excel), ("xlsx", True)), (late.getvalue(), ("pptx", False)), (whole[0][:-30], ("zip", False)), (b"PK\x03\x04", ("zip", False)), (whole[5][:600], ("doc", False)), (whole[5][:8], ("doc", False))]
+    rows += [(bare + "Workbook".encode("utf-16-le"), ("xls", False)), (bare + b"PowerPoint.Show", ("ppt", False)), (bare + b"Impress", ("ppt", False)), (bare, ("doc", False)), (None, (None, None))]
+    df = spark.createDataFrame([(k, bytearray(c) if c is not None else None) for k, (c, _) in enumerate(rows)], "path int, content binary")
+    got = {r["path"]: (r["ext"], r["encrypted"]) for r in L.identify(df).collect()}
+    assert [got[k] for k in range(len(rows) - 1)] == [e for _, e in rows[:-1]]
+
+
 def test_intake_resumes(spark, tmp_path):
     source, target, point = tmp_path / "in", tmp_path / "inv", tmp_path / "point"
     source.mkdir()
