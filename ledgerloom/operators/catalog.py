@@ -49,6 +49,21 @@ def drop_tables(tables: DataFrame, names: DataFrame) -> DataFrame:
     return tables.join(marked, F.lower(F.trim("table_name")) == F.col("marked"), "left_anti")
 
 
+def of_tables(tables: DataFrame, frame: DataFrame) -> DataFrame:
+    """Rows of a frame whose table_key is among tables; a key between two tables needs both. Columns, keys and files follow their tables when these are dropped or selected."""
+    left = tables.select("table_key").distinct()
+    out = frame.join(left, "table_key", "left_semi")
+    return out.join(left.withColumnRenamed("table_key", "ref_table_key"), "ref_table_key", "left_semi").select(*frame.columns) if "ref_table_key" in frame.columns else out
+
+
+def rename_schema_refs(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """refs with ref_schema in its safe name: names are what sanitize_schemas returns, compared without case and outer blanks; other references stay."""
+    key = lambda c: F.lower(F.trim(c))
+    renamed = names.where("renamed").groupBy(key("schema_name").alias("schema_key")).agg(F.min_by("safe_name", "ordinal").alias("safe_name"))
+    out = refs.join(renamed, key("ref_schema") == F.col("schema_key"), "left")
+    return out.select(*[F.coalesce("safe_name", "ref_schema").alias(c) if c == "ref_schema" else F.col(c) for c in refs.columns], F.col("safe_name").isNotNull().alias("renamed"))
+
+
 def resolve_suffixes(columns: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Each suffix with the columns whose name after the first underscore is it, in any case; none: missing."""
     after = columns.where(F.col("name").contains("_")).select("table_key", "name", F.lower(F.regexp_replace("name", "^[^_]*_", "")).alias("key"))

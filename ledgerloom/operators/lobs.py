@@ -50,8 +50,55 @@ ARCHIVES = "zip gz bz2 tar rar 7z".split()
 UPGRADE = {"xls": "xlsx", "xlt": "xlsx", "ppt": "pptx", "pot": "pptx"}
 KEEP = "csv tiff tif jpg jpeg png gif bmp ppt pptx pot potx odp xls xlsx xlt xltx ods mp3 wav flac ogg mpg mpeg mp4 m4v avi sosi gml ifc warc zip tar gz bz2 msg eml jp2 jpe webp svg exe 7z rar".split()
 CONVERT = "doc docx dot dotx odt ott odg rtf wpd wp wp5 wp6 wps wri lwp sxw sdw".split()
-#: Registry ids that ident reports use, with short extensions; a larger table can be passed as a frame.
-FORMAT_CODES = [("fmt/37", "doc"), ("fmt/38", "doc"), ("fmt/39", "doc"), ("fmt/40", "doc"), ("fmt/412", "docx"), ("fmt/55", "xls"), ("fmt/61", "xls"), ("fmt/214", "xlsx"), ("fmt/126", "ppt"), ("fmt/215", "pptx"), ("fmt/14", "pdf"), ("fmt/18", "pdf"), ("fmt/354", "pdf"), ("fmt/136", "odt")]
+# Registry ids that ident reports use, by short extension.
+CODES_OF = {
+    "doc": "fmt/37 fmt/38 fmt/39 fmt/40 fmt/609 x-fmt/42 x-fmt/43 x-fmt/44 x-fmt/45",
+    "docx": "fmt/412 fmt/523",
+    "xls": "fmt/55 fmt/56 fmt/57 fmt/59 fmt/61 fmt/62 fmt/175 fmt/176 fmt/177",
+    "xlsx": "fmt/214 fmt/445",
+    "ppt": "fmt/125 fmt/126 fmt/179 fmt/181",
+    "pptx": "fmt/215",
+    "odt": "fmt/136 fmt/290 fmt/291",
+    "ods": "fmt/137 fmt/294 fmt/295",
+    "odp": "fmt/138 fmt/292 fmt/293",
+    "odg": "fmt/139 fmt/296 fmt/297",
+    "pdf": "fmt/14 fmt/15 fmt/16 fmt/17 fmt/18 fmt/19 fmt/20 fmt/95 fmt/276 fmt/354 fmt/476 fmt/477 fmt/478 fmt/479 fmt/480 fmt/481",
+    "rtf": "fmt/45 fmt/50 fmt/52 fmt/53 fmt/355 fmt/969",
+    "wpd": "x-fmt/203 x-fmt/204 x-fmt/394 fmt/394",
+    "wri": "x-fmt/393",
+    "png": "fmt/11 fmt/12 fmt/13",
+    "jpg": "fmt/41 fmt/42 fmt/43 fmt/44 fmt/645",
+    "gif": "fmt/3 fmt/4",
+    "bmp": "fmt/115 fmt/116 fmt/117 x-fmt/25",
+    "tiff": "fmt/152 fmt/153 fmt/154 fmt/155 fmt/156 fmt/353 fmt/387 x-fmt/399",
+    "jp2": "fmt/92 fmt/93",
+    "svg": "fmt/91 fmt/413 fmt/414",
+    "webp": "fmt/573",
+    "mp4": "fmt/199 fmt/636",
+    "mpg": "fmt/640 fmt/641",
+    "avi": "fmt/5 fmt/648",
+    "m4v": "fmt/569",
+    "zip": "x-fmt/263 fmt/610",
+    "gz": "x-fmt/266",
+    "7z": "fmt/484",
+    "tar": "x-fmt/265",
+    "rar": "fmt/410 fmt/411",
+    "xml": "fmt/101 fmt/801",
+    "html": "fmt/96 fmt/97 fmt/98 fmt/99 fmt/100 fmt/471",
+    "txt": "x-fmt/16 x-fmt/21 x-fmt/22 fmt/111",
+    "csv": "x-fmt/18 fmt/800",
+    "mp3": "fmt/134",
+    "wav": "fmt/141",
+    "flac": "fmt/142 fmt/279",
+    "ogg": "fmt/203 fmt/541 fmt/667",
+    "eml": "fmt/278",
+    "msg": "x-fmt/430 fmt/950",
+    "warc": "fmt/289 fmt/700",
+    "gml": "fmt/802 fmt/803",
+    "ifc": "fmt/824 fmt/825",
+}
+#: (code, ext) of each of them; another table can be passed as a frame.
+FORMAT_CODES = [(code, ext) for ext, codes in CODES_OF.items() for code in codes.split()]
 #: Speculative decoders look at no larger payload.
 LARGEST = 10 << 20
 

@@ -38,6 +38,35 @@ def table_drop(i: Inputs) -> DataFrame:
     return C.drop_tables(i.d_tables, marked).select("table_key", "table_name")
 
 
+_LEFT = "lf AS (SELECT table_key FROM d_tables WHERE lower(table_name) NOT IN (SELECT lower(table_name) FROM d_tables WHERE declared_rows % 5000 = 0))"
+
+
+@demo(f"""WITH {_LEFT} SELECT 'column' AS kind, table_key, name FROM d_columns WHERE table_key IN (FROM lf)
+UNION ALL SELECT 'key', table_key, name FROM d_keys WHERE table_key IN (FROM lf) AND ref_table_key IN (FROM lf) UNION ALL SELECT 'file', table_key, path FROM d_inv WHERE table_key IN (FROM lf)""")
+def table_drop_cascade(i: Inputs) -> DataFrame:
+    left = C.drop_tables(i.d_tables, i.d_tables.where("declared_rows % 5000 = 0").select("table_name"))
+    shown = lambda kind, df, name: C.of_tables(left, df).select(F.lit(kind).alias("kind"), "table_key", F.col(name).alias("name"))
+    return shown("column", i.d_columns, "name").unionByName(shown("key", i.d_keys, "name")).unionByName(shown("file", i.d_inv, "path"))
+
+
+@demo("""WITH sf AS (SELECT table_key FROM d_tables WHERE ends_with(split_part(table_key, '/', 1), '1'))
+SELECT table_key, (SELECT count(*) FROM d_columns c WHERE c.table_key = sf.table_key) AS columns, (SELECT count(*) FROM d_keys k WHERE k.table_key = sf.table_key AND ref_table_key IN (FROM sf)) AS keys FROM sf""")
+def schema_select_cascade(i: Inputs) -> DataFrame:
+    kept = i.d_tables.where(F.substring_index("table_key", "/", 1).endswith("1"))
+    n = lambda df, name: C.of_tables(kept, df).groupBy("table_key").agg(F.count("*").alias(name))
+    return kept.select("table_key").join(n(i.d_columns, "columns"), "table_key", "left").join(n(i.d_keys, "keys"), "table_key", "left").na.fill(0)
+
+
+@demo("""WITH s AS (SELECT schema_name, min(table_key) AS first FROM d_tables GROUP BY 1), o AS (SELECT schema_name, row_number() OVER (ORDER BY first) - 1 AS ordinal FROM s),
+b AS (SELECT lower(trim(schema_name)) AS k, arg_min(concat('schema', ordinal), ordinal) AS safe FROM o WHERE trim(schema_name) <> '' AND NOT regexp_matches(schema_name, '^[A-Za-z0-9_.-]+$') GROUP BY 1)
+SELECT d_keys.table_key, name, coalesce(safe, concat(upper(schema_name), ' ')) AS ref_schema, safe IS NOT NULL AS renamed FROM d_keys JOIN d_tables ON d_tables.table_key = ref_table_key LEFT JOIN b ON k = lower(trim(schema_name))""")
+def schema_refs(i: Inputs) -> DataFrame:
+    """Keys name the schema of the table they refer to, in capitals and with a blank after it."""
+    target = i.d_tables.select(F.col("table_key").alias("ref_table_key"), F.concat(F.upper("schema_name"), F.lit(" ")).alias("ref_schema"))
+    refs = i.d_keys.join(target, "ref_table_key").select("table_key", "name", "ref_schema")
+    return C.rename_schema_refs(refs, C.sanitize_schemas(i.d_tables))
+
+
 @demo("""WITH s AS (SELECT * FROM (VALUES ('custkey'), ('NAME'), ('orderkey'), ('absent')) v(suffix)), c AS (SELECT table_key, name, lower(regexp_replace(name, '^[^_]*_', '')) AS k FROM d_columns WHERE contains(name, '_'))
 SELECT suffix, table_key, name AS column_name, name IS NULL AS missing FROM s LEFT JOIN c ON k = lower(suffix)""")
 def suffix_resolve(i: Inputs) -> DataFrame:
