@@ -17,7 +17,7 @@ from typing import BinaryIO, TypeVar
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import decoded, let
+from ..functions.text import decoded, let, respelled
 from .relations import numbered
 
 T = TypeVar("T")
@@ -305,7 +305,7 @@ def _members(data: bytes | None, use: Callable[[str, BinaryIO], T], most: int |
 
 
 def recover_payload(inv: DataFrame, largest: int = 1 << 30) -> DataFrame:
-    """path, route, content: containers of one member unpacked, text decoded from hex or base-64, others as they are.
+    """path, route, content: containers of one member unpacked, text decoded from hex or base-64, binary content saved as text respelled, others as they are.
 
     Text is decoded up to LARGEST bytes. A container that is damaged has the route broken, one with a password encrypted, one whose
     member exceeds largest bytes oversize: a guard against bombs, such a payload stays packed. Null content stays null.
@@ -339,7 +339,12 @@ def recover_payload(inv: DataFrame, largest: int = 1 << 30) -> DataFrame:
     text = F.when(F.length("content") <= LARGEST, F.try_validate_utf8(F.col("content").cast("string")))
     decoded = out.withColumn("b64", base64_payload(text)).withColumn("hexed", F.when(is_hex(F.trim(text)) & (F.length(text) >= 8), F.try_to_binary(F.trim(text), F.lit("hex"))))
     raw = F.col("route") == "as_is"
-    return decoded.select("path", F.when(raw & F.col("hexed").isNotNull(), "hex").when(raw & F.col("b64").isNotNull(), "base64").otherwise(F.col("route")).alias("route"), F.when(raw, F.coalesce("hexed", "b64", "content")).otherwise(F.col("content")).alias("content"))
+    # plain text in another script has such bytes as well; only what then has a known format was binary
+    odd = F.regexp_count(F.decode(F.substring("content", 1, 512), "ISO-8859-1"), F.lit(r"[\x80-\xFF]")) >= 10
+    known = let(respelled(text), lambda b: F.when(~format_of(b)["ext"].isin("txt", "bin"), b))
+    decoded = decoded.withColumn("spelled", F.when(raw & odd & F.col("hexed").isNull() & F.col("b64").isNull(), known))
+    route = F.when(raw & F.col("hexed").isNotNull(), "hex").when(raw & F.col("b64").isNotNull(), "base64").when(F.col("spelled").isNotNull(), "respelled").otherwise(F.col("route"))
+    return decoded.select("path", route.alias("route"), F.when(raw, F.coalesce("hexed", "b64", "spelled", "content")).otherwise(F.col("content")).alias("content"))
 
 
 def container_profile(inv: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos", kee
     return placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
+def preview(rows: DataFrame, order: Iterable[str], n: int = 10) -> DataFrame:
+    """The first n rows in order, all columns as trimmed text; no table is sorted as a whole."""
+    return rows.orderBy(*order).limit(n).select(*[F.trim(rows[c].cast("string")).alias(c) for c in rows.columns])
+
+
 def numbered(df: DataFrame, group: str, order: Iterable[str], name: str = "at") -> DataFrame:
     """df with the 1-based place of each row within its group, in the given order; a large group is spread over many tasks."""
     placed = with_row_pos(df, [group, *order], "__place")

@@ -135,6 +135,11 @@ def row_preview(i: Inputs) -> DataFrame:
     return i.orders.orderBy("o_orderkey").limit(10).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+@demo("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, trim(c_name) AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer ORDER BY customer.c_custkey LIMIT 25")
+def row_preview_text(i: Inputs) -> DataFrame:
+    return R.preview(i.customer.select("c_custkey", "c_name", "c_nationkey"), ["c_custkey"], 25)
+
+
 #: Turns as the documents of a case: the opening turn is the main document, answers of the assistant are data; every ninth case has lost them.
 TURNS = "tn AS (SELECT conv_id, turn, text, CASE WHEN turn = 0 THEN 1 WHEN role = 'assistant' AND conv_id % 9 <> 4 THEN 2 ELSE 3 END AS seq FROM conversations), fd AS (SELECT conv_id, arg_min(text, turn) AS data_text, min(turn) AS data_turn FROM tn WHERE seq = 2 GROUP BY 1), pd AS (SELECT tn.conv_id, text, data_turn, data_text FROM tn LEFT JOIN fd USING (conv_id) WHERE seq = 1)"
 

@@ -87,10 +87,13 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
-    """Tables of a JSON description template: name, description; the list may be the root or stand at tables, tabeller or templateSchema.tables. The last of a name counts."""
+    """Tables of a JSON description template: name, description; the list may be the root or stand at tables, tabeller, templateSchema.tables or tables of any other part, the first by name. The last of a name counts."""
     root = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
     entry = "array<struct<name:string,description:string>>"
-    found = F.coalesce(*[F.try_variant_get("v", p, entry) for p in ("$", "$.tables", "$.tabeller", "$.templateSchema.tables")])
+    parts = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+    lists = F.array_sort(F.transform(parts, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$.tables", entry).alias("tables"))))
+    first = F.get(F.filter(lists, lambda x: x["tables"].isNotNull()), F.lit(0))["tables"]
+    found = F.coalesce(*[F.try_variant_get("v", p, entry) for p in ("$", "$.tables", "$.tabeller", "$.templateSchema.tables")], first)
     rows = root.select(F.posexplode(found).alias("at", "t")).where("t.name is not null").select("at", F.trim("t.name").alias("name"), F.coalesce("t.description", F.lit("")).alias("description"))
     return rows.groupBy(F.lower("name").alias("key")).agg(F.max_by("name", "at").alias("name"), F.max_by("description", "at").alias("description")).drop("key")
 

@@ -63,7 +63,7 @@ def test_ledger_errors_template_report(spark, tmp_path):
     assert [(r["src_path"], r["src_size"], r["src_ext"]) for r in readers.read_ledger(spark, str(tmp_path / "l.csv")).collect()] == [("a.doc", 10, "doc"), ("b", 0, "")]
     (tmp_path / "e.log").write_text("# head\n\n[10:00]  x/y.doc  |  .doc  |  timed | out\nnothing\n")
     assert [tuple(r) for r in readers.read_errors(spark, str(tmp_path / "e.log")).collect()] == [("x/y.doc", "doc", "timed | out")]
-    for k, root in enumerate(([{"name": "A", "description": "1"}, {"name": "a", "description": "2"}], {"tables": [{"name": "a", "description": "2"}]}, {"templateSchema": {"tables": [{"name": "a", "description": "2"}]}})):
+    for k, root in enumerate(([{"name": "A", "description": "1"}, {"name": "a", "description": "2"}], {"tables": [{"name": "a", "description": "2"}]}, {"templateSchema": {"tables": [{"name": "a", "description": "2"}]}}, {"version": 1, "other": {"tables": [{"name": "a", "description": "2"}]}})):
         (tmp_path / f"t{k}.json").write_text(json.dumps(root))
         assert [tuple(r) for r in readers.read_template(spark, str(tmp_path / f"t{k}.json")).collect()] == [("a", "2")]
     (tmp_path / "r.json").write_text(json.dumps({"files": [{"filename": "f", "matches": [{"id": "fmt/18", "warning": "w"}]}, {"filename": "g", "matches": []}]}))
@@ -85,6 +85,16 @@ def test_payloads(spark):
     assert [tuple(r) for r in L.container_profile(df).where("path = 'zip'").collect()] == [("zip", "zip", 2, 6, True)]
 
 
+def test_binary_content_saved_as_text(spark):
+    """Bytes read as Windows-1252 and saved as UTF-8 come back; text of other scripts and plain text stay."""
+    binary = b"%PDF-1.4 " + bytes(range(256)) * 3
+    spelled = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in binary).encode()
+    rows = [("pdf", spelled), ("cyrillic", ("%PDF " + "текст " * 40).encode()), ("accents", ("é" * 40).encode()), ("few", "%PDF é".encode()), ("none", None)]
+    df = spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in rows], "path string, content binary")
+    got = {r["path"]: (r["route"], bytes(r["content"]) if r["content"] is not None else None) for r in L.recover_payload(df).collect()}
+    assert got == {"pdf": ("respelled", binary)} | {p: ("as_is", c) for p, c in rows[1:]}
+
+
 def test_formats(spark):
     rows = [(b"%PDF-1", "pdf"), (b"\xef\xbb\xbf  <?xml?>", "xml"), (b"<!doctype html><html>", "html"), (b"\x01\x00\x00\x00BZh91AY&SY", "bz2"), (b"plain", "txt"), (b"\x00\x01\x02", "bin"), (b"", "bin"), (b"xx {\\rtf1", "rtf"), (b"\xff\xd8\xff\xe0", "jpg")]
     df = spark.createDataFrame([(k, bytearray(c)) for k, (c, _) in enumerate(rows)], "k int, content binary")
