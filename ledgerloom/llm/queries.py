@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .centroids import CENTROID_SQL, centroid_clusters
 from .decontamination import leaks
 from .embeddings import embedding_components
 from .language import fit_language, languages
@@ -13,6 +14,7 @@ from .lines import line_decisions
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality import fit_quality, quality_scores
+from .runs import document_runs, run_digests, with_planted_repeats
 from .sampling import fold
 from .secrets import fit_ratios, secret_digests, secret_spans
 from .sharding import kd_shards
@@ -70,6 +72,14 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(document_runs(with_planted_repeats(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_network": op2_quality_network,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_shards": op8_kd_shards,
     "op9_embedding_pq": op9_embedding_pq,
     "op10_template_leaks": op10_template_leaks,
+    "op11_centroids": op11_centroids,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_centroids": CENTROID_SQL}
