@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import lobs as L
 from ..sources import readers
 from ..sources.shared import shared_folder
-from ..streaming.intake import format_counts, start_intake
+from ..streaming.intake import format_counts, live_counts, start_counts, start_intake
 from .fixtures import Inputs
 from .registry import demo
 
@@ -24,11 +24,22 @@ def _files(i: Inputs) -> DataFrame:
     return i.documents.select(F.concat(F.lit("content/schema0/table0/lob1/rec"), "doc_id").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.length("text").cast("long").alias("length"), F.encode(F.concat(head, "text"), "UTF-8").alias("content"))
 
 
-_COUNTS = "SELECT CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xml' ELSE 'txt' END AS ext, count(*) AS count FROM documents GROUP BY 1"
+_EXT = "CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xml' ELSE 'txt' END"
 
 
-@demo(_COUNTS)
+@demo(f"SELECT {_EXT} AS ext, count(*) AS count, CAST(sum(length(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def stream_format_counts(i: Inputs) -> DataFrame:
+    """Files arrive in three parts. The counts of the first are made in several batches, then the query ends; it is started again for each other part."""
+    source, target, point = _folder(i, "in"), _folder(i, "counts"), _folder(i, "point")
+    for part in range(3):
+        _files(i).where(F.pmod(F.xxhash64("path"), F.lit(3)) == part).repartition(4).write.mode("append").parquet(source)
+        start_counts(i.spark, source, target, point, "parquet", files_per_batch=2).awaitTermination()
+    return live_counts(i.spark, target).select("ext", "count", "bytes")
+
+
+@demo(f"SELECT {_EXT} AS ext, count(*) AS count, CAST(sum(length(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def inventory_format_counts(i: Inputs) -> DataFrame:
+    """The same sums over a finished inventory."""
     source, target = _folder(i, "in"), _folder(i, "inventory")
     _files(i).write.parquet(source)
     start_intake(i.spark, source, target, _folder(i, "point"), "parquet").awaitTermination()
