@@ -106,7 +106,7 @@ def fix_lobfolders(columns: DataFrame) -> DataFrame:
     """Columns with their folder without leading slash, content/ and trailing slash, and what was wrong with it."""
     old = F.col("lob_folder")
     new = F.regexp_replace(F.regexp_replace(old, "^/*(?:content/)?", ""), "/+$", "")
-    return columns.where(old != "").select("table_key", "col_idx", "lob_folder", new.alias("new_folder"), old.rlike("^/*content/").alias("had_prefix"), old.endswith("/").alias("had_slash"))
+    return columns.where(old != "").select("archive_id", "table_key", "col_idx", "lob_folder", new.alias("new_folder"), old.rlike("^/*content/").alias("had_prefix"), old.endswith("/").alias("had_slash"))
 
 
 def select_schemas(inv: DataFrame, keep: list[str]) -> DataFrame:

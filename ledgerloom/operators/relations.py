@@ -191,10 +191,10 @@ def fk_audit(rows: Mapping[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
 
 
 def refreshed_counts(declared: DataFrame, rows: DataFrame) -> DataFrame:
-    """table_key, declared_rows, actual_rows and whether they differ; rows has one row per kept row with its table_key."""
-    actual = rows.groupBy("table_key").agg(F.count("*").alias("actual_rows"))
-    out = declared.join(actual, "table_key", "left").withColumn("actual_rows", F.coalesce("actual_rows", F.lit(0)))
-    return out.select("table_key", "declared_rows", "actual_rows", (F.col("declared_rows") != F.col("actual_rows")).alias("changed"))
+    """archive_id, table_key, declared_rows, actual_rows and whether they differ; rows has one row per kept row with its archive and table."""
+    table = ["archive_id", "table_key"]
+    out = declared.join(rows.groupBy(*table).agg(F.count("*").alias("actual_rows")), table, "left").na.fill(0, ["actual_rows"])
+    return out.select(*table, "declared_rows", "actual_rows", (F.col("declared_rows") != F.col("actual_rows")).alias("changed"))
 
 
 def pair_documents(rows: DataFrame, case_id: str, seq: str, order: list[str], main: int = 1, data: int = 2) -> DataFrame:

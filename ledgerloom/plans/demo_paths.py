@@ -20,20 +20,6 @@ def path_keys(i: Inputs) -> DataFrame:
     return P.path_keys(i.d_inv.select("path", "length"), "path")
 
 
-@demo("SELECT path, table_key, lob, basename, ext, length FROM d_inv")
-def lob_inventory(i: Inputs) -> DataFrame:
-    keys = P.path_keys(i.d_inv.select("path", "length"), "path")
-    name = F.col("name")
-    return keys.select("path", F.concat_ws("/", "schema_folder", "table_folder").alias("table_key"), F.col("lob_folder").alias("lob"), name.alias("basename"), F.substring(name, F.length(F.substring_index(name, ".", 1)) + 2, F.lit(100)).alias("ext"), "length")
-
-
-@demo("SELECT table_key, row_pos, col_idx, ref FROM d_refs WHERE ref IS NOT NULL")
-def lob_refs(i: Inputs) -> DataFrame:
-    wide = i.d_refs.select("table_key", "row_pos", F.when(F.col("col_idx") == 3, F.col("ref")).alias("c3"), F.when(F.col("col_idx") == 4, F.col("ref")).alias("c4"))
-    long = wide.unpivot(["table_key", "row_pos"], ["c3", "c4"], "col", "ref").where("ref is not null")
-    return long.select("table_key", "row_pos", F.substring("col", 2, 9).cast("int").alias("col_idx"), "ref")
-
-
 @demo(r"""WITH f AS (SELECT table_key, CASE WHEN NOT contains(ref, '/') THEN 'basename' WHEN regexp_matches(ref, '^lob[^/]*/[^/]+$') THEN 'lob_relative' WHEN starts_with(ref, 'content/') THEN 'full_relative' ELSE 'other' END AS format FROM d_refs)
 SELECT table_key, format, count(*) AS n, count(*) OVER (PARTITION BY table_key) > 1 AS mixed FROM f GROUP BY table_key, format""")
 def ref_formats(i: Inputs) -> DataFrame:
@@ -88,7 +74,7 @@ def externalize_refs(i: Inputs) -> DataFrame:
     return P.externalize_refs(i.d_refs)
 
 
-@demo(r"SELECT table_key, col_idx, lob_folder, regexp_replace(regexp_replace(lob_folder, '^/*(content/)?', ''), '/+$', '') AS new_folder, regexp_matches(lob_folder, '^/*content/') AS had_prefix, ends_with(lob_folder, '/') AS had_slash FROM d_columns WHERE lob_folder <> ''")
+@demo(r"SELECT archive_id, table_key, col_idx, lob_folder, regexp_replace(regexp_replace(lob_folder, '^/*(content/)?', ''), '/+$', '') AS new_folder, regexp_matches(lob_folder, '^/*content/') AS had_prefix, ends_with(lob_folder, '/') AS had_slash FROM d_columns WHERE lob_folder <> ''")
 def lobfolder_fix(i: Inputs) -> DataFrame:
     return P.fix_lobfolders(i.d_columns)
 

@@ -123,10 +123,11 @@ def fk_audit(i: Inputs) -> DataFrame:
     return R.fk_audit(rows, [KEYS[3], KEYS[5]])
 
 
-@demo("""SELECT t.table_key, CAST(declared_rows AS BIGINT) AS declared_rows, coalesce(n, 0) AS actual_rows, declared_rows <> coalesce(n, 0) AS changed FROM d_tables t LEFT JOIN
-(SELECT 'schema0/table0' AS table_key, count(*) AS n FROM customer UNION ALL SELECT 'schema0/table2', count(*) FROM orders UNION ALL SELECT 'schema1/table0', count(*) FROM nation) a USING (table_key)""")
+@demo("""SELECT t.archive_id, t.table_key, CAST(declared_rows AS BIGINT) AS declared_rows, coalesce(n, 0) AS actual_rows, declared_rows <> coalesce(n, 0) AS changed FROM d_tables t LEFT JOIN
+(SELECT 'a0' AS archive_id, 'schema0/table0' AS table_key, count(*) AS n FROM customer UNION ALL SELECT 'a0', 'schema0/table2', count(*) FROM orders UNION ALL SELECT 'a1', 'schema0/table2', count(*) FROM nation) a USING (archive_id, table_key)""")
 def row_count_refresh(i: Inputs) -> DataFrame:
-    rows = i.customer.select(F.lit("schema0/table0").alias("table_key")).unionAll(i.orders.select(F.lit("schema0/table2"))).unionAll(i.nation.select(F.lit("schema1/table0")))
+    of = lambda df, archive, key: df.select(F.lit(archive).alias("archive_id"), F.lit(key).alias("table_key"))
+    rows = of(i.customer, "a0", "schema0/table0").unionAll(of(i.orders, "a0", "schema0/table2")).unionAll(of(i.nation, "a1", "schema0/table2"))
     return R.refreshed_counts(i.d_tables.withColumn("declared_rows", F.col("declared_rows").cast("long")), rows)
 
 

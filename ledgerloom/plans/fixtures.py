@@ -16,7 +16,7 @@ select concat('content/schema', o_orderkey % 2, '/table', o_custkey % 7, '/lob',
        concat('schema', o_orderkey % 2, '/table', o_custkey % 7) as table_key,
        concat('lob', 3 + o_orderkey % 2) as lob,
        concat('rec', o_orderkey % 400, '.', ext) as basename,
-       ext, cast(floor(o_totalprice * 100) as bigint) as length, o_orderkey
+       ext, cast(floor(o_totalprice * 100) as bigint) as length, o_orderkey, concat('a', cast(floor(o_custkey / 7) as bigint) % 2) as archive_id
 from (select *, case o_orderkey % 10 when 0 then 'doc' when 1 then 'pdf' when 2 then 'txt' when 3 then 'xml'
                 when 4 then 'jpg' when 5 then 'doc.pdf' when 6 then 'zip' else 'bin' end as ext from orders) o
 """,
@@ -27,7 +27,7 @@ select table_key, o_orderkey as row_pos, cast(3 + o_orderkey % 2 as int) as col_
             when o_orderkey % 4 = 1 then concat(lob, '/', basename)
             when o_orderkey % 4 = 2 then path
             else concat('../store/', table_key, '/', lob, '/', basename) end as ref,
-       length
+       length, archive_id
 from d_inv
 """,
     "d_ledger": r"""
@@ -51,15 +51,17 @@ select concat('[12:00:', lpad(cast(o_orderkey % 60 as string), 2, '0'), ']  ', p
 from d_inv where o_orderkey % 24 in (0, 9)
 """,
     "d_tables": r"""
-select concat('schema', s, '/table', k % 25) as table_key,
+select concat('a', n) as archive_id, concat('schema', s, '/table', k % 25) as table_key,
        case s % 4 when 1 then concat('Ref data ', s) when 2 then '' else concat('main_', s) end as schema_name,
        case k % 4 when 0 then (case when g % 5 = 4 then concat('Solo_', g, 'b') else base end) when 1 then concat(base, '_tmp') when 2 then concat(base, '_20230101') else concat(base, '_Backup kopi') end as table_name,
-       case when k % 3 = 0 then concat('About ', p_name) else '' end as description, cast(k % 11 * 1000 as int) as declared_rows
+       case when (k + n) % 3 = 0 then concat('About ', p_name) else '' end as description, cast((k + n) % 11 * 1000 as int) as declared_rows
 from (select *, concat(case g % 6 when 0 then 'Customer' when 1 then 'Orders' when 2 then 'Journal' when 3 then 'Log' when 4 then 'Nation' else 'Region' end, '_', g, 'a') as base
       from (select p_partkey as k, p_name, cast(floor(p_partkey / 25) as bigint) as s, cast(floor(p_partkey / 4) as bigint) as g from part) p) q
+cross join (select * from (values (0), (1)) as v(n)) a
+where n = 0 or k % 7 <> 3
 """,
     "d_columns": r"""
-select table_key, col_idx,
+select archive_id, table_key, col_idx,
        case col_idx when 1 then concat(lower(substr(table_name, 1, 1)), case when declared_rows < 4000 then '_custkey' else '_orderkey' end) when 2 then concat(lower(substr(table_name, 1, 1)), '_name') else 'letter' end as name,
        case col_idx when 1 then 'BIGINT' when 2 then 'VARCHAR(25)' else (case when declared_rows < 4000 then 'BLOB' else 'CLOB' end) end as type,
        case when col_idx = 1 then 'Key' else '' end as description,
@@ -68,13 +70,15 @@ from d_tables cross join (select * from (values (1), (2), (3)) as v(col_idx)) c
 where declared_rows <> 5000
 """,
     "d_keys": r"""
-select concat('schema', cast(floor(k / 25) as bigint), '/table', k % 25) as table_key, concat('fk_', k) as name,
+select concat('a', n) as archive_id, concat('schema', cast(floor(k / 25) as bigint), '/table', k % 25) as table_key, concat('fk_', k) as name,
        case when k % 50 = 7 then concat('schema', k, '/none') else concat('schema', cast(floor(r / 25) as bigint), '/table', r % 25) end as ref_table_key, 'parent_id' as col, 'id' as ref_col
-from (select p_partkey as k, cast(floor(p_partkey / 3) as bigint) as r from part where p_partkey > 0 and p_partkey % 5 <> 1) p
+from (select p_partkey as k, cast(floor(p_partkey / 3) as bigint) as r from part where p_partkey > 0) p
+cross join (select * from (values (0), (1)) as v(n)) a
+where k % 5 <> 1 + n
 """,
     "d_primary": r"""
-select concat('schema', cast(floor(p_partkey / 25) as bigint), '/table', p_partkey % 25) as table_key, concat('id', n) as col
-from part join (select * from (values (1), (2), (3), (4), (5), (6)) as v(n)) v on n <= 1 + p_partkey % 6
+select concat('a', m) as archive_id, concat('schema', cast(floor(p_partkey / 25) as bigint), '/table', p_partkey % 25) as table_key, concat('id', n) as col
+from part cross join (select * from (values (0), (1)) as w(m)) a join (select * from (values (1), (2), (3), (4), (5), (6)) as v(n)) v on n <= 1 + (p_partkey + m) % 6
 """,
     "d_people": r"""
 select c_custkey as person_id,

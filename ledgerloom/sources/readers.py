@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.catalog import version_of
 from ..operators.ledger import clean_ledger, parse_errors
+from ..operators.paths import path_keys
+from .shared import materialized
 
 _KEY = "struct<name:string,column:array<string>>"
 _FOREIGN = "struct<name:string,referencedSchema:string,referencedTable:string,reference:array<struct<column:string,referenced:string>>>"
 _COLUMN = "struct<name:string,lobFolder:string,type:string,typeOriginal:string,nullable:boolean,mimeType:string,description:string>"
 _TABLE = f"struct<name:string,folder:string,description:string,rows:long,columns:struct<column:array<{_COLUMN}>>,primaryKey:{_KEY},foreignKeys:struct<foreignKey:array<{_FOREIGN}>>,candidateKeys:struct<candidateKey:array<{_KEY}>>>"
+_VIEW = f"struct<name:string,query:string,queryOriginal:string,description:string,rows:long,columns:struct<column:array<{_COLUMN}>>>"
 #: A schema element of the catalog file; given in full, since a list of one element is otherwise read as a struct.
-SCHEMA = f"name string, folder string, description string, tables struct<table:array<{_TABLE}>>"
+SCHEMA = f"name string, folder string, description string, tables struct<table:array<{_TABLE}>>, views struct<view:array<{_VIEW}>>"
+#: What stands before the schemas in the catalog file.
+_HEADER = (
+    "dbname string, description string, archiver string, dataOwner string, dataOriginTimespan string, lobFolder string, producerApplication string, archivalDate string, databaseProduct string,"
+    " messageDigest array<struct<digestType:string,digest:string>>"
+)
 #: Sub-stitute for null that no cell holds, so that an empty cell stays an empty string.
 _NO_NULL = "\x00"
+#: A parse that only asks whether a record is well formed.
+_CHECK = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
 def _archive_id(path):
-    return F.regexp_extract(path, r"([^/]+)/header/[^/]+$", 1)
+    return F.regexp_extract(path, r"([^/]+)/header/metadata\.xml", 1)
+
+
+def _catalog_text(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """archive_id and value: the catalog files of all archives, cut at a separator."""
+    return spark.read.option("lineSep", separator).text(f"{path}/*/header/metadata.xml").select(_archive_id(F.col("_metadata.file_path")).alias("archive_id"), "value")
+
+
+def read_databases(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each archive: the header fields of its catalog, version, and the first digest with its algorithm. The text is cut before the schemas, which stay unparsed."""
+    head = _catalog_text(spark, path, "<schemas").where(F.col("value").rlike("^\uFEFF?\\s*<"))
+    body = F.regexp_extract("value", r"(?s)^\uFEFF?\s*(?:<\?.*?\?>\s*)?(?:<!--.*?-->\s*)*<[A-Za-z_][^>]*>(.*)$", 1)
+    parsed = head.withColumn("h", F.from_xml(F.concat(F.lit("<header>"), body, F.lit("</header>")), _HEADER, {"nullValue": _NO_NULL}))
+    digest = F.get("h.messageDigest", F.lit(0))
+    return parsed.select(
+        "archive_id", F.col("h.dbname").alias("db_name"), F.col("h.databaseProduct").alias("product"), F.col("h.dataOwner").alias("owner"), F.col("h.dataOriginTimespan").alias("origin"), version_of(F.regexp_extract("value", r"(?s)(<[A-Za-z_][^>]*>)", 1)).alias("version"),
+        F.col("h.archivalDate").alias("archival_date"), F.col("h.producerApplication").alias("producer"), F.col("h.archiver").alias("archiver"), F.col("h.lobFolder").alias("lob_folder"),
+        F.coalesce("h.description", F.lit("")).alias("description"), digest["digest"].alias("digest"), digest["digestType"].alias("digest_algo"),
+    )
+
+
+def catalog_elements(spark: SparkSession, path: str) -> DataFrame:
+    """archive_id and element: the distinct local names of elements in each archive's catalog."""
+    pieces = _catalog_text(spark, path, "<")
+    name = F.regexp_extract("value", r"^(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+    return pieces.select("archive_id", name.alias("element")).where("element != ''").distinct()
+
+
+def catalog_faults(spark: SparkSession, path: str) -> DataFrame:
+    """archive_id, path, fault, n of catalogs that are not well formed. A catalog is read whole: it is as large as a list of columns."""
+    whole = spark.read.text(f"{path}/*/header/metadata.xml", wholetext=True).select(_archive_id(F.col("_metadata.file_path")).alias("archive_id"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
+    broken = F.from_xml("value", "_corrupt_record string", _CHECK)["_corrupt_record"].isNotNull()
+    return whole.where(broken).select("archive_id", F.lit("header/metadata.xml").alias("path"), F.lit("catalog is not well formed").alias("fault"), F.lit(1).cast("long").alias("n"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """schemas, tables, columns and keys of every archive under path (<archive>/header/metadata.xml), as flat frames."""
+    """schemas, tables, columns, keys and views of every archive under path (<archive>/header/metadata.xml), as flat frames."""
     raw = spark.read.format("xml").option("rowTag", "schema").option("nullValue", _NO_NULL).schema(SCHEMA).load(f"{path}/*/header/metadata.xml").select(_archive_id(F.col("_metadata.file_path")).alias("archive_id"), "*")
     tables = raw.select("archive_id", F.col("name").alias("schema_name"), F.col("folder").alias("schema_folder"), F.inline("tables.table"))
     tables = tables.withColumn("table_key", F.concat_ws("/", "schema_folder", "folder"))
@@ -39,6 +82,7 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "tables": tables.select("archive_id", "schema_folder", F.col("folder").alias("table_folder"), "table_key", "schema_name", F.col("name").alias("table_name"), F.coalesce("description", F.lit("")).alias("description"), F.col("rows").alias("declared_rows")),
         "columns": columns,
         "keys": pk.unionByName(uk).unionByName(fk),
+        "views": raw.select("archive_id", F.col("name").alias("schema_name"), F.col("folder").alias("schema_folder"), F.inline("views.view")).select("archive_id", "schema_name", "schema_folder", F.col("name").alias("view_name"), F.coalesce("query", "queryOriginal").alias("query"), F.coalesce("description", F.lit("")).alias("description"), F.col("rows").alias("declared_rows"), F.coalesce(F.size("columns.column"), F.lit(0)).alias("n_columns")),
     }
 
 
@@ -61,17 +105,52 @@ def read_rows(spark: SparkSession, path: str, columns: int, lobs: set[int] = fro
     return placed.join(first, "table_key").select("table_key", (F.col("place") - F.col("first")).alias("row_pos"), "r.*")
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Every file under <archive>/content but the table files: path within the archive, name, extension, length; contents stay unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+def row_faults(spark: SparkSession, path: str) -> DataFrame:
+    """archive_id, path, fault and n: what is not well formed in the table files under path, and how often.
+
+    A file is cut at </row>, so that large files are read by many tasks, and each row is parsed on its own; what stands
+    between rows must be white space or comments, before the first row the root's start, after the last one its end.
+    Only counts for each file are shuffled. </row> within a comment or CDATA counts as the end of a row.
+    """
+    raw = spark.read.option("lineSep", "</row>").option("recursiveFileLookup", True).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value", F.col("value").contains("<row>").alias("has_row"))
+    gap, comment, name = F.regexp_extract("value", r"(?s)^(.*?)(?:<row>|$)", 1), r"(?:\s|<!--.*?-->)*", r"[A-Za-z_][\w.:-]*"
+    gap = F.when(F.col("has_row"), gap).otherwise(F.col("value"))
+    start = rf"\uFEFF?\s*(?:<\?xml.*?\?>)?{comment}<{name}[^<>]*>{comment}"
+    end = rf"</{name}>{comment}$"
+    opens = gap.rlike(rf"(?s)^{start}(?:{end})?$")
+    closes = gap.rlike(rf"(?s)^{comment}{end}") | gap.rlike(rf"(?s)^{start}{end}") | gap.rlike(rf"(?s)^{start}$") & gap.rlike(rf"(?s)/>{comment}$")
+    record = F.concat(F.lit("<row>"), F.regexp_extract("value", r"(?s)<row>(.*)$", 1), F.lit("</row>"))
+    broken = F.from_xml(record, "_corrupt_record string", _CHECK)["_corrupt_record"].isNotNull()
+    blank = gap.rlike(rf"(?s)^{comment}$")
+    marked = raw.select("file", (F.col("has_row") & broken).alias("broken"), opens.alias("opens"), closes.alias("closes"), (~blank & ~opens & ~closes).alias("between"))
+    n = lambda c: F.count_if(F.col(c))
+    counts = marked.groupBy("file").agg(n("broken").alias("broken"), n("between").alias("between"), n("opens").alias("opens"), n("closes").alias("closes"))
+    fault = lambda text, count: F.struct(F.lit(text).alias("fault"), count.cast("long").alias("n"))
+    faults = F.array(
+        fault("row is not well formed", F.col("broken")), fault("text between rows", F.col("between")),
+        fault("root does not begin once", F.abs(F.col("opens") - 1)), fault("root does not end once", F.abs(F.col("closes") - 1)),
+    )
+    out = counts.select(F.regexp_extract("file", r"([^/]+)/content/", 1).alias("archive_id"), F.regexp_extract("file", r"(content/.*)$", 1).alias("path"), F.inline(F.filter(faults, lambda f: f["n"] > 0)))
+    return out
+
+
+def inventory_of(files: DataFrame) -> DataFrame:
+    """Files (path, length, modificationTime) under <archive>/content but the table files: archive_id, path within the archive, table_key, lob folder, basename, ext, length, modified."""
     inner = F.regexp_extract("path", r"(content/.*)$", 1)
-    out = files.select(F.regexp_extract("path", r"([^/]+)/content/", 1).alias("archive_id"), inner.alias("path"), "length", "modified").where("path != '' and not path rlike 'table[^/]*/table[^/]*[.](xml|xsd)$'")
-    return out.withColumn("basename", F.substring_index("path", "/", -1)).withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
+    out = files.select(F.regexp_extract("path", r"([^/]+)/content/", 1).alias("archive_id"), inner.alias("path"), "length", F.col("modificationTime").alias("modified"))
+    out = path_keys(out.where("path != '' and not path rlike '/table[^/]*[.](xml|xsd)$'"), "path")
+    return out.select("archive_id", "path", F.concat_ws("/", "schema_folder", "table_folder").alias("table_key"), F.col("lob_folder").alias("lob"), F.col("name").alias("basename"), F.col("name_ext").alias("ext"), "length", "modified")
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """inventory_of the files under path; contents stay unread."""
+    return inventory_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime"))
 
 
 def lob_refs(rows: DataFrame, lobs: list[int]) -> DataFrame:
     """One row per reference in the given cells of read_rows."""
-    cells = F.array(*[F.struct(F.lit(k).alias("col_idx"), F.col(f"c{k}._file").alias("ref"), F.col(f"c{k}._length").alias("length"), F.col(f"c{k}._digest").alias("digest")) for k in lobs])
+    cells = F.array(*[F.struct(F.lit(k).alias("col_idx"), F.col(f"c{k}._file").alias("ref"), F.col(f"c{k}._length").alias("length"), F.col(f"c{k}._digest").alias("digest"), F.col(f"c{k}._digestType").alias("digest_type")) for k in lobs])
     return rows.select("table_key", "row_pos", F.explode(cells).alias("x")).select("table_key", "row_pos", "x.*").where("ref is not null")
 
 
@@ -86,16 +165,42 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
     return parse_errors(spark.read.text(path), "value")
 
 
+_ENTRIES = "array<struct<name:string,description:string,columns:variant>>"
+
+
+def _entry_lists(spark: SparkSession, path: str) -> DataFrame:
+    """file and tables: the list of tables of each JSON template.
+
+    It is the root, or stands at tables, tabeller or templateSchema.tables, or at tables of any part at any depth: then
+    the least deep one counts, of these the first by path. Parts are walked level by level, all files at once, as deep as
+    any file goes.
+    """
+    level = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit("").alias("at"), F.parse_json("value").alias("v"))
+    at = lambda p: F.try_variant_get("v", p, _ENTRIES)
+    known = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit("").alias("at"), at(p).alias("tables")) for rank, p in enumerate(("$", "$.tables", "$.tabeller", "$.templateSchema.tables"))])
+    found = level.select("file", F.inline(known)).where("tables is not null")
+    depth = 4
+    while True:
+        level = materialized(level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where("key is not null and startswith(schema_of_variant(value), 'OBJECT')").select("file", F.concat_ws("/", "at", "key").alias("at"), F.col("value").alias("v")))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.select("file", F.lit(depth).alias("rank"), "at", at("$.tables").alias("tables")).where("tables is not null"))
+        depth += 1
+    first = F.row_number().over(W.partitionBy("file").orderBy("rank", "at"))
+    return found.withColumn("place", first).where("place = 1").select("file", "tables")
+
+
 def read_template(spark: SparkSession, path: str) -> DataFrame:
-    """Tables of a JSON description template: name, description; the list may be the root or stand at tables, tabeller, templateSchema.tables or tables of any other part, the first by name. The last of a name counts."""
-    root = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
-    entry = "array<struct<name:string,description:string>>"
-    parts = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
-    lists = F.array_sort(F.transform(parts, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$.tables", entry).alias("tables"))))
-    first = F.get(F.filter(lists, lambda x: x["tables"].isNotNull()), F.lit(0))["tables"]
-    found = F.coalesce(*[F.try_variant_get("v", p, entry) for p in ("$", "$.tables", "$.tabeller", "$.templateSchema.tables")], first)
-    rows = root.select(F.posexplode(found).alias("at", "t")).where("t.name is not null").select("at", F.trim("t.name").alias("name"), F.coalesce("t.description", F.lit("")).alias("description"))
-    return rows.groupBy(F.lower("name").alias("key")).agg(F.max_by("name", "at").alias("name"), F.max_by("description", "at").alias("description")).drop("key")
+    """Tables of JSON description templates: name, description and columns (array of name and description). The last entry of a name counts, in any case, by file and place."""
+    rows = _entry_lists(spark, path).select("file", F.posexplode("tables").alias("at", "t")).where("trim(t.name) != ''")
+    columns = F.try_variant_get("t.columns", "$", "array<struct<name:string,description:string>>")
+    rows = rows.select(F.struct("file", "at").alias("at"), F.trim("t.name").alias("name"), F.coalesce("t.description", F.lit("")).alias("description"), F.coalesce(columns, F.array().cast("array<struct<name:string,description:string>>")).alias("columns"))
+    return rows.groupBy(F.lower("name").alias("key")).agg(F.max_by(F.struct("name", "description", "columns"), "at").alias("last")).select("last.*")
+
+
+def template_columns(template: DataFrame) -> DataFrame:
+    """table_name, name, text and ord of the columns that read_template describes: what catalog.enrich takes."""
+    return template.select(F.col("name").alias("table_name"), F.posexplode("columns").alias("ord", "c")).select("table_name", F.trim("c.name").alias("name"), F.coalesce("c.description", F.lit("")).alias("text"), "ord")
 
 
 def read_ident_report(spark: SparkSession, path: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_rows_keep_null_and_empty_apart(spark, tmp_path):
     base = archive(tmp_path)
     rows = readers.read_rows(spark, str(base / "content/schema0/table0/table0.xml"), 3, {3})
     assert [(r["row_pos"], r["c1"], r["c2"]) for r in rows.orderBy("row_pos").collect()] == [(0, "1", "Kari & co"), (1, "2", ""), (2, "3", None)]
-    assert [tuple(r) for r in readers.lob_refs(rows, [3]).collect()] == [("schema0/table0", 0, 3, "rec1.bin", 4, "AB")]
+    assert [tuple(r) for r in readers.lob_refs(rows, [3]).collect()] == [("schema0/table0", 0, 3, "rec1.bin", 4, "AB", None)]
     inv = readers.read_inventory(spark, str(tmp_path)).collect()
     assert [(r["archive_id"], r["path"], r["length"]) for r in inv] == [("a1", "content/schema0/table0/lob3/rec1.bin", 4)]
 
@@ -64,14 +64,60 @@ def test_ledger_errors_template_report(spark, tmp_path):
     (tmp_path / "e.log").write_text("# head\n\n[10:00]  x/y.doc  |  .doc  |  timed | out\nnothing\n")
     assert [tuple(r) for r in readers.read_errors(spark, str(tmp_path / "e.log")).collect()] == [("x/y.doc", "doc", "timed | out")]
     for k, root in enumerate(([{"name": "A", "description": "1"}, {"name": "a", "description": "2"}], {"tables": [{"name": "a", "description": "2"}]}, {"templateSchema": {"tables": [{"name": "a", "description": "2"}]}}, {"version": 1, "other": {"tables": [{"name": "a", "description": "2"}]}})):
-        (tmp_path / f"t{k}.json").write_text(json.dumps(root))
-        assert [tuple(r) for r in readers.read_template(spark, str(tmp_path / f"t{k}.json")).collect()] == [("a", "2")]
+        (tmp_path / f"t{k}.json").write_text(json.dumps(root, indent=1))
+        assert [tuple(r) for r in readers.read_template(spark, str(tmp_path / f"t{k}.json")).collect()] == [("a", "2", [])]
     (tmp_path / "r.json").write_text(json.dumps({"files": [{"filename": "f", "matches": [{"id": "fmt/18", "warning": "w"}]}, {"filename": "g", "matches": []}]}))
     assert [(r["path"], r["code"]) for r in readers.read_ident_report(spark, str(tmp_path / "r.json")).collect()] == [("f", "fmt/18"), ("g", None)]
     writers.write_ledger(spark.createDataFrame([("a", 1)], "p string, n int"), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), sep=";", header=True).first()["p"] == "a"
 
 
+TEMPLATES = {
+    "a": '[{"name": "R", "description": "root", "columns": [{"name": " c", "description": "e"}, {"name": "d"}]}, {"name": " "}, {"description": "no name"}]',
+    "b": '{"tables":\n [{"name": "B"}, {"name": "b ", "description": "two", "columns": {"x": 1}}]}',
+    "c": '{"q": {"w": {"tables": [{"name": "C3", "description": "deep"}]}}, "z": {"tables": "no"}, "e": {"e": {"e": {"tables": [{"name": "no"}]}}}}',
+    "d": '{"tables": {"tables": [{"name": "D"}]}}',
+    "e": '{"z": {"tables": [{"name": "late"}]}, "k": {"tables": [{"name": "E"}]}, "list": [{"tables": [{"name": "in a list"}]}]}',
+    "f": '{"no": {"list": {"here": 1}}}',
+}
+
+
+def test_templates(spark, tmp_path):
+    """Lists at any depth, the least deep first, then by path; entries without a name, columns that are no list, files without a list."""
+    for name, text in TEMPLATES.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    template = readers.read_template(spark, str(tmp_path))
+    assert sorted((r["name"], r["description"]) for r in template.collect()) == [("C3", "deep"), ("D", ""), ("E", ""), ("R", "root"), ("b", "two")]
+    assert sorted(map(tuple, readers.template_columns(template).collect())) == [("R", "c", "e", 0), ("R", "d", "", 1)]
+
+
+def test_row_faults(spark, tmp_path):
+    base = tmp_path / "a1/content/s/t"
+    base.mkdir(parents=True)
+    files = {
+        "ok": "\ufeff<?xml version='1.0'?>\n<!-- head --><table xmlns='x'>\n<row><c1>a</c1></row>\n<!-- c --><row><c1>b</c1></row>\n</table>\n<!-- end -->", "empty": "<?xml version='1.0'?><table></table>", "closed": "<table/>",
+        "bad": "<table><row><c1>a</c2></row> junk <row><c1>b & c</c1></row></table>", "cut": "<table><row><c1>a</c1></row><row><c1>b", "noend": "<table><row><c1>a</c1></row>", "nostart": "<row><c1>a</c1></row></table>",
+        "twice": "<table><row><c1>a</c1></row></table></table>", "inner": "<table><row><c1>a</c1><row><c1>b</c1></row></table>", "control": "<table><row><c1>\x01</c1></row></table>",
+    }
+    for name, text in files.items():
+        (base / f"{name}.xml").write_text(text)
+    got = sorted((r["archive_id"], r["path"].split("/")[-1][:-4], r["fault"], r["n"]) for r in readers.row_faults(spark, str(tmp_path / "a1/content")).collect())
+    row, between, begin, end = "row is not well formed", "text between rows", "root does not begin once", "root does not end once"
+    want = [("bad", row, 2), ("bad", between, 1), ("control", row, 1), ("cut", row, 1), ("cut", end, 1), ("inner", row, 1), ("noend", end, 1), ("nostart", begin, 1), ("twice", between, 1), ("twice", end, 1)]
+    assert got == [("a1", *w) for w in want]
+
+
+def test_headers(spark, tmp_path):
+    for name, text in {"a1": CATALOG, "a2": "\ufeff<?xml version='1.0'?>\n<!-- x -->\n<archive version='2.2'><dbname>A &amp; b</dbname><lobFolder>content</lobFolder><messageDigest><digestType>MD5</digestType><digest>AB</digest></messageDigest>\n<schemas/></archive>", "a3": "<archive><dbname>x</archive>"}.items():
+        (tmp_path / name / "header").mkdir(parents=True)
+        (tmp_path / name / "header/metadata.xml").write_text(text)
+    got = {r["archive_id"]: r for r in readers.read_databases(spark, str(tmp_path)).collect()}
+    assert (got["a2"]["db_name"], got["a2"]["version"], got["a2"]["lob_folder"], got["a2"]["digest"], got["a2"]["digest_algo"]) == ("A & b", "2.2", "content", "AB", "MD5")
+    assert got["a1"]["db_name"] is None and got["a3"]["db_name"] is None
+    assert [(r["archive_id"], r["n"]) for r in readers.catalog_faults(spark, str(tmp_path)).collect()] == [("a3", 1)]
+    assert ("a2", "dbname") in {tuple(r) for r in readers.catalog_elements(spark, str(tmp_path)).collect()}
+
+
 def test_payloads(spark):
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
