@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..sources.shared import materialized
+from ..sources.shared import materialized, write_shared
 
 
 @dataclass(frozen=True)
@@ -79,52 +80,85 @@ def expand_children(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     return met.withColumn("at", at).where(F.col("at") <= cap).select("parent_pos", "child_pos")
 
 
-def _order(tables: list[str], fks: list[ForeignKey]) -> list[ForeignKey] | None:
-    """Foreign keys with every child's before its parent's own; None if they form a cycle."""
-    left, done, out = list(fks), set(), []
-    while left:
-        ready = [t for t in tables if t not in done and not any(f.parent == t and f.child != t for f in left)]
-        if not ready or any(f.parent == f.child for f in left):
-            return None
-        for t in ready:
-            done.add(t)
-            out += [f for f in left if f.child == t]
-        left = [f for f in left if f.child not in done]
-    return out
+def _rings(tables: Iterable[str], fks: list[ForeignKey]) -> list[list[str]]:
+    """Tables in an order that has every child before its parents; tables that reach each other through keys stand together."""
+    to: dict[str, set[str]] = {t: {f.parent for f in fks if f.child == t} for t in tables}
+
+    def reached(start: str) -> set[str]:
+        seen, left = set(), [start]
+        while left:
+            more = to[left.pop()] - seen
+            seen |= more
+            left += more
+        return seen
+
+    below = {t: reached(t) for t in to}
+    rings, done = [], set()
+    while len(done) < len(to):
+        for t in to:  # ready: all tables that reach t are done, or reach each other with it
+            if t not in done and all(o in done or o in below[t] for o in to if t in below[o] and o != t):
+                ring = [o for o in to if o == t or (o in below[t] and t in below[o])]
+                rings.append(ring)
+                done.update(ring)
+    return rings
+
+
+def _closed_ring(keep: dict[str, DataFrame], edges: Mapping[str, DataFrame], ring: list[str], fks: list[ForeignKey]) -> None:
+    """Closes keep over the tables of a ring. Each pass joins the keys with the rows that the last one added, drops what is kept, and writes what is new.
+
+    The keys within the ring are written once. A pass reads them, the rows of the last pass and those kept so far, and
+    nothing else; its plan stays as it is, since what is kept is one scan over the parts written. The number of
+    passes is the longest chain of keys from a kept row to a row not kept before, at most; a table of counts, one
+    for each table, reaches the driver.
+    """
+    spark = keep[ring[0]].sparkSession
+    inner = [f for f in fks if f.child in ring and f.parent in ring]
+    linked = {f.name: materialized(edges[f.name].select("child_pos", "parent_pos")) for f in inner}
+    parts: dict[str, list[str]] = {t: [] for t in ring}
+
+    def put(t: str, rows: DataFrame) -> DataFrame:
+        parts[t].append(write_shared(rows))
+        return spark.read.schema(rows.schema).parquet(parts[t][-1])
+
+    def kept(t: str) -> DataFrame:
+        return spark.read.schema(keep[t].schema).parquet(*parts[t])
+
+    new = {t: put(t, keep[t].select("row_pos").distinct()) for t in ring}
+    while True:
+        found = {}
+        for f in inner:
+            if f.child in new:
+                more = linked[f.name].join(new[f.child].select(F.col("row_pos").alias("child_pos")), "child_pos", "left_semi").select(F.col("parent_pos").alias("row_pos"))
+                found[f.parent] = found[f.parent].unionByName(more) if f.parent in found else more
+        added = {t: put(t, df.distinct().join(kept(t), "row_pos", "left_anti")) for t, df in found.items()}
+        counts = [df.select(F.lit(t).alias("t")) for t, df in added.items()]
+        some = {r["t"] for r in reduce(DataFrame.unionByName, counts).groupBy("t").count().collect()} if counts else set()
+        new = {t: df for t, df in added.items() if t in some}
+        if not new:
+            break
+    for t in ring:
+        keep[t] = kept(t)
 
 
 def close_parents(keep: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], fks: list[ForeignKey]) -> dict[str, DataFrame]:
     """keep (row_pos per table) with the parents of every kept row, theirs, and so on.
 
-    Without cycles one semi join per foreign key does it, children first. With cycles passes repeat until no count
-    changes; each pass is written to the folder in spark.checkpoint.dir, so plans stay short and lost tasks cost one pass.
+    Tables are taken children first, so that one semi join for each foreign key does it; only tables whose keys form a
+    ring (also one that refers to itself) go round in passes, see _closed_ring. What several keys read is written to
+    the folder in spark.checkpoint.dir, so plans stay short and lost tasks cost one step.
     """
     keep = dict(keep)
-
-    def add(fk: ForeignKey) -> None:
-        kept = keep[fk.child].select(F.col("row_pos").alias("child_pos"))
-        more = edges[fk.name].join(kept, "child_pos", "left_semi").select(F.col("parent_pos").alias("row_pos"))
-        keep[fk.parent] = keep[fk.parent].unionByName(more).distinct()
-
-    order = _order(list(keep), fks)
-    if order is not None:
-        ready: set[str] = set()
-        for fk in order:
-            if fk.child not in ready:  # complete from here on, and read once per foreign key
-                keep[fk.child] = materialized(keep[fk.child])
-                ready.add(fk.child)
-            add(fk)
-        return keep
-    counts: dict[str, int] = {}
-    while True:
-        for fk in fks:
-            add(fk)
-        for t, df in keep.items():
-            keep[t] = materialized(df)
-        now = {t: df.count() for t, df in keep.items()}
-        if now == counts:
-            return keep
-        counts = now
+    for ring in _rings(keep, fks):
+        out = [f for f in fks if f.child in ring and f.parent not in ring]
+        if len(ring) > 1 or any(f.child == f.parent == ring[0] for f in fks):
+            _closed_ring(keep, edges, ring, fks)
+        elif out:  # complete from here on, and read once for each foreign key
+            keep[ring[0]] = materialized(keep[ring[0]])
+        for f in out:
+            kept = keep[f.child].select(F.col("row_pos").alias("child_pos"))
+            more = edges[f.name].join(kept, "child_pos", "left_semi").select(F.col("parent_pos").alias("row_pos"))
+            keep[f.parent] = keep[f.parent].unionByName(more).distinct()
+    return keep
 
 
 def referential_subset(rows: Mapping[str, DataFrame], fks: list[ForeignKey], n: int, threshold: int | None = None, cap: int | None = None, important: Iterable[str] = (), excluded: Iterable[str] = (), budget: int | None = None) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import relations as R
@@ -91,6 +93,27 @@ def parent_closure(i: Inputs) -> DataFrame:
     return R.kept_counts(rows, R.close_parents(keep, {f.name: R.fk_edges(rows[f.child], rows[f.parent], f) for f in KEYS}, KEYS))
 
 
+#: Orders that refer to the order with a third of their key, every seventh to the one after, every thirteenth to none; customers that refer to their last order.
+_RING = """og AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 13 = 0 THEN -1 WHEN o_orderkey % 7 = 0 THEN o_orderkey + 1 ELSE CAST(floor(o_orderkey / 3) AS BIGINT) END AS p FROM orders), cg AS (SELECT o_custkey AS k, max(o_orderkey) AS p FROM orders GROUP BY 1),
+ed AS (SELECT 'orders' AS a, og.k AS x, 'orders' AS b, q.k AS y FROM og JOIN og q ON q.k = og.p UNION ALL SELECT 'orders', og.k, 'customer', cg.k FROM og JOIN cg ON cg.k = og.c UNION ALL SELECT 'customer', cg.k, 'orders', og.k FROM cg JOIN og ON og.k = cg.p UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer),
+sd AS (SELECT 'orders' AS t, o_orderkey AS row_pos FROM orders WHERE o_orderkey % 997 = 5)"""
+
+
+@demo("WITH RECURSIVE " + _RING + ", kg AS (SELECT t, CAST(row_pos AS BIGINT) AS row_pos FROM sd UNION SELECT b, CAST(y AS BIGINT) FROM kg JOIN ed ON a = t AND x = row_pos) SELECT t AS table_name, row_pos FROM kg")
+def closure_cycles(i: Inputs) -> DataFrame:
+    k = F.col("o_orderkey")
+    prev = F.when(k % 13 == 0, F.lit(-1)).when(k % 7 == 0, k + 1).otherwise(F.floor(k / 3))
+    orders = i.orders.select(k.alias("row_pos"), k.alias("id"), F.col("o_custkey").alias("customer"), prev.alias("prev"))
+    last = i.orders.groupBy(F.col("o_custkey").alias("row_pos")).agg(F.max("o_orderkey").alias("last"))
+    customer = i.customer.select(F.col("c_custkey").alias("row_pos"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")).join(last, "row_pos", "left")
+    nation = i.nation.select(F.col("n_nationkey").alias("row_pos"), F.col("n_nationkey").alias("id"))
+    rows = {"orders": orders, "customer": customer, "nation": nation}
+    fks = [R.ForeignKey(f"{a}_{c}", a, (c,), b, ("id",)) for a, c, b in (("orders", "prev", "orders"), ("orders", "customer", "customer"), ("customer", "last", "orders"), ("customer", "nation", "nation"))]
+    keep = {t: df.select(F.col("row_pos").cast("long")).where(F.col("row_pos") % 997 == 5 if t == "orders" else F.lit(False)) for t, df in rows.items()}
+    closed = R.close_parents(keep, {f.name: R.fk_edges(rows[f.child], rows[f.parent], f) for f in fks}, fks)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("table_name"), F.col("row_pos").cast("long")) for t, df in closed.items()])
+
+
 @demo(f"WITH {_p('lineitem')} SELECT row_pos, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM p_lineitem")
 def row_positions(i: Inputs) -> DataFrame:
     df = i.lineitem

@@ -135,6 +135,8 @@ def oracle(sql: str) -> str:
     if not views:
         return sql
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return "WITH RECURSIVE " + ", ".join([*views, body[15:]])
     if body[:5].lower() == "with ":
         return "WITH " + ", ".join([*views, body[5:]])
     return f"WITH {', '.join(views)} {body}"

@@ -18,8 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, with a short plan, safe from lost executors."""
+def write_shared(df: DataFrame) -> str:
+    """Path of df as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, with a short plan, safe from lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df))
