@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text encoded without being halved, bytes of one match merged without being halved.
 LEAF_CHARS, LEAF_BYTES = 4096, 16
+#: Bytes whose least pair is sought anew for each merge; longer stretches keep a queue.
+SHORT = 48
 #: A worker keeps the tokens of so many matches of up to so many characters, and of so many pairs of tokens; then it starts anew.
 KEPT, KEPT_CHARS = 1 << 18, 64
 
@@ -47,7 +49,24 @@ class Coder:
     # one match of the pattern
 
     def merged(self, data: bytes) -> list[int]:
-        """The merges, least rank first, over the whole of a short stretch of bytes."""
+        """The merges, least rank first, over the whole of a stretch of bytes."""
+        if len(data) > SHORT:
+            return self._merged_long(data)
+        ranks, none = self.ranks, 1 << 62
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+        return [ranks[p] for p in parts]
+
+    def _merged_long(self, data: bytes) -> list[int]:
+        """The same with a queue of pairs, so that the time grows with the length but for a logarithm."""
         ranks, size = self.ranks, len(data)
         ends = list(range(1, size + 1))  # ends[i]: end of the part that starts at i
         before = list(range(-1, size - 1))  # start of the part before
@@ -70,29 +89,32 @@ class Coder:
             i = ends[i]
         return out
 
-    def stands(self, a: int, b: int) -> bool:
-        """Whether two neighbouring tokens stay as they are."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """Tokens of two neighbouring tokens' bytes together."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= KEPT:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b])
         return known
 
+    def stands(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens stay as they are."""
+        return self.pair(a, b) == [a, b]
+
     def joined(self, a: list[int], b: list[int]) -> list[int]:
         """Tokens of two stretches together: the tokens at their border are encoded anew, ever more of them, until the pairs at both ends of what came out stand."""
         if not a or not b:
             return a + b
-        if self.stands(a[-1], b[0]):
-            return a + b
         x = y = 1
+        new = self.pair(a[-1], b[0])
         while True:
-            new = self.merged(b"".join(map(self.bytes_of.__getitem__, a[-x:] + b[:y])))
             left = x >= len(a) or self.stands(a[-x - 1], new[0])
             right = y >= len(b) or self.stands(new[-1], b[y])
             if left and right:
                 return a[: len(a) - x] + new + b[y:]
             x, y = x if left else min(2 * x, len(a)), y if right else min(2 * y, len(b))
+            new = self.merged(b"".join(map(self.bytes_of.__getitem__, a[-x:] + b[:y])))
 
     def halved(self, data: bytes) -> list[int]:
         """Tokens of one match: those of its halves, joined."""
@@ -187,17 +209,20 @@ class _Part:
 
 
 class _Matches(dict):
-    """Tokens of each match seen; a match that is a token as a whole is that token."""
+    """Tokens of each match seen; a match that is a token as a whole is that token. When full, it starts anew and takes from what it held what comes again."""
 
     def __init__(self, coder: Coder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.held = coder, {}
 
     def __missing__(self, match: str) -> list[int]:
-        data = match.encode()
-        tokens = [self.coder.ranks[data]] if data in self.coder.ranks else self.coder.halved(data)
+        tokens = self.held.get(match)
+        if tokens is None:
+            data = match.encode()
+            tokens = [self.coder.ranks[data]] if data in self.coder.ranks else self.coder.halved(data)
         if len(match) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.held = dict(self)
                 self.clear()
             self[match] = tokens
         return tokens
