@@ -97,14 +97,21 @@ def folder_of(path: Column) -> Column:
 
 
 def file_organization(ledger: DataFrame) -> DataFrame:
-    """Counts by folder, status and type, and each folder's total, distinct statuses and types (grouping level 'folder')."""
+    """Counts by folder, status and type, and each folder's total, distinct statuses and types (grouping level 'folder').
+
+    One pass of grouping sets over the counts by folder, status and type, with grouping_id; a folder's distinct statuses and
+    types are the rows of the levels below it. Only counts are shuffled, one row for each combination that a task meets.
+    """
     rows = with_status(ledger).select(folder_of(F.col("src_path")).alias("folder"), "status", F.col("src_ext").alias("type"))
     cells = rows.groupBy("folder", "status", "type").agg(F.count("*").alias("n"))
-    cells = cells.groupBy("folder").agg(F.collect_list(F.struct("status", "type", "n")).alias("cells"))  # one entry for each status and type
-    distinct = lambda c: F.size(F.array_distinct(F.filter(F.col(f"cells.{c}"), lambda v: v.isNotNull()))).cast("string")
-    total = F.struct(distinct("status").alias("status"), distinct("type").alias("type"), F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]).alias("n"), F.lit("folder").alias("level"))
-    each = F.transform("cells", lambda c: F.struct(c["status"].alias("status"), c["type"].alias("type"), c["n"].alias("n"), F.lit("cell").alias("level")))
-    return cells.select("folder", F.explode(F.concat(each, F.array(total))).alias("c")).select("folder", "c.*")
+    sets = [["folder", "status", "type"], ["folder", "status"], ["folder", "type"], ["folder"]]
+    levels = cells.groupingSets([[F.col(c) for c in s] for s in sets], "folder", "status", "type").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    # g has a bit for each column that a set leaves out: folder, status, type
+    of_folder = lambda g: F.count_if(F.col("g") == g).over(W.partitionBy("folder")).cast("string")
+    whole = F.col("g") == 3
+    out = levels.withColumns({"statuses": of_folder(1), "types": of_folder(2)}).where("g in (0, 3)")
+    pick = lambda total, cell: F.when(whole, F.col(total)).otherwise(F.col(cell))
+    return out.select("folder", pick("statuses", "status").alias("status"), pick("types", "type").alias("type"), "n", F.when(whole, "folder").otherwise("cell").alias("level"))
 
 
 def format_distribution(inv: DataFrame, top: int = 8) -> DataFrame:

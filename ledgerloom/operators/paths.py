@@ -1,4 +1,7 @@
-"""Large-object paths and references: keys, classes, resolution, flattening, renaming, audits."""
+"""Large-object paths and references: keys, classes, resolution, flattening, renaming, audits.
+
+Frames hold many archives; files and references are compared within their own.
+"""
 
 from __future__ import annotations
 
@@ -39,8 +42,8 @@ def ref_format(ref: Column | str) -> Column:
 
 def ref_formats(refs: DataFrame) -> DataFrame:
     """Per table and format: references, and whether the table mixes formats."""
-    counts = refs.groupBy("table_key", ref_format("ref").alias("format")).agg(F.count("*").alias("n"))
-    return counts.withColumn("mixed", F.count("*").over(W.partitionBy("table_key")) > 1)
+    counts = refs.groupBy("archive_id", "table_key", ref_format("ref").alias("format")).agg(F.count("*").alias("n"))
+    return counts.withColumn("mixed", F.count("*").over(W.partitionBy("archive_id", "table_key")) > 1)
 
 
 def is_external(folder: Column | str) -> Column:
@@ -68,7 +71,7 @@ def resolve_external(refs: DataFrame, stored: DataFrame, base: str) -> DataFrame
     by_tail = stored.groupBy(last_two("path").alias("tail")).agg(F.min("path").alias("at_tail"))
     out = ext.join(by_path, "resolved", "left").join(by_tail, "tail", "left")
     route = F.when(F.col("at_path").isNotNull(), "resolved").when(F.col("at_tail").isNotNull(), "last_two").otherwise("missing")
-    return out.select("table_key", "row_pos", "ref", "resolved", F.coalesce("at_path", "at_tail").alias("path"), route.alias("route"))
+    return out.select("archive_id", "table_key", "row_pos", "ref", "resolved", F.coalesce("at_path", "at_tail").alias("path"), route.alias("route"))
 
 
 def without_segments(path: Column | str) -> Column:
@@ -77,29 +80,55 @@ def without_segments(path: Column | str) -> Column:
 
 def flatten_segments(inv: DataFrame) -> DataFrame:
     """path, target without seg_K folders, collision (several files or a file in place claim the target), is_part, moved."""
-    target = without_segments("path")
-    out = inv.select("path", target.alias("target"))
-    out = out.withColumn("collision", F.count("*").over(W.partitionBy("target")) > 1)
-    return out.select("path", "target", (F.col("collision") & (F.col("path") != F.col("target"))).alias("collision"), F.col("path").rlike(r"_part\d{3}").alias("is_part"), (F.col("path") != F.col("target")).alias("moved"))
+    out = inv.select("archive_id", "path", without_segments("path").alias("target"))
+    out = out.withColumn("collision", F.count("*").over(W.partitionBy("archive_id", "target")) > 1).withColumn("moved", F.col("path") != F.col("target"))
+    return out.select("archive_id", "path", "target", (F.col("collision") & F.col("moved")).alias("collision"), F.col("path").rlike(r"_part\d{3}").alias("is_part"), "moved")
 
 
 def segment_audit(inv: DataFrame) -> DataFrame:
     flat = flatten_segments(inv)
     folders = F.countDistinct(F.when(F.col("moved"), dirname("path")))
-    return flat.agg(F.count("*").alias("files"), F.count_if("moved").alias("moved"), F.count_if("collision").alias("collisions"), folders.alias("segment_folders"))
+    return flat.groupBy("archive_id").agg(F.count("*").alias("files"), F.count_if("moved").alias("moved"), F.count_if("collision").alias("collisions"), F.count_if("is_part").alias("part_files"), folders.alias("segment_folders"))
+
+
+def flatten_refs(refs: DataFrame, inv: DataFrame) -> DataFrame:
+    """refs (archive_id, table_key, row_pos, col_idx, ref) with new_ref without seg_K folders, and status: plain, moved, or collision, where the file stays in its folder and so does the reference.
+
+    A reference may start anywhere above its segment folder; its large-object folder is the one that it names, else that of its column.
+    """
+    segments = lambda c: F.ltrim(F.regexp_extract(c, r"(?i)((?:^|/)seg_?\d+/.*)$", 1), F.lit("/"))
+    folder = lambda c: F.nullif(F.regexp_extract(c, r"(?i)(?:^|/)(lob[^/]*)/", 1), F.lit(""))
+    key = ["archive_id", "table_key", "lob", "tail"]
+    collided = flatten_segments(inv).where("collision").select("archive_id", "path")
+    stuck = inv.select("archive_id", "table_key", "path").join(collided, ["archive_id", "path"], "left_semi").select("archive_id", "table_key", folder(F.col("path")).alias("lob"), segments(F.col("path")).alias("tail")).distinct().withColumn("stays", F.lit(True))
+    clean = F.translate("ref", "\\", "/")
+    out = refs.withColumn("tail", segments(clean)).withColumn("lob", F.coalesce(folder(clean), F.concat(F.lit("lob"), "col_idx"))).join(stuck, key, "left")
+    status = F.when(F.col("tail") == "", "plain").when(F.col("stays"), "collision").otherwise("moved")
+    out = out.withColumn("status", status).withColumn("new_ref", F.when(F.col("status") == "moved", without_segments(clean)).otherwise(F.col("ref")))
+    return out.select("archive_id", "table_key", "row_pos", "col_idx", "ref", "new_ref", "status")
 
 
 def standardize_ext(inv: DataFrame) -> DataFrame:
     """path, new_path, old_ext, collision: names not in .bin or .txt become <up to the first dot>.bin unless two would meet."""
     name = basename("path")
     new = F.when(extension("path").isin("bin", "txt"), name).otherwise(F.concat(F.substring_index(name, ".", 1), F.lit(".bin")))
-    out = inv.select("path", F.concat_ws("/", F.nullif(dirname("path"), F.lit("")), new).alias("new_path"), F.substring(name, F.length(F.substring_index(name, ".", 1)) + 2, F.lit(1000)).alias("old_ext"))
-    return out.withColumn("collision", (F.count("*").over(W.partitionBy("new_path")) > 1) & (F.col("path") != F.col("new_path")))
+    out = inv.select("archive_id", "path", F.concat_ws("/", F.nullif(dirname("path"), F.lit("")), new).alias("new_path"), F.substring(name, F.length(F.substring_index(name, ".", 1)) + 2, F.lit(1000)).alias("old_ext"))
+    return out.withColumn("collision", (F.count("*").over(W.partitionBy("archive_id", "new_path")) > 1) & (F.col("path") != F.col("new_path")))
+
+
+_INNER = r"^content/[^/]+/[^/]+/lob[^/]*/"
 
 
 def externalize_refs(refs: DataFrame) -> DataFrame:
-    new = F.regexp_replace("ref", r"^content/[^/]+/[^/]+/lob[^/]*/", "")
-    return refs.select("table_key", "row_pos", "ref", new.alias("new_ref"), (new != F.col("ref")).alias("changed"))
+    new = F.regexp_replace("ref", _INNER, "")
+    return refs.select("archive_id", "table_key", "row_pos", "ref", new.alias("new_ref"), (new != F.col("ref")).alias("changed"))
+
+
+def externalized_files(inv: DataFrame, store: str) -> DataFrame:
+    """The files that leave an archive when its large objects move out: path, the path below the store, length; and of each archive a total, with a null path."""
+    moved = inv.where(F.col("path").rlike(_INNER)).select("archive_id", "path", F.concat_ws("/", F.lit(store), "archive_id", F.regexp_replace("path", "^content/", "")).alias("new_path"), "length")
+    listed = moved.groupingSets([["archive_id", "path", "new_path"], ["archive_id"]], "archive_id", "path", "new_path").agg(F.count("*").alias("files"), F.sum("length").alias("length"))
+    return listed.select("archive_id", "path", "new_path", "files", "length")
 
 
 def fix_lobfolders(columns: DataFrame) -> DataFrame:
@@ -109,49 +138,118 @@ def fix_lobfolders(columns: DataFrame) -> DataFrame:
     return columns.where(old != "").select("archive_id", "table_key", "col_idx", "lob_folder", new.alias("new_folder"), old.rlike("^/*content/").alias("had_prefix"), old.endswith("/").alias("had_slash"))
 
 
+def lobfolder_issues(databases: DataFrame, columns: DataFrame) -> DataFrame:
+    """Per archive: folders with a prefix, folders with a slash at the end, and the folder of the whole database: kept, missing (content is put in where an origin is given), or missing for good."""
+    counts = fix_lobfolders(columns).groupBy("archive_id").agg(F.count_if("had_prefix").alias("prefixes"), F.count_if("had_slash").alias("slashes"))
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    folder = F.when(~empty(F.col("lob_folder")), "kept").when(~empty(F.col("origin")), "added").otherwise("missing")
+    out = databases.select("archive_id", folder.alias("db_folder"), F.when(folder == "added", "content").otherwise(F.col("lob_folder")).alias("db_lob_folder"))
+    return out.join(counts, "archive_id", "left").na.fill(0, ["prefixes", "slashes"])
+
+
 def select_schemas(inv: DataFrame, keep: list[str]) -> DataFrame:
-    """Per schema folder: kept or not, files and bytes."""
+    """Per archive and schema folder: kept or not, files and bytes."""
     schema = F.substring_index("table_key", "/", 1)
-    return inv.groupBy(schema.alias("schema_folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).withColumn("kept", F.col("schema_folder").isin(*keep))
+    return inv.groupBy("archive_id", schema.alias("schema_folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).withColumn("kept", F.col("schema_folder").isin(*keep))
 
 
 def schema_sizes(inv: DataFrame) -> DataFrame:
-    return inv.groupBy(F.substring_index("table_key", "/", 1).alias("schema_folder"), "table_key").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
-
-
-def audit_refs(refs: DataFrame, inv: DataFrame) -> DataFrame:
-    """Each reference with the first route that finds a file: known path, same-table folder and name, same-table name, external tail, missing."""
-    paths = inv.select(F.col("path").alias("full"), F.lit(1).alias("by_path"))
-    in_lob = inv.select("table_key", F.concat_ws("/", "lob", "basename").alias("tail"), F.lit(1).alias("by_lob")).distinct()
-    names = inv.select("table_key", F.col("basename").alias("name"), F.lit(1).alias("by_name")).distinct()
-    out = refs.withColumn("full", F.col("ref")).withColumn("tail", last_two("ref")).withColumn("name", basename("ref"))
-    out = out.join(paths, "full", "left").join(in_lob, ["table_key", "tail"], "left").join(names, ["table_key", "name"], "left")
-    external = is_external("ref")
-    route = (
-        F.when(F.col("by_path").isNotNull(), "path")
-        .when(~external & F.col("by_lob").isNotNull(), "lob_folder")
-        .when(~external & F.col("by_name").isNotNull(), "name")
-        .when(external & F.col("by_lob").isNotNull(), "external")
-        .when(external, "missing_external")
-        .otherwise("missing")
-    )
-    return out.select("table_key", "row_pos", "ref", route.alias("route"))
+    return inv.groupBy("archive_id", F.substring_index("table_key", "/", 1).alias("schema_folder"), "table_key").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+#: Routes on which the file of a reference is found, best first, and why one has none.
+ROUTES = ("path", "lob_folder", "name", "known_name", "beside_archive", "store", "missing")
+REASONS = ("outside the folder of the archive", "not in the external store", "no such file")
+
+
+def audit_refs(refs: DataFrame, inv: DataFrame, external: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
+    """Each reference (archive_id, table_key, row_pos, ref) with the best route that finds a file, that file, and a reason where none does.
+
+    path: a file of the archive has the whole path. lob_folder, name: a file of the same table has the folder and name,
+    or the name alone. known_name: a file of the archive has the name. External files (archive_id, path) are sought
+    next: beside_archive: the reference, worked off from the archive's folder (bases: archive_id, base, store), is one, and
+    lies within the folder above the archive's own; store: one lies in the large-object folders of the reference's
+    table below the archive's external store. Reasons: REASONS.
+
+    All routes are candidates of one union: every file states the keys by which references reach it, every reference
+    the keys that it could mean, and one shuffle by key brings them together; the best route, and of that the least path, is one
+    minimum per reference. A name that many files bear is one key with one file, its least path, before references meet it.
+    """
+    key = lambda route, *parts: F.struct(F.lit(ROUTES.index(route)).alias("rank"), F.concat_ws("\x00", *parts).alias("key"))
+    inner = F.explode(F.array(
+        key("path", F.col("path")), key("lob_folder", F.col("table_key"), F.concat_ws("/", "lob", "basename")), key("name", F.col("table_key"), F.col("basename")), key("known_name", F.col("basename"))
+    ))
+    files = inv.select("archive_id", "path", inner.alias("k"))
+    asked = refs.withColumn("clean", F.translate("ref", "\\", "/")).withColumn("outside", is_external("ref"))
+    none = F.lit(None).cast("string")
+    if external is not None:
+        at = bases.select("archive_id", "base", F.coalesce("store", none).alias("store"))
+        asked = asked.join(at, "archive_id", "left").withColumn("resolved", resolved_path(F.coalesce("base", F.lit("")), F.col("clean")))
+        above = F.concat(dirname("base"), F.lit("/"))
+        asked = asked.withColumn("resolved", F.when((above == "/") | F.startswith("resolved", above), F.col("resolved")))
+        stored = external.join(at, "archive_id").withColumn("below", F.when(F.startswith("path", F.concat("store", F.lit("/"))), F.substring(F.col("path"), F.length("store") + 2, F.length("path"))))
+        in_table = F.regexp_extract("below", r"^([^/]+/[^/]+)/(?i:lob)[^/]*/(.+)$", 1)
+        keys = F.array(key("beside_archive", F.col("path")), F.when(in_table != "", key("store", in_table, F.regexp_extract("below", r"^([^/]+/[^/]+)/(?i:lob)[^/]*/(.+)$", 2))))
+        files = files.unionByName(stored.select("archive_id", "path", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")))
+    else:
+        asked = asked.withColumn("resolved", none).withColumn("store", none)
+    files = files.groupBy("archive_id", "k").agg(F.min("path").alias("path"))
+    inside, name = ~F.col("outside"), basename("clean")
+    wanted = F.filter(F.array(
+        key("path", F.col("clean")), F.when(inside, key("lob_folder", F.col("table_key"), last_two("clean"))), F.when(inside, key("name", F.col("table_key"), name)), F.when(inside, key("known_name", name)),
+        F.when(F.col("resolved").isNotNull(), key("beside_archive", F.col("resolved"))), F.when(F.col("store").isNotNull(), key("store", F.col("table_key"), F.col("clean"))),
+    ), lambda k: k.isNotNull())
+    row = ["archive_id", "table_key", "row_pos", "ref"]
+    candidates = asked.select(*row, "outside", F.col("resolved").isNull().alias("unsafe"), F.col("store").isNotNull().alias("has_store"), F.explode(wanted).alias("k")).join(files, ["archive_id", "k"], "left")
+    found = F.struct(F.col("k.rank").alias("rank"), F.col("path").alias("path"))
+    best = candidates.groupBy(*row).agg(F.min(F.when(F.col("path").isNotNull(), found)).alias("best"), F.first("outside").alias("outside"), F.first("unsafe").alias("unsafe"), F.first("has_store").alias("has_store"))
+    route = F.coalesce(F.get(F.array(*[F.lit(r) for r in ROUTES]), F.col("best.rank")), F.lit("missing"))
+    why = F.when(F.col("outside") & F.col("unsafe"), REASONS[0]).when(F.col("has_store"), REASONS[1]).otherwise(REASONS[2])
+    return best.select(*row, route.alias("route"), F.col("best.path").alias("path"), F.when(F.col("best").isNull(), why).alias("reason"))
 
 
 def orphan_lobs(inv: DataFrame, refs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Files that no kept row refers to; keep has table_key and row_pos, a reference counts by table and file name."""
-    used = refs.join(keep, ["table_key", "row_pos"], "left_semi").select("table_key", basename("ref").alias("basename"))
-    return inv.join(used, ["table_key", "basename"], "left_anti")
+    """Files that no kept row refers to; keep has archive_id, table_key and row_pos, a reference counts by table and file name."""
+    used = refs.join(keep, ["archive_id", "table_key", "row_pos"], "left_semi").select("archive_id", "table_key", basename("ref").alias("basename"))
+    return inv.join(used, ["archive_id", "table_key", "basename"], "left_anti")
 
 
 def refresh_refs(refs: DataFrame, renames: DataFrame) -> DataFrame:
-    """References after renames (path, new_path, new_length), keyed by full path, else by table and name.
+    """References (archive_id, table_key, row_pos, col_idx, ref, length, digest) after renames: new_ref, new_length, new_digest, how and changed.
+
+    renames: archive_id, table_key, lob, path, new_path, new_length, new_digest, collision; lob is the folder of a column, lob3
+    for column 3. A file that keeps its name but got other bytes is one, too. how is the best of: full, the reference
+    is the file's path; folder, its last two parts are the file's folder and name; column, the file has the name and
+    lies in the folder of the reference's column; name, the file is the only one of the table with the name. A reference
+    to a file whose move collided stays, and so does one that several files could mean; one that gives a whole path means no
+    other file, and one that points out of the archive none of its files.
 
-    A name that stands for several renamed files of a table changes nothing: rewriting it could hit the wrong file.
+    Each rename states its four keys, each reference those that it can have; one shuffle by key joins them, one by
+    reference takes the best. Names borne by several files of a table are one key and no file before references meet them.
     """
-    full = renames.select(F.col("path").alias("ref"), F.col("new_path").alias("by_full"), F.col("new_length").alias("full_length"))
-    named = renames.groupBy("table_key", basename("path").alias("name")).agg(F.min(basename("new_path")).alias("by_name"), F.min("new_length").alias("name_length"), F.count("*").alias("n")).where("n = 1").drop("n")
-    out = refs.withColumn("name", basename("ref")).join(full, "ref", "left").join(named, ["table_key", "name"], "left")
-    folder = F.substring(F.col("ref"), F.lit(1), F.length("ref") - F.length("name"))
-    new = F.coalesce("by_full", F.concat(folder, "by_name"), "ref")
-    return out.select("table_key", "row_pos", "ref", new.alias("new_ref"), F.coalesce("full_length", "name_length", "length").alias("new_length"), (new != F.col("ref")).alias("changed"))
+    key = lambda rank, *parts: F.struct(F.lit(rank).alias("rank"), F.concat_ws("\x00", *parts).alias("key"))
+    name, table = basename("path"), F.col("table_key")
+    stated = F.array(key(0, F.col("path")), key(1, table, F.concat_ws("/", "lob", name)), key(2, table, F.col("lob"), name), key(3, table, name))
+    target = F.struct(F.col("new_path"), F.col("new_length"), F.col("new_digest"), F.col("collision"))
+    files = renames.select("archive_id", F.explode(stated).alias("k"), target.alias("target")).groupBy("archive_id", "k").agg(F.min("target").alias("target"), F.count("*").alias("n"))
+    clean = F.translate("ref", "\\", "/")
+    bare, loose = ~clean.contains("/"), ~clean.startswith("content/") & ~is_external("ref")
+    asked = F.filter(F.array(
+        key(0, clean), F.when(~bare & loose, key(1, table, last_two("ref"))), F.when(bare & loose, key(2, table, F.concat(F.lit("lob"), F.col("col_idx")), clean)), F.when(loose, key(3, table, basename(clean)))
+    ), lambda k: k.isNotNull())
+    row = ["archive_id", "table_key", "row_pos", "col_idx", "ref", "length", "digest"]
+    met = refs.select(*row, F.explode(asked).alias("k")).join(files, ["archive_id", "k"], "left")
+    best = met.groupBy(*row).agg(F.min_by(F.struct(F.col("k.rank").alias("rank"), "target", "n"), F.when(F.col("n").isNotNull(), F.col("k.rank"))).alias("b"))
+    moved = (F.col("b.n") == 1) & ~F.col("b.target.collision")
+    folder = F.substring(F.col("ref"), F.lit(1), F.length("ref") - F.length(basename(clean)))
+    new = F.when(~moved, F.col("ref")).when(F.col("b.rank") == 0, F.col("b.target.new_path")).otherwise(F.concat(folder, basename("b.target.new_path")))
+    out = best.withColumns({"moved": F.coalesce(moved, F.lit(False)), "new_ref": F.coalesce(new, F.col("ref"))})
+    how = F.when(F.col("b").isNull(), "none").when(F.col("b.n") > 1, "several").when(F.col("b.target.collision"), "collision").otherwise(F.get(F.array(*[F.lit(x) for x in ("full", "folder", "column", "name")]), F.col("b.rank")))
+    out = out.withColumn("how", how).withColumn("new_length", F.when(F.col("moved"), F.col("b.target.new_length")).otherwise(F.col("length"))).withColumn("new_digest", F.when(F.col("moved"), F.col("b.target.new_digest")).otherwise(F.col("digest")))
+    same = F.col("new_ref").eqNullSafe(F.col("ref")) & F.col("new_length").eqNullSafe(F.col("length")) & F.col("new_digest").eqNullSafe(F.col("digest"))
+    return out.select("archive_id", "table_key", "row_pos", "col_idx", "ref", "new_ref", "new_length", "new_digest", "how", (~same).alias("changed"))
+
+
+def refresh_counts(refreshed: DataFrame) -> DataFrame:
+    """Per archive, table and how: references, and how many changed."""
+    return refreshed.groupBy("archive_id", "table_key", "how").agg(F.count("*").alias("refs"), F.count_if("changed").alias("changed"))

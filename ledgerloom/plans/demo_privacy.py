@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.names import Names
 from ..operators import privacy as P
 from .fixtures import Inputs
 from .registry import demo
@@ -162,6 +163,46 @@ def name_spans(i: Inputs) -> DataFrame:
     return i.d_people.select("person_id", F.explode(P.name_spans(F.col("note"))).alias("s")).select("person_id", "s.*")
 
 
+#: A dictionary made of the tables: a first name for each order, for each line and for each part; a last name for each customer and order. Every third first name is not in it.
+_LETTERS = "translate(CAST({0} AS VARCHAR), '0123456789', 'abcdefghij')"
+_LARGE = f"""ln AS (SELECT o_orderkey, concat('Fo', {_LETTERS.format('o_orderkey')}) AS f, concat('La', {_LETTERS.format('o_custkey')}) AS l FROM orders),
+lt AS (SELECT o_orderkey, f, l, CAST(length(concat('Order ', o_orderkey, ' is signed by ')) AS INTEGER) AS pos, concat('Order ', o_orderkey, ' is signed by ', f, ' ', l, ', copy to ', lower(f), ' (æ) ', f, '.') AS text FROM ln)"""
+
+
+def _large_names(i: Inputs) -> DataFrame:
+    letters = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
+    token = lambda df, head, c, kind: df.select(F.concat(F.lit(head), letters(c)).alias("token"), F.lit(kind).alias("kind"))
+    k = F.col("o_orderkey")
+    first = token(i.orders.where(k % 3 != 0), "fo", k, "first").unionByName(token(i.lineitem, "li", F.col("l_orderkey") * 10 + F.col("l_linenumber"), "first")).unionByName(token(i.part, "pa", F.col("p_partkey"), "ambiguous"))
+    return first.unionByName(token(i.customer, "la", F.col("c_custkey"), "last")).unionByName(token(i.orders, "or", k, "last"))
+
+
+def _signed(i: Inputs) -> DataFrame:
+    k, letters = F.col("o_orderkey"), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
+    f, last = F.concat(F.lit("Fo"), letters("o_orderkey")), F.concat(F.lit("La"), letters("o_custkey"))
+    return i.orders.select("o_orderkey", F.concat(F.lit("Order "), k, F.lit(" is signed by "), f, F.lit(" "), last, F.lit(", copy to "), F.lower(f), F.lit(" (æ) "), f, F.lit(".")).alias("text"))
+
+
+@demo(f"""WITH {_LARGE} SELECT o_orderkey, pos AS start, CAST(pos + length(f) + length(l) + 1 AS INTEGER) AS "end", 'FULL_NAME' AS type, concat(f, ' ', l) AS text FROM lt WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, CAST(pos + length(f) + length(l) + 11 AS INTEGER), CAST(pos + 2 * length(f) + length(l) + 11 AS INTEGER), 'FIRST_NAME', lower(f) FROM lt WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, CAST(pos + 2 * length(f) + length(l) + 16 AS INTEGER), CAST(pos + 3 * length(f) + length(l) + 16 AS INTEGER), 'FIRST_NAME', f FROM lt WHERE o_orderkey % 3 <> 0""")
+def name_spans_large(i: Inputs) -> DataFrame:
+    names = Names.table(_large_names(i))
+    return names.on(_signed(i)).select("o_orderkey", F.explode(P.name_spans(F.col("text"), names)).alias("s")).select("o_orderkey", "s.*")
+
+
+@demo(f"""WITH {_LARGE} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN text ELSE concat('Order ', o_orderkey, ' is signed by ', {full_sql("concat(f, ' ', l)")}, ', copy to ', lower({pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}), ' (æ) ', {pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}, '.') END AS text,
+CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 3 END AS n_redacted FROM lt""")
+def redact_text_large(i: Inputs) -> DataFrame:
+    return P.redact_text(_signed(i), "text", Names.table(_large_names(i)))
+
+
+@demo(f"""WITH {_LARGE}, w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zæøå]+')) AS token FROM lt), d AS (SELECT lower(f) AS token, 'first' AS kind FROM ln WHERE o_orderkey % 3 <> 0 UNION ALL SELECT concat('la', {_LETTERS.format('c_custkey')}), 'last' FROM customer)
+SELECT 'text' AS col_name, token, kind, count(*) AS n FROM w JOIN d USING (token) GROUP BY ALL""")
+def dict_tokens_large(i: Inputs) -> DataFrame:
+    return P.dict_tokens(_signed(i).select(F.lit("text").alias("col_name"), F.col("text").alias("value")), _large_names(i).distinct())
+
+
 @demo()
 def redact_text(i: Inputs) -> DataFrame:
     return P.redact_text(i.d_people.select("person_id", "note"), "note")

@@ -7,6 +7,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.names import COLUMN, Names
+from ledgerloom.functions.text import let
 from ledgerloom.operators import catalog, lobs, privacy, relations
 
 
@@ -68,7 +70,7 @@ def test_name_spans(spark):
     }
     for text, want in cases.items():
         assert spans(spark, text, privacy.name_spans) == want, text
-    assert spans(spark, "Wei Chen and Anna Berg", lambda c: privacy.name_spans(c, ["wei"], ["chen"], [])) == [("FULL_NAME", "Wei Chen")]
+    assert spans(spark, "Wei Chen and Anna Berg", lambda c: privacy.name_spans(c, Names.listed(["wei"], ["chen"]))) == [("FULL_NAME", "Wei Chen")]
     assert spark.range(1).select(privacy.name_spans(F.lit(None).cast("string")).alias("s")).collect()[0]["s"] == []
 
 
@@ -78,8 +80,82 @@ def test_pii_spans(spark):
     assert spans(spark, "x" * 200_000, privacy.pii_spans) == []
 
 
+def test_numbers_among_others(spark):
+    """Numbers that stand in a row with others; groups; numbers that are none."""
+    cases = {
+        "a 12 01819910150 22334455 b": [("FNR", "01819910150"), ("PHONE", "22334455")],
+        "018199 10150": [("FNR", "018199 10150")],
+        "018 199 10150": [],
+        "+47 223 34 455, 0047 22334455": [("PHONE", "+47 223 34 455"), ("PHONE", "0047 22334455")],
+        "x22334455 22334455x 12345678": [],
+        "1 2 3 4 5 6 7 8 9": [("PHONE", "2 3 4 5 6 7 8 9")],
+    }
+    for text, want in cases.items():
+        assert spans(spark, text, privacy.pii_spans) == want, text
+
+
+def test_spans_of_many_matches(spark):
+    """Places over several blocks of matches; the time grows with the matches."""
+    import time
+
+    text = "".join(f"æ{'x' * (k % 7)} a{k}@b.no " for k in range(1000))
+    got = spans(spark, text, privacy.pii_spans)
+    assert got == [("EMAIL", f"a{k}@b.no") for k in range(1000)]
+    seconds = []
+    for n in (4_000, 4_000, 16_000):
+        df = spark.createDataFrame([("ab@c.no, 22334455 " * n,)], "t string").select(F.size(privacy.spans_of(F.col("t"), "[a-z]+@")).alias("n"), F.size(privacy.spans_of(F.col("t"), "[0-9]+")).alias("m"))
+        began = time.time()
+        assert tuple(df.first()) == (n, n)
+        seconds.append(time.time() - began)
+    assert seconds[2] < 8 * seconds[1] + 1
+
+
+def test_spans_apart(spark):
+    """Against a plain comparison of all with all."""
+    import random
+
+    rng = random.Random(2)
+    kind = "array<struct<start:int,end:int>>"
+    rows = []
+    for _ in range(60):
+        taken, at = [], 0
+        for _ in range(rng.randrange(0, 40)):
+            at += rng.randrange(0, 9)
+            taken.append((at, at + rng.randrange(1, 9)))
+            at = taken[-1][1]
+        rows.append(([(a, a + rng.randrange(1, 12)) for a in (rng.randrange(0, 300) for _ in range(30))], taken))
+    got = spark.createDataFrame(rows, f"s {kind}, t {kind}").select("s", "t", let(F.col("t"), lambda t: privacy._apart(F.col("s"), t)).alias("left")).collect()
+    for r in got:
+        assert r["left"] == [s for s in r["s"] if not any(s["start"] < t["end"] and t["start"] < s["end"] for t in r["t"])]
+
+
+def test_dictionary_as_table(spark):
+    """The same spans from a table as from a list, whatever stands in it; a plan that does not grow; a bound."""
+    rows = [("Kari", "first"), ("per", "ambiguous"), ("PER", "last"), ("hansen", "last"), ("moen", "last"), (None, "first"), ("x", "other"), (" ", "first"), ("moen", "last")]
+    listed = Names.listed(["kari", "per"], ["hansen", "moen"], ["per"])
+    texts = spark.createDataFrame([("Kari Hansen and per Moen, ten per dag. KARI",), ("",), (None,), ("Hansen",)], "t string")
+
+    def found(names):
+        return [r["s"] for r in names.on(texts).select("t", privacy.name_spans(F.col("t"), names).alias("s")).orderBy("t").collect()]
+
+    table = Names.table(spark.createDataFrame(rows, "token string, kind string"), 64)
+    assert found(table) == found(listed) and len(found(table)[3]) == 3
+    large = Names.table(spark.range(100_000).select(F.translate(F.concat(F.lit("n"), "id"), "0123456789", "abcdefghij").alias("token"), F.lit("first").alias("kind")))
+    plan = lambda names: len(privacy.redact_text(texts, "t", names)._jdf.queryExecution().analyzed().toString())
+    assert abs(plan(large) - plan(table)) < 0.05 * plan(table)
+    assert [len(s) for s in found(large)] == [0, 0, 0, 0]
+    assert COLUMN not in privacy.redact_text(texts, "t", table).columns
+    assert sorted(r["n_redacted"] for r in privacy.redact_text(texts, "t", table).collect()) == [0, 0, 0, 3]
+    few = Names.table(spark.createDataFrame(rows, "token string, kind string"), 64, at_most=3)
+    try:
+        found(few)
+        raise AssertionError("a dictionary beyond the bound was taken")
+    except Exception as e:
+        assert "more than 3 names" in str(e)
+
+
 def test_base_names(spark):
-    names = {"Person_tmp": "Person", "Person_2023": "Person", "Sak kopi_20230101": "Sak", "Person_2023-01-05_bak": "Person", "Sak": "Sak", "tmp": "", "A1_copy-backup": "A1"}
+    names = {"Persontmp": "Person", "Sak2023": "Sak", "a_2023_01": "a", "v 12_2023": "v 12", "x_20": "x_20", "2023": "", "arkiv_sikkerhetskopi-20230101 bak": "arkiv", "Person_tmp": "Person", "Person_2023": "Person", "Sak kopi_20230101": "Sak", "Person_2023-01-05_bak": "Person", "Sak": "Sak", "tmp": "", "A1_copy-backup": "A1"}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", catalog.base_name(F.col("n")).alias("b")).collect()
     assert {r["n"]: r["b"] for r in rows} == names
 
