@@ -154,10 +154,10 @@ def orphan_lobs(i: Inputs) -> DataFrame:
     return P.orphan_lobs(i.d_inv, i.d_refs, keep).select("archive_id", "path", "table_key", "basename")
 
 
-#: Documents and pictures become PDF; every nineteenth move collided; archives in ZIP keep their names and get other bytes.
-_REFRESH = f"""rn AS (SELECT archive_id, table_key, lob, basename, path, CASE WHEN ext = 'zip' THEN path ELSE regexp_extract(path, '^(.*/[^/.]*)', 1) || '.pdf' END AS np, length + 7 AS nl, md5(path) AS nd, o_orderkey % 19 = 0 AS c FROM d_inv WHERE ext IN ('doc', 'jpg', 'zip')),
+#: Documents become ODT; every nineteenth move collided; every third reference stands in another column; archives in ZIP keep their names and get other bytes.
+_REFRESH = f"""rn AS (SELECT archive_id, table_key, lob, basename, path, CASE WHEN ext = 'zip' THEN path ELSE regexp_extract(path, '^(.*/[^/.]*)', 1) || '.odt' END AS np, length + 7 AS nl, md5(path) AS nd, o_orderkey % 19 = 0 AS c FROM d_inv WHERE ext IN ('doc', 'pdf', 'zip')),
 g1 AS (SELECT archive_id, table_key, concat(lob, '/', basename) AS tail, count(*) AS n, min(np) AS np, min(nl) AS nl, min(nd) AS nd, bool_or(c) AS c FROM rn GROUP BY ALL), g2 AS (SELECT archive_id, table_key, lob, basename AS name, count(*) AS n, min(np) AS np, min(nl) AS nl, min(nd) AS nd, bool_or(c) AS c FROM rn GROUP BY ALL),
-g3 AS (SELECT archive_id, table_key, basename AS name, count(*) AS n, min(np) AS np, min(nl) AS nl, min(nd) AS nd, bool_or(c) AS c FROM rn GROUP BY ALL), rr AS (SELECT *, {BASE.format('ref')} AS name, {TAIL.format('ref')} AS tail, NOT contains(ref, '/') AS bare, NOT starts_with(ref, 'content/') AND NOT {EXTERNAL} AS loose FROM d_refs),
+g3 AS (SELECT archive_id, table_key, basename AS name, count(*) AS n, min(np) AS np, min(nl) AS nl, min(nd) AS nd, bool_or(c) AS c FROM rn GROUP BY ALL), rr AS (SELECT archive_id, table_key, row_pos, CAST(col_idx + CASE WHEN row_pos % 3 = 0 THEN 5 ELSE 0 END AS INTEGER) AS col_idx, ref, length, {BASE.format('ref')} AS name, {TAIL.format('ref')} AS tail, NOT contains(ref, '/') AS bare, NOT starts_with(ref, 'content/') AND NOT {EXTERNAL} AS loose FROM d_refs),
 rb AS (SELECT rr.*, CASE WHEN rn.path IS NOT NULL THEN 0 WHEN g1.n IS NOT NULL THEN 1 WHEN g2.n IS NOT NULL THEN 2 WHEN g3.n IS NOT NULL THEN 3 END AS rank, CASE WHEN rn.path IS NOT NULL THEN 1 ELSE coalesce(g1.n, g2.n, g3.n) END AS n, CASE WHEN rn.path IS NOT NULL THEN rn.np WHEN g1.n IS NOT NULL THEN g1.np WHEN g2.n IS NOT NULL THEN g2.np ELSE g3.np END AS np,
 CASE WHEN rn.path IS NOT NULL THEN rn.nl WHEN g1.n IS NOT NULL THEN g1.nl WHEN g2.n IS NOT NULL THEN g2.nl ELSE g3.nl END AS nl, CASE WHEN rn.path IS NOT NULL THEN rn.nd WHEN g1.n IS NOT NULL THEN g1.nd WHEN g2.n IS NOT NULL THEN g2.nd ELSE g3.nd END AS nd, CASE WHEN rn.path IS NOT NULL THEN rn.c WHEN g1.n IS NOT NULL THEN g1.c WHEN g2.n IS NOT NULL THEN g2.c ELSE g3.c END AS c
 FROM rr LEFT JOIN rn ON rn.archive_id = rr.archive_id AND rn.path = ref LEFT JOIN g1 ON loose AND NOT bare AND g1.archive_id = rr.archive_id AND g1.table_key = rr.table_key AND g1.tail = rr.tail LEFT JOIN g2 ON loose AND bare AND g2.archive_id = rr.archive_id AND g2.table_key = rr.table_key AND g2.lob = concat('lob', col_idx) AND g2.name = rr.name
@@ -167,9 +167,10 @@ CASE WHEN rank IS NULL THEN 'none' WHEN n > 1 THEN 'several' WHEN c THEN 'collis
 
 
 def _refreshed(i: Inputs) -> DataFrame:
-    new = F.when(F.col("ext") == "zip", F.col("path")).otherwise(F.concat(F.regexp_extract("path", "^(.*/[^/.]*)", 1), F.lit(".pdf")))
-    renames = i.d_inv.where("ext in ('doc', 'jpg', 'zip')").select("archive_id", "table_key", "lob", "path", new.alias("new_path"), (F.col("length") + 7).alias("new_length"), F.md5(F.encode("path", "UTF-8")).alias("new_digest"), (F.col("o_orderkey") % 19 == 0).alias("collision"))
-    return P.refresh_refs(i.d_refs.withColumn("digest", F.lit("00")), renames)
+    new = F.when(F.col("ext") == "zip", F.col("path")).otherwise(F.concat(F.regexp_extract("path", "^(.*/[^/.]*)", 1), F.lit(".odt")))
+    renames = i.d_inv.where("ext in ('doc', 'pdf', 'zip')").select("archive_id", "table_key", "lob", "path", new.alias("new_path"), (F.col("length") + 7).alias("new_length"), F.md5(F.encode("path", "UTF-8")).alias("new_digest"), (F.col("o_orderkey") % 19 == 0).alias("collision"))
+    column = (F.col("col_idx") + F.when(F.col("row_pos") % 3 == 0, 5).otherwise(0)).cast("int")
+    return P.refresh_refs(i.d_refs.withColumn("digest", F.lit("00")).withColumn("col_idx", column), renames)
 
 
 @demo(f"WITH {_REFRESH} SELECT * FROM rw")

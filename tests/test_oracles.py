@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from ledgerloom.plans import demo_catalog, demo_intake, demo_ledger, demo_lobs, demo_paths, demo_privacy, demo_relations, registry  # noqa: F401
+from ledgerloom.plans import demo_catalog, demo_intake, demo_ledger, demo_lobs, demo_paths, demo_privacy, demo_relations, demo_text, registry  # noqa: F401
 from ledgerloom.plans.fixtures import TABLES
 
 DATA = "/root/testdata/sf0.001"
