@@ -17,6 +17,7 @@ from typing import BinaryIO, TypeVar
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.decoding import spelled_text
 from ..functions.text import decoded, let, respelled
 from .relations import numbered
 
@@ -249,13 +250,29 @@ def extract_hex(cells: DataFrame, least: int = 200) -> DataFrame:
 
 
 def extract_inline(cells: DataFrame) -> DataFrame:
-    """Inline cells decoded by the first step that fits (hex of 8 or more, else the text itself), with format, record name and length."""
+    """Inline cells decoded by the first step that fits, with format, record name and length.
+
+    unicode: the cell spells characters as \\uXXXX; hex: of 8 digits or more; base64: 48 characters or more in the strict form, padding
+    and all; else the text itself.
+    """
     squeezed = F.regexp_replace("value", r"\s+", "")
-    hexed = is_hex(squeezed) & (F.length(squeezed) >= 8)
-    rows = cells.where("value is not null and value != ''").withColumn("content", F.when(hexed, F.try_to_binary(squeezed, F.lit("hex"))).otherwise(F.encode("value", "UTF-8")))
+    unbroken = F.regexp_replace(F.trim("value"), r"[\r\n]+", "")
+    step = (
+        F.when(F.col("value").contains("\\u") & ~F.col("value").startswith("\\x"), "unicode")
+        .when(is_hex(squeezed) & (F.length(squeezed) >= 8), "hex")
+        .when((F.length(unbroken) >= 48) & (F.length(unbroken) % 4 == 0) & unbroken.rlike("^[A-Za-z0-9+/]+={0,2}$"), "base64")
+        .otherwise("text")
+    )
+    content = (
+        F.when(F.col("step") == "unicode", F.encode(spelled_text(F.col("value")), "UTF-8"))
+        .when(F.col("step") == "hex", F.try_to_binary(squeezed, F.lit("hex")))
+        .when(F.col("step") == "base64", F.try_to_binary(unbroken, F.lit("base64")))
+        .otherwise(F.encode("value", "UTF-8"))
+    )
+    rows = cells.where("value is not null and value != ''").withColumn("step", step).withColumn("content", content)
     rows = rows.withColumn("f", format_of(F.col("content")))
     rows = numbered(rows, "table_key", ["row_pos"])
-    return rows.select("table_key", "row_pos", F.when(hexed, "hex").otherwise("text").alias("step"), F.concat(F.lit("rec"), "at", F.lit("."), "f.ext").alias("name"), F.length("content").cast("long").alias("length"), F.col("f.ext").alias("ext"))
+    return rows.select("table_key", "row_pos", "step", F.concat(F.lit("rec"), "at", F.lit("."), "f.ext").alias("name"), F.length("content").cast("long").alias("length"), F.col("f.ext").alias("ext"))
 
 
 def base64_payload(c: Column) -> Column:
@@ -412,8 +429,9 @@ def ext_crosstab(inv: DataFrame, ident: DataFrame) -> DataFrame:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """path, length, SHA-256 and upper-case MD5 of each file (path, content)."""
-    return files.select("path", F.length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), F.upper(F.md5("content")).alias("md5"))
+    """path, length, mime by content, time of change in UTC, SHA-256 and upper-case MD5 of each file (path, content, modificationTime)."""
+    changed = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return files.select("path", F.length("content").cast("long").alias("length"), format_of(F.col("content"))["mime"].alias("mime"), changed.alias("modified"), F.sha2("content", 256).alias("sha256"), F.upper(F.md5("content")).alias("md5"))
 
 
 def package_estimate(files: DataFrame, factor: float = 2.0) -> DataFrame:
@@ -448,7 +466,7 @@ def mask_inline_blobs(df: DataFrame, columns: list[str], placeholder: bytes = b"
 
 
 def replace_lobs(inv: DataFrame, placeholders: DataFrame) -> DataFrame:
-    """path, kind, new_length and new_md5 after each file is replaced by the placeholder of its format, else by that of kind 'bin', else by no bytes.
+    """Each file, with its archive, table and folder where inv has them, kind, new_length and new_md5 after it is replaced by the placeholder of its format, else by that of kind 'bin', else by no bytes.
 
     placeholders: kind, content; of several of a kind, the one with the least bytes in order counts.
     """
@@ -456,4 +474,5 @@ def replace_lobs(inv: DataFrame, placeholders: DataFrame) -> DataFrame:
     other = placeholders.where("kind = 'bin'").agg(F.min("content").alias("other"))
     out = inv.join(own, "ext", "left").crossJoin(F.broadcast(other)).withColumn("other", F.coalesce("other", F.lit(b"")))
     content = F.coalesce("content", "other")
-    return out.select("path", F.when(F.col("content").isNotNull(), F.col("ext")).otherwise("bin").alias("kind"), F.length(content).cast("long").alias("new_length"), F.upper(F.md5(content)).alias("new_md5"))
+    where = [c for c in ("archive_id", "table_key", "lob") if c in inv.columns]
+    return out.select(*where, "path", F.when(F.col("content").isNotNull(), F.col("ext")).otherwise("bin").alias("kind"), F.length(content).cast("long").alias("new_length"), F.upper(F.md5(content)).alias("new_md5"))

@@ -94,10 +94,17 @@ def hex_extract_stats(i: Inputs) -> DataFrame:
     return L.extract_hex(i.d_cells).groupBy("kind").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
-@demo("""WITH c AS (SELECT *, regexp_matches(regexp_replace(value, '\\s+', '', 'g'), '^([0-9A-Fa-f]{2}){4,}$') AS h, row_number() OVER (PARTITION BY table_key ORDER BY row_pos) AS at_ FROM d_cells WHERE value IS NOT NULL AND value <> '')
-SELECT table_key, row_pos, CASE WHEN h THEN 'hex' ELSE 'text' END AS step, concat('rec', at_, '.txt') AS name, CASE WHEN h THEN CAST(length(value) / 2 AS BIGINT) ELSE CAST(strlen(value) AS BIGINT) END AS length, 'txt' AS ext FROM c""")
+_CELLS = """ic AS (SELECT concat('schema0/table', doc_id % 9) AS table_key, doc_id AS row_pos, doc_id % 5 AS k, text, CASE doc_id % 5 WHEN 0 THEN hex(encode(text)) WHEN 1 THEN to_base64(encode(text)) WHEN 2 THEN concat(replace(text, ' ', concat(chr(92), 'u0020')), chr(92), 'u00e6&amp;amp;') ELSE text END AS value FROM documents),
+im AS (SELECT *, CASE WHEN contains(value, chr(92) || 'u') AND NOT starts_with(value, chr(92) || 'x') THEN 'unicode' WHEN regexp_matches(regexp_replace(value, '\\s+', '', 'g'), '^([0-9A-Fa-f]{2}){4,}$') THEN 'hex' WHEN length(value) >= 48 AND length(value) % 4 = 0 AND regexp_matches(value, '^[A-Za-z0-9+/]+={0,2}$') THEN 'base64' ELSE 'text' END AS step,
+row_number() OVER (PARTITION BY table_key ORDER BY row_pos) AS place FROM ic WHERE value <> '')"""
+
+
+@demo(f"WITH {_CELLS} SELECT table_key, row_pos, step, concat('rec', place, '.txt') AS name, CAST(CASE step WHEN 'hex' THEN length(value) / 2 WHEN 'base64' THEN strlen(text) WHEN 'unicode' THEN strlen(text) + 7 ELSE strlen(value) END AS BIGINT) AS length, 'txt' AS ext FROM im")
 def inline_extract(i: Inputs) -> DataFrame:
-    return L.extract_inline(i.d_cells)
+    """Texts in hex, in base-64, with blanks spelled out, and as they are."""
+    k, text = F.col("doc_id") % 5, F.col("text")
+    value = F.when(k == 0, F.hex(F.encode(text, "UTF-8"))).when(k == 1, F.base64(F.encode(text, "UTF-8"))).when(k == 2, F.concat(F.replace(text, F.lit(" "), F.lit("\\u0020")), F.lit("\\u00e6&amp;amp;"))).otherwise(text)
+    return L.extract_inline(i.documents.select(F.concat(F.lit("schema0/table"), F.col("doc_id") % 9).alias("table_key"), F.col("doc_id").alias("row_pos"), F.lit(3).alias("col_idx"), value.alias("value")))
 
 
 @demo("SELECT doc_id, CASE WHEN length(to_base64(encode(text))) >= 48 THEN text END AS text FROM documents")
@@ -114,7 +121,8 @@ def _packed(i: Inputs) -> DataFrame:
     return i.documents.select(F.concat(F.lit("p"), "doc_id").alias("path"), content.alias("content"))
 
 
-@demo()
+@demo("""WITH v AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN hex(encode(text)) WHEN 1 THEN to_base64(encode(text)) ELSE text END AS value FROM documents)
+SELECT concat('p', doc_id) AS path, CASE doc_id % 3 WHEN 0 THEN (CASE WHEN length(value) >= 8 THEN 'hex' ELSE 'as_is' END) WHEN 1 THEN (CASE WHEN length(value) >= 48 THEN 'base64' ELSE 'as_is' END) ELSE 'as_is' END AS route, CAST(CASE WHEN doc_id % 3 = 0 AND length(value) >= 8 OR doc_id % 3 = 1 AND length(value) >= 48 THEN strlen(text) ELSE strlen(value) END AS INTEGER) AS length FROM v""")
 def recover_payload(i: Inputs) -> DataFrame:
     return L.recover_payload(_packed(i)).select("path", "route", F.length("content").alias("length"))
 
@@ -146,9 +154,11 @@ def ext_crosstab(i: Inputs) -> DataFrame:
     return L.ext_crosstab(i.d_inv, _ident(i))
 
 
-@demo("SELECT concat('doc', doc_id) AS path, CAST(strlen(text) AS BIGINT) AS length, sha256(text) AS sha256, upper(md5(text)) AS md5 FROM documents")
+@demo(f"""WITH {HEADS} SELECT path, CAST(strlen(body) AS BIGINT) AS length, CASE doc_id % 8 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/xml' WHEN 2 THEN 'text/html' WHEN 3 THEN 'application/rtf' WHEN 4 THEN 'application/xml' WHEN 5 THEN 'image/gif' WHEN 6 THEN 'application/octet-stream' ELSE 'text/plain' END AS mime,
+strftime(TIMESTAMP '2024-02-28 23:59:58' + to_seconds(doc_id * 3601), '%Y-%m-%dT%H:%M:%SZ') AS modified, sha256(body) AS sha256, upper(md5(body)) AS md5 FROM hd""")
 def manifest(i: Inputs) -> DataFrame:
-    return L.manifest(i.documents.select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")))
+    changed = F.to_timestamp(F.from_utc_timestamp(F.timestamp_seconds(F.lit(1709164798) + F.col("doc_id") * 3601), "UTC"))
+    return L.manifest(_heads(i).withColumn("modificationTime", changed))
 
 
 @demo("SELECT count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, CAST(floor(sum(length) * 1.05) AS BIGINT) + 1048576 AS package, CAST(floor(sum(length) * 2.0) AS BIGINT) AS space FROM d_inv")
@@ -184,7 +194,7 @@ def inline_blob_mask(i: Inputs) -> DataFrame:
     return L.mask_inline_blobs(i.d_cells, ["value"]).select("table_key", "row_pos", "value")
 
 
-@demo("WITH p AS (SELECT * FROM (VALUES ('pdf', 'PDF stand-in'), ('txt', 'Text stand-in')) v(kind, body)) SELECT path, coalesce(p.kind, 'bin') AS kind, CAST(length(coalesce(body, 'stand-in')) AS BIGINT) AS new_length, upper(md5(coalesce(body, 'stand-in'))) AS new_md5 FROM d_inv LEFT JOIN p ON p.kind = ext")
+@demo("WITH p AS (SELECT * FROM (VALUES ('pdf', 'PDF stand-in'), ('txt', 'Text stand-in')) v(kind, body)) SELECT archive_id, table_key, lob, path, coalesce(p.kind, 'bin') AS kind, CAST(length(coalesce(body, 'stand-in')) AS BIGINT) AS new_length, upper(md5(coalesce(body, 'stand-in'))) AS new_md5 FROM d_inv LEFT JOIN p ON p.kind = ext")
 def lob_replacement(i: Inputs) -> DataFrame:
     stand_ins = i.spark.createDataFrame([("pdf", bytearray(b"PDF stand-in")), ("txt", bytearray(b"Text stand-in")), ("bin", bytearray(b"stand-in"))], "kind string, content binary")
     return L.replace_lobs(i.d_inv.where("ext != 'bin'").unionByName(i.d_inv.where("ext = 'bin'").withColumn("ext", F.lit("none"))), stand_ins)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.names import Names
-from ..operators import privacy as P
+from ..operators import privacy as P, relations as R
+from ..operators.anonymizing import Anonymized, Subset, anonymize_archive
+from .demo_relations import _KIDS, _p, _s
 from .fixtures import Inputs
 from .registry import demo
 
@@ -142,10 +144,13 @@ def dict_tokens(i: Inputs) -> DataFrame:
     return P.dict_tokens(_cells(i), names)
 
 
-@demo(f"SELECT count(*) AS texts, CAST(sum(len(regexp_extract_all(note, '{MAIL}'))) AS BIGINT) AS mails FROM d_people")
+@demo(f"SELECT count(*) AS texts, CAST(sum(len(regexp_extract_all(note, '{MAIL}'))) AS BIGINT) AS mails, CAST(0 AS BIGINT) AS left_over FROM d_people")
 def redact_email_counts(i: Inputs) -> DataFrame:
-    spans = F.filter(P.pii_spans(F.col("note")), lambda s: s["type"] == "EMAIL")
-    return i.d_people.select(F.size(spans).alias("n")).agg(F.count("*").alias("texts"), F.sum("n").cast("long").alias("mails"))
+    """Addresses in the notes, and how many of them stand in the redacted ones."""
+    mails = F.regexp_extract_all("note", F.lit(T.EMAIL), F.lit(0))
+    before = i.d_people.select("person_id", mails.alias("before"))
+    both = P.redact_text(i.d_people.select("person_id", "note"), "note").select("person_id", mails.alias("after")).join(before, "person_id")
+    return both.agg(F.count("*").alias("texts"), F.sum(F.size("before")).cast("long").alias("mails"), F.sum(F.size(F.array_intersect("before", "after"))).cast("long").alias("left_over"))
 
 
 #: Where the parts of a note stand.
@@ -203,14 +208,70 @@ def dict_tokens_large(i: Inputs) -> DataFrame:
     return P.dict_tokens(_signed(i).select(F.lit("text").alias("col_name"), F.col("text").alias("value")), _large_names(i).distinct())
 
 
-@demo()
+_NOTE = f"concat('Case ', person_id, ': contact ', {full_sql('full_name')}, ' at ', {mail_sql('email')}, ', id N.')"
+
+
+@demo(f"SELECT person_id, {_NOTE} AS note, {id_sql('id_number')} AS id_valid, 2 + CAST({id_sql('id_number')} AS INTEGER) AS n_redacted FROM d_people")
 def redact_text(i: Inputs) -> DataFrame:
-    return P.redact_text(i.d_people.select("person_id", "note"), "note")
+    """Notes; of the number that stands in for another only that it is valid."""
+    out = P.redact_text(i.d_people.select("person_id", "note"), "note")
+    return out.select("person_id", F.regexp_replace("note", "[0-9]{11}", "N").alias("note"), T.id_number_valid(F.regexp_extract("note", "[0-9]{11}", 0)).alias("id_valid"), "n_redacted")
 
 
-@demo()
+@demo(f"SELECT person_id, {full_sql('full_name')} AS full_name, {last_sql('last_name')} AS last_name, {mail_sql('email')} AS email, '9999' AS postcode, phone, true AS id_valid, true AS id_changed, {_NOTE} AS note FROM d_people")
 def anonymize_end_to_end(i: Inputs) -> DataFrame:
-    return P.anonymize(i.d_people.withColumn("row_pos", F.col("person_id") - 1), "people", {"full_name": 100})[0]
+    people = i.d_people.withColumn("row_pos", F.col("person_id") - 1)
+    out = P.anonymize(people, "people", {"full_name": 100})[0].join(i.d_people.select("person_id", F.col("id_number").alias("before")), "person_id")
+    return out.select("person_id", "full_name", "last_name", "email", "postcode", "phone", T.id_number_valid(F.col("id_number")).alias("id_valid"), (F.col("id_number") != F.col("before")).alias("id_changed"), F.regexp_replace("note", "[0-9]{11}", "N").alias("note"))
+
+
+#: People and their orders, thinned to 50 of each, the people's first orders and all their people.
+_KEPT = f"""{_p('customer', 'orders')}, {_s('customer')}, {_s('orders')}, {_KIDS}, ko AS (SELECT row_pos FROM s_orders UNION SELECT row_pos FROM kids),
+kc AS (SELECT row_pos FROM s_customer UNION SELECT c.row_pos FROM p_customer c JOIN p_orders o ON o.o_custkey = c.c_custkey JOIN ko k ON k.row_pos = o.row_pos),
+pk AS (SELECT d.* FROM d_people d JOIN p_customer c ON c.c_custkey = d.person_id JOIN kc k ON k.row_pos = c.row_pos), op AS (SELECT o.* FROM p_orders o JOIN ko k ON k.row_pos = o.row_pos)"""
+_FILE = "concat('rec', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '.xyz' END)"
+_BODY = "CASE o_orderkey % 3 WHEN 0 THEN 'PDF stand-in' WHEN 1 THEN 'Text stand-in' ELSE 'stand-in' END"
+
+
+def _anonymized(i: Inputs) -> Anonymized:
+    k = F.col("o_orderkey")
+    memo = F.concat(F.lit("Order "), k, F.lit(" was placed by mail of c"), "o_custkey", F.lit("@shop.example.org in time."))
+    rows = {"people": R.with_row_pos(i.d_people, ["person_id"]), "orders": R.with_row_pos(i.orders.select("o_orderkey", "o_custkey", "o_orderstatus", memo.alias("memo")), ["o_orderkey"])}
+    ext = F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "txt").otherwise("xyz")
+    name = F.concat(F.lit("rec"), k, F.lit("."), ext)
+    inv = i.orders.select(F.lit("a0").alias("archive_id"), F.lit("orders").alias("table_key"), F.lit("lob3").alias("lob"), F.concat(F.lit("content/s/orders/lob3/"), name).alias("path"), name.alias("basename"), ext.alias("ext"))
+    refs = rows["orders"].select(F.lit("a0").alias("archive_id"), F.lit("orders").alias("table_key"), "row_pos", F.lit(3).alias("col_idx"), name.alias("ref"), k.cast("long").alias("length"), F.lit("AA").alias("digest"))
+    stand_ins = i.spark.createDataFrame([("pdf", bytearray(b"PDF stand-in")), ("txt", bytearray(b"Text stand-in")), ("bin", bytearray(b"stand-in"))], "kind string, content binary")
+    keys = [R.ForeignKey("orders_people", "orders", ("o_custkey",), "people", ("person_id",))]
+    return anonymize_archive(rows, keys, Subset(50, important=("people",)), inv, refs, stand_ins)
+
+
+_CHANGED = f"CAST(full_name <> {full_sql('full_name')} AS INTEGER) + CAST(last_name <> {last_sql('last_name')} AS INTEGER) + CAST(email <> {mail_sql('email')} AS INTEGER) + CAST(postcode <> '9999' AS INTEGER) + 1"
+
+
+@demo(f"""WITH {_KEPT} SELECT 'people' AS table_key, (SELECT count(*) FROM d_people) AS declared_rows, count(*) AS kept_rows, CAST(sum({_CHANGED}) AS BIGINT) AS cells, count(*) AS freetext_cells, CAST(sum(2 + CAST({id_sql('id_number')} AS INTEGER)) AS BIGINT) AS spans, CAST(0 AS BIGINT) AS files FROM pk
+UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), count(*), 0, count(*), count(*), count(*) FROM op""")
+def anonymize_counts(i: Inputs) -> DataFrame:
+    return _anonymized(i).counts
+
+
+@demo(f"""WITH {_KEPT}, m AS (SELECT 'FULL_NAME' AS type, full_name AS original, {full_sql('full_name')} AS fake FROM pk UNION ALL SELECT 'LAST_NAME', last_name, {last_sql('last_name')} FROM pk UNION ALL SELECT 'EMAIL', email, {mail_sql('email')} FROM pk UNION ALL SELECT 'POSTNR', postcode, '9999' FROM pk)
+SELECT type, original, fake, count(*) AS cells FROM m WHERE original <> fake GROUP BY ALL""")
+def anonymize_ledger(i: Inputs) -> DataFrame:
+    return _anonymized(i).ledger.where("type != 'FNR'")
+
+
+@demo(f"""WITH {_KEPT} SELECT row_pos, {_FILE} AS new_ref, CAST(length({_BODY}) AS BIGINT) AS new_length, upper(md5({_BODY})) AS new_digest, 'column' AS how FROM op""")
+def anonymize_refs(i: Inputs) -> DataFrame:
+    return _anonymized(i).refs.select("row_pos", "new_ref", "new_length", "new_digest", "how")
+
+
+@demo(f"""WITH {_KEPT} SELECT 'people' AS table_name, person_id AS id, {full_sql('full_name')} AS text, {_NOTE} AS note FROM pk
+UNION ALL SELECT 'orders', o_orderkey, o_orderstatus, concat('Order ', o_orderkey, ' was placed by mail of ', {mail_sql("concat('c', o_custkey, '@shop.example.org')")}, ' in time.') FROM op""")
+def anonymize_tables(i: Inputs) -> DataFrame:
+    tables = _anonymized(i).tables
+    people = tables["people"].select(F.lit("people").alias("table_name"), F.col("person_id").alias("id"), F.col("full_name").alias("text"), F.regexp_replace("note", "[0-9]{11}", "N").alias("note"))
+    return people.unionByName(tables["orders"].select(F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("text"), F.col("memo").alias("note")))
 
 
 @demo("SELECT row_pos, regexp_replace(regexp_replace(value, '(\\\\u0020)+$', ''), '(\\\\u0020)+', ' ', 'g') AS value FROM d_pad")

@@ -154,9 +154,9 @@ def row_count_refresh(i: Inputs) -> DataFrame:
     return R.refreshed_counts(i.d_tables.withColumn("declared_rows", F.col("declared_rows").cast("long")), rows)
 
 
-@demo("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10")
+@demo("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, trim(o_orderstatus) AS o_orderstatus FROM orders ORDER BY orders.o_orderkey LIMIT 10")
 def row_preview(i: Inputs) -> DataFrame:
-    return i.orders.orderBy("o_orderkey").limit(10).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return R.preview(i.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"])
 
 
 @demo("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, trim(c_name) AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer ORDER BY customer.c_custkey LIMIT 25")
