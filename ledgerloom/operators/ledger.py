@@ -10,21 +10,27 @@ def lenient_long(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("double").try_cast("bigint"), F.lit(0))
 
 
+def _line(df: DataFrame) -> list[str]:
+    """The column that says where a row stood in its log, if there is one."""
+    return ["line_no"] if "line_no" in df.columns else []
+
+
 def clean_ledger(raw: DataFrame) -> DataFrame:
-    """Trimmed fields, extensions in lower case without leading dot, sizes as numbers."""
+    """Trimmed fields, extensions in lower case without leading dot, sizes as numbers; line_no, the place in the log, stays."""
     ext = lambda c: F.lower(F.regexp_replace(F.trim(c), r"^\.+", ""))
     return raw.select(
         F.trim("src_path").alias("src_path"), lenient_long(F.col("src_size")).alias("src_size"), ext("src_ext").alias("src_ext"),
         F.trim("dst_path").alias("dst_path"), lenient_long(F.col("dst_size")).alias("dst_size"), ext("dst_ext").alias("dst_ext"), F.trim("note").alias("note"),
+        *_line(raw),
     )
 
 
 def parse_errors(lines: DataFrame, column: str = "line") -> DataFrame:
-    """path, ext, msg of error-log lines; comments, blank lines and lines without a separator are dropped."""
-    kept = lines.where((F.col(column) != "") & ~F.col(column).startswith("#") & F.col(column).contains("|")).select(F.split(column, r"\|", 3).alias("p"))
+    """path, ext, msg of error-log lines, with line_no where lines have it; comments, blank lines and lines without a separator are dropped."""
+    kept = lines.where((F.col(column) != "") & ~F.col(column).startswith("#") & F.col(column).contains("|")).select(F.split(column, r"\|", 3).alias("p"), *_line(lines))
     part = lambda i: F.trim(F.coalesce(F.get("p", F.lit(i)), F.lit("")))
     path = F.trim(F.regexp_replace(part(0), r"^\[[^\]]*\]\s*", ""))
-    return kept.select(path.alias("path"), F.regexp_replace(part(1), r"^\.+", "").alias("ext"), part(2).alias("msg"))
+    return kept.select(path.alias("path"), F.regexp_replace(part(1), r"^\.+", "").alias("ext"), part(2).alias("msg"), *_line(lines))
 
 
 def status_of(note: Column, dst_ext: Column) -> Column:
@@ -48,18 +54,22 @@ def with_status(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("status", status_of(F.col("note"), F.col("dst_ext")))
 
 
+def _place(df: DataFrame) -> Column:
+    return F.col("line_no").cast("long") if "line_no" in df.columns else F.lit(None).cast("long")
+
+
 def failed_files(errors: DataFrame, ledger: DataFrame) -> DataFrame:
-    """path, ext, msg, source: error-log rows first, then ledger rows classed as failed; the first of a path counts."""
-    logged = errors.select("path", "ext", "msg", F.lit("log").alias("source"))
-    noted = with_status(ledger).where("status = 'failed'").select(F.col("src_path").alias("path"), F.col("src_ext").alias("ext"), F.col("note").alias("msg"), F.lit("ledger").alias("source"))
-    first = F.row_number().over(W.partitionBy("path").orderBy(F.col("source").desc(), "msg", "ext"))
-    return logged.unionByName(noted).withColumn("first", first).where("first = 1").drop("first")
+    """path, ext, msg, source: error-log rows first, then ledger rows classed as failed; the first of a path counts, by line_no where there is one, else by message."""
+    logged = errors.select("path", "ext", "msg", F.lit(0).alias("rank"), _place(errors).alias("place"))
+    noted = with_status(ledger).where("status = 'failed'").select(F.col("src_path").alias("path"), F.col("src_ext").alias("ext"), F.col("note").alias("msg"), F.lit(1).alias("rank"), _place(ledger).alias("place"))
+    first = logged.unionByName(noted).groupBy("path").agg(F.min(F.struct("rank", "place", "msg", "ext")).alias("first"))
+    return first.select("path", "first.ext", "first.msg", F.when(F.col("first.rank") == 0, "log").otherwise("ledger").alias("source"))
 
 
 def with_size(failed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """failed with the largest ledger size of its path; null where the ledger does not know it."""
-    sizes = ledger.groupBy(F.col("src_path").alias("path")).agg(F.max("src_size").alias("size"))
-    return failed.join(sizes, "path", "left")
+    """failed with the size that its path has in the last ledger row by line_no (without that, the largest); null where the ledger does not know it."""
+    sizes = ledger.groupBy(F.col("src_path").alias("path")).agg(F.max(F.struct(_place(ledger).alias("place"), F.col("src_size").alias("size"))).alias("last"))
+    return failed.join(sizes.select("path", "last.size"), "path", "left")
 
 
 def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:

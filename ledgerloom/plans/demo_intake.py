@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import catalog as C, lobs as L
-from ..sources import readers
+from ..operators import catalog as C, ledger as LG, lobs as L
+from ..sources import readers, writers
 from ..sources.shared import shared_folder
 from ..streaming.intake import format_counts, live_counts, start_counts, start_intake
 from .demo_catalog import FINDINGS
+from .demo_ledger import CLEAN, FAILED
 from .fixtures import Inputs
 from .registry import demo
 
@@ -63,11 +64,38 @@ def scan_rows(i: Inputs) -> DataFrame:
     return readers.read_rows(i.spark, path, 3).select("c1", "c2", "c3")
 
 
-@demo("SELECT trim(src_path) AS src_path, trim(note) AS note FROM d_ledger")
+@demo(f"WITH {CLEAN} SELECT src_path, src_size, src_ext, dst_path, dst_size, dst_ext, note FROM lc")
 def ledger_file(i: Inputs) -> DataFrame:
     path = _folder(i, "ledger")
-    i.d_ledger.write.csv(path, sep=";", header=True)
-    return readers.read_ledger(i.spark, path).select("src_path", "note")
+    writers.write_ledger(i.d_ledger.drop("line_no"), path)
+    return readers.read_ledger(i.spark, path).drop("line_no")
+
+
+@demo(f"WITH {FAILED} SELECT path, ext, msg, source FROM lf")
+def failed_from_files(i: Inputs) -> DataFrame:
+    """Error log and ledger as files, written in the order of their lines and read again."""
+    log, ledger = _folder(i, "log"), _folder(i, "ledger")
+    i.d_errlog.repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("line").write.text(log)
+    writers.write_ledger(i.d_ledger.repartitionByRange(3, "line_no").sortWithinPartitions("line_no").drop("line_no"), ledger)
+    return LG.failed_files(readers.read_errors(i.spark, log), readers.read_ledger(i.spark, ledger))
+
+
+@demo("SELECT CAST(o_orderkey AS VARCHAR) AS c1, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS c2, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(o_orderstatus, '<&>') END AS c3, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_pos FROM orders")
+def rows_round_trip(i: Inputs) -> DataFrame:
+    """Rows written by the sink, in order, and read again with their places."""
+    path, k = _folder(i, "sink"), F.col("o_orderkey")
+    rows = i.orders.repartitionByRange(3, k).sortWithinPartitions(k)
+    writers.write_rows(rows.select(k.cast("string").alias("c1"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("c2"), F.when(k % 5 == 0, "").otherwise(F.concat("o_orderstatus", F.lit("<&>"))).alias("c3")), path)
+    return readers.read_rows(i.spark, path, 3).select("c1", "c2", "c3", "row_pos")
+
+
+@demo("""SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS INTEGER) AS event, concat(event_label, ': ', message) AS detail FROM d_steps WHERE modifies AND success AND NOT skipped AND changed > 0""")
+def events_appended(i: Inputs) -> DataFrame:
+    """Events of even and odd runs, appended one after the other."""
+    path = _folder(i, "events")
+    for odd in (0, 1):
+        writers.write_events(C.provenance_events(i.d_steps.where(F.substring("run_id", 2, 9).cast("int") % 2 == odd)), path)
+    return i.spark.read.parquet(path).select("run_id", "event", "detail")
 
 
 @demo("SELECT concat('f', item_id) AS path, CASE WHEN item_id % 4 = 0 THEN NULL ELSE concat('fmt/', item_id) END AS code FROM benchmark")

@@ -9,15 +9,15 @@ from .fixtures import Inputs
 from .registry import demo
 
 CLEAN = """lc AS (SELECT trim(src_path) AS src_path, coalesce(CAST(trunc(TRY_CAST(trim(src_size) AS DOUBLE)) AS BIGINT), 0) AS src_size, lower(regexp_replace(trim(src_ext), '^\\.+', '')) AS src_ext,
-trim(dst_path) AS dst_path, coalesce(CAST(trunc(TRY_CAST(trim(dst_size) AS DOUBLE)) AS BIGINT), 0) AS dst_size, lower(regexp_replace(trim(dst_ext), '^\\.+', '')) AS dst_ext, trim(note) AS note FROM d_ledger)"""
+trim(dst_path) AS dst_path, coalesce(CAST(trunc(TRY_CAST(trim(dst_size) AS DOUBLE)) AS BIGINT), 0) AS dst_size, lower(regexp_replace(trim(dst_ext), '^\\.+', '')) AS dst_ext, trim(note) AS note, line_no FROM d_ledger)"""
 STATUS = CLEAN + """, ls AS (SELECT *, CASE WHEN regexp_matches(lower(note), 'error|failed|timed out|timeout') THEN 'failed' WHEN contains(lower(note), 'kept') THEN 'kept' WHEN contains(lower(note), 'charset') THEN 'charset'
 WHEN contains(lower(note), 'inline') THEN 'inline' WHEN contains(lower(note), '.bin') THEN 'bin' WHEN contains(lower(note), 'convert') OR dst_ext IN ('pdf', 'pdfa') THEN 'converted'
 WHEN contains(lower(note), 'extension changed') OR contains(lower(note), 'renamed') THEN 'renamed' WHEN note <> '' THEN note ELSE 'processed' END AS status FROM lc)"""
-ERRS = """le AS (SELECT trim(regexp_replace(split_part(line, '|', 1), '^\\s*\\[[^\\]]*\\]\\s*', '')) AS path, regexp_replace(trim(split_part(line, '|', 2)), '^\\.+', '') AS ext, trim(split_part(line, '|', 3)) AS msg
+ERRS = """le AS (SELECT trim(regexp_replace(split_part(line, '|', 1), '^\\s*\\[[^\\]]*\\]\\s*', '')) AS path, regexp_replace(trim(split_part(line, '|', 2)), '^\\.+', '') AS ext, trim(split_part(line, '|', 3)) AS msg, line_no
 FROM d_errlog WHERE line <> '' AND line NOT LIKE '#%' AND contains(line, '|'))"""
-FAILED = STATUS + ", " + ERRS + """, lf AS (SELECT path, ext, msg, source FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY source DESC, msg, ext) AS r FROM
-(SELECT path, ext, msg, 'log' AS source FROM le UNION ALL SELECT src_path, src_ext, note, 'ledger' FROM ls WHERE status = 'failed')) WHERE r = 1),
-lz AS (SELECT lf.*, z.size FROM lf LEFT JOIN (SELECT src_path AS path, max(src_size) AS size FROM lc GROUP BY 1) z USING (path))"""
+FAILED = STATUS + ", " + ERRS + """, lf AS (SELECT path, ext, msg, source FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY source DESC, line_no, msg, ext) AS r FROM
+(SELECT path, ext, msg, 'log' AS source, line_no FROM le UNION ALL SELECT src_path, src_ext, note, 'ledger', line_no FROM ls WHERE status = 'failed')) WHERE r = 1),
+lz AS (SELECT lf.*, z.size FROM lf LEFT JOIN (SELECT src_path AS path, max_by(src_size, line_no) AS size FROM lc GROUP BY 1) z USING (path))"""
 
 
 def _clean(i: Inputs) -> DataFrame:

@@ -93,6 +93,23 @@ def parent_closure(i: Inputs) -> DataFrame:
     return R.kept_counts(rows, R.close_parents(keep, {f.name: R.fk_edges(rows[f.child], rows[f.parent], f) for f in KEYS}, KEYS))
 
 
+@demo("""WITH pa AS (SELECT l_orderkey, l_suppkey, max(row_number) - 1 AS parent_pos FROM (SELECT l_orderkey, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END NULLS FIRST) AS row_number FROM lineitem WHERE l_linenumber <= 2) GROUP BY 1, 2),
+ch AS (SELECT l_orderkey, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END NULLS FIRST) - 1 AS child_pos FROM lineitem WHERE l_linenumber > 1)
+SELECT child_pos, parent_pos FROM ch JOIN pa ON ch.l_orderkey = pa.l_orderkey AND ch.l_suppkey = pa.l_suppkey""")
+def fk_edges_composite(i: Inputs) -> DataFrame:
+    """A key of two columns, one of them null now and then; of several parents the last counts."""
+    lines = i.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("supplier"))
+    placed = lambda df: R.with_row_pos(df, ["l_orderkey", "l_linenumber", "supplier"])
+    fk = R.ForeignKey("f", "child", ("l_orderkey", "supplier"), "parent", ("l_orderkey", "supplier"))
+    return R.fk_edges(placed(lines.where("l_linenumber > 1")), placed(lines.where("l_linenumber <= 2")), fk)
+
+
+@demo(f"WITH {_p('customer')}, {_s('customer')} SELECT c_custkey, c_name, row_pos FROM p_customer WHERE row_pos IN (SELECT row_pos FROM s_customer)")
+def keep_rows(i: Inputs) -> DataFrame:
+    rows = R.with_row_pos(i.customer.select("c_custkey", "c_name"), ["c_custkey"])
+    return R.apply_keep(rows, R.spread_positions(rows, N, N))
+
+
 #: Orders that refer to the order with a third of their key, every seventh to the one after, every thirteenth to none; customers that refer to their last order.
 _RING = """og AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 13 = 0 THEN -1 WHEN o_orderkey % 7 = 0 THEN o_orderkey + 1 ELSE CAST(floor(o_orderkey / 3) AS BIGINT) END AS p FROM orders), cg AS (SELECT o_custkey AS k, max(o_orderkey) AS p FROM orders GROUP BY 1),
 ed AS (SELECT 'orders' AS a, og.k AS x, 'orders' AS b, q.k AS y FROM og JOIN og q ON q.k = og.p UNION ALL SELECT 'orders', og.k, 'customer', cg.k FROM og JOIN cg ON cg.k = og.c UNION ALL SELECT 'customer', cg.k, 'orders', og.k FROM cg JOIN og ON og.k = cg.p UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer),

@@ -40,14 +40,15 @@ select path as src_path,
        case when o_orderkey % 8 = 1 then 'pdf' when o_orderkey % 8 = 0 then '' else ext end as dst_ext,
        case o_orderkey % 8 when 0 then (case when o_orderkey % 16 = 0 then 'Conversion timed out after 60 s' else 'Conversion error: bad file' end)
             when 1 then 'Converted to PDF/A' when 2 then 'Kept original format' when 3 then 'Charset changed to UTF-8'
-            when 4 then 'Inline extract' when 5 then 'Standardised to .bin' when 6 then 'Detected as xml - extension changed' else '' end as note
+            when 4 then 'Inline extract' when 5 then 'Standardised to .bin' when 6 then 'Detected as xml - extension changed' else '' end as note,
+       o_orderkey as line_no
 from d_inv
 """,
     "d_errlog": r"""
-select '# errors' as line union all select '' union all select 'no separator here'
+select '# errors' as line, cast(0 as bigint) as line_no union all select '', 0 union all select 'no separator here', 0
 union all
 select concat('[12:00:', lpad(cast(o_orderkey % 60 as string), 2, '0'), ']  ', path, '  |  .', ext, '  |  ',
-              case when o_orderkey % 16 = 0 then 'Conversion timed out after 60 s' else 'Conversion error: bad file' end)
+              case when o_orderkey % 16 = 0 then 'Conversion timed out after 60 s' else 'Conversion error: bad file' end), 1000000000 - o_orderkey
 from d_inv where o_orderkey % 24 in (0, 9)
 """,
     "d_tables": r"""

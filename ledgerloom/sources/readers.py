@@ -89,8 +89,8 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_rows(spark: SparkSession, path: str, columns: int, lobs: set[int] = frozenset()) -> DataFrame:
     """Rows of one table's XML file: table_key, row_pos and c1..cN as text; a missing cell is null, an empty one ''.
 
-    Records end at </row>, so large files split; row_pos counts from 0 in file order: the place of the split, then the
-    place in it. Cells of lobs come as structs with their attributes.
+    Records end at </row>, so large files split; row_pos counts from 0 in file order: the file, where a table has several, the place
+    of the split, then the place in it. Cells of lobs come as structs with their attributes.
     """
     cell = "struct<_VALUE:string,_file:string,_length:long,_digest:string,_digestType:string>"
     schema = ", ".join(f"c{k} {cell if k in lobs else 'string'}" for k in range(1, columns + 1))
@@ -100,7 +100,7 @@ def read_rows(spark: SparkSession, path: str, columns: int, lobs: set[int] = fro
     key = F.regexp_extract("file", r"content/(.+?)/[^/]+\.xml$", 1)
     from ..operators.relations import with_row_pos
 
-    placed = with_row_pos(parsed.select(key.alias("table_key"), "start", "at", "r"), ["table_key", "start", "at"], "place")
+    placed = with_row_pos(parsed.select(key.alias("table_key"), "file", "start", "at", "r"), ["table_key", "file", "start", "at"], "place")
     first = placed.groupBy("table_key").agg(F.min("place").alias("first"))
     return placed.join(first, "table_key").select("table_key", (F.col("place") - F.col("first")).alias("row_pos"), "r.*")
 
@@ -154,15 +154,20 @@ def lob_refs(rows: DataFrame, lobs: list[int]) -> DataFrame:
     return rows.select("table_key", "row_pos", F.explode(cells).alias("x")).select("table_key", "row_pos", "x.*").where("ref is not null")
 
 
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    """Lines with line_no, which grows along a file and from file to file; how far it grows says nothing."""
+    return lines.withColumn("line_no", F.monotonically_increasing_id())
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Conversion ledger: semicolons, seven columns, header, byte-order mark or not; fields trimmed, sizes lenient."""
+    """Conversion ledger: semicolons, seven columns, header, byte-order mark or not; fields trimmed, sizes lenient; line_no in the order of the file."""
     schema = "src_path string, src_size string, src_ext string, dst_path string, dst_size string, dst_ext string, note string"
     raw = spark.read.csv(path, sep=";", header=True, schema=schema, enforceSchema=True)
-    return clean_ledger(raw.na.fill(""))
+    return clean_ledger(_numbered_lines(raw.na.fill("")))
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
-    return parse_errors(spark.read.text(path), "value")
+    return parse_errors(_numbered_lines(spark.read.text(path)), "value")
 
 
 _ENTRIES = "array<struct<name:string,description:string,columns:variant>>"

@@ -62,7 +62,7 @@ def test_ledger_errors_template_report(spark, tmp_path):
     (tmp_path / "l.csv").write_text("fra;n;e;til;m;f;k\n a.doc ; 10.0 ;.DOC;a.pdf;12;pdf;Converted to PDF/A\nb;;;;;;\n", encoding="utf-8-sig")
     assert [(r["src_path"], r["src_size"], r["src_ext"]) for r in readers.read_ledger(spark, str(tmp_path / "l.csv")).collect()] == [("a.doc", 10, "doc"), ("b", 0, "")]
     (tmp_path / "e.log").write_text("# head\n\n[10:00]  x/y.doc  |  .doc  |  timed | out\nnothing\n")
-    assert [tuple(r) for r in readers.read_errors(spark, str(tmp_path / "e.log")).collect()] == [("x/y.doc", "doc", "timed | out")]
+    assert [tuple(r) for r in readers.read_errors(spark, str(tmp_path / "e.log")).select("path", "ext", "msg").collect()] == [("x/y.doc", "doc", "timed | out")]
     for k, root in enumerate(([{"name": "A", "description": "1"}, {"name": "a", "description": "2"}], {"tables": [{"name": "a", "description": "2"}]}, {"templateSchema": {"tables": [{"name": "a", "description": "2"}]}}, {"version": 1, "other": {"tables": [{"name": "a", "description": "2"}]}})):
         (tmp_path / f"t{k}.json").write_text(json.dumps(root, indent=1))
         assert [tuple(r) for r in readers.read_template(spark, str(tmp_path / f"t{k}.json")).collect()] == [("a", "2", [])]
