@@ -20,6 +20,7 @@ from .sampling import fold
 from .secrets import fit_ratios, secret_digests, secret_spans
 from .sharding import kd_shards
 from .surrogates import with_surrogates
+from .twins import EMBEDDING_SQL, NGRAM_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_centroids": CENTROID_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": NGRAM_SQL, "op9_embedding_pq": EMBEDDING_SQL, "op11_centroids": CENTROID_SQL}
