@@ -60,12 +60,12 @@ def grouped_int(n: Column, separator: str = " ") -> Column:
 def percent(part: Column, whole: Column, decimals: int = 1, point: str = ",") -> Column:
     """Share as 'NN,N %'; of nothing it is 0."""
     share = F.when(F.coalesce(whole, F.lit(0)) == 0, 0.0).otherwise(part / whole * 100.0).cast("double")
-    return F.concat(F.replace(F.format_string(f"%.{decimals}f", share), F.lit("."), F.lit(point)), F.lit(" %"))
+    return F.concat(F.replace(F.format_string(f"%.{decimals}f", F.bround(share, decimals)), F.lit("."), F.lit(point)), F.lit(" %"))
 
 
 def human_size(n: Column) -> Column:
-    """A size in the largest unit of 1,024 that it fills; whole bytes, else one decimal; null is a dash."""
+    """A size in the largest unit of 1,024 that it fills; whole bytes, else one decimal, halves to the even one; null is a dash."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(F.abs(n) >= float(1024**k), F.concat(F.format_string("%.1f", (n / float(1024**k)).cast("double")), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(F.abs(n) >= float(1024**k), F.concat(F.format_string("%.1f", F.bround((n / float(1024**k)).cast("double"), 1)), F.lit(f" {unit}"))).otherwise(out)
     return F.coalesce(out, F.lit("–"))

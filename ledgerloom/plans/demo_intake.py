@@ -175,6 +175,11 @@ def catalog_tables(i: Inputs) -> DataFrame:
     return _catalogs(i)["tables"].select("archive_id", "schema_folder", "schema_name", "table_key", "table_name", "description", "declared_rows")
 
 
+@demo("SELECT DISTINCT archive_id, schema_name AS name, split_part(table_key, '/', 1) AS folder, '' AS description FROM d_tables")
+def catalog_schemas(i: Inputs) -> DataFrame:
+    return _catalogs(i)["schemas"]
+
+
 @demo("""SELECT archive_id, table_key, CAST(row_number() OVER (PARTITION BY archive_id, table_key ORDER BY col_idx) AS INTEGER) AS col_idx, name, type, CASE WHEN type LIKE 'VARCHAR%' THEN 25 END AS max_len, type IN ('BLOB', 'CLOB') AS is_lob, nullif(lob_folder, '') AS lob_folder, description FROM d_columns""")
 def catalog_columns(i: Inputs) -> DataFrame:
     return _catalogs(i)["columns"].select("archive_id", "table_key", "col_idx", "name", "type", "max_len", "is_lob", "lob_folder", "description")

@@ -196,6 +196,17 @@ def name_spans_large(i: Inputs) -> DataFrame:
     return names.on(_signed(i)).select("o_orderkey", F.explode(P.name_spans(F.col("text"), names)).alias("s")).select("o_orderkey", "s.*")
 
 
+_TURNED = f"""{_LARGE}, tu AS (SELECT o_orderkey, f, concat('Qv', substr(l, 3)) AS q FROM ln)"""
+
+
+@demo(f"""WITH {_TURNED} SELECT o_orderkey, 8 AS start, CAST(10 + length(q) + length(f) AS INTEGER) AS "end", 'FULL_NAME' AS type, concat(q, ', ', f) AS text FROM tu WHERE o_orderkey % 3 <> 0""")
+def name_spans_turned(i: Inputs) -> DataFrame:
+    """A last name that the dictionary does not know, a comma, and a first name that it knows two times out of three."""
+    names, letters = Names.table(_large_names(i)), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
+    text = F.concat(F.lit("Sent by Qv"), letters("o_custkey"), F.lit(", Fo"), letters("o_orderkey"), F.lit(" today"))
+    return names.on(i.orders.select("o_orderkey", text.alias("text"))).select("o_orderkey", F.explode(P.name_spans(F.col("text"), names)).alias("s")).select("o_orderkey", "s.*")
+
+
 @demo(f"""WITH {_LARGE} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN text ELSE concat('Order ', o_orderkey, ' is signed by ', {full_sql("concat(f, ' ', l)")}, ', copy to ', lower({pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}), ' (æ) ', {pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}, '.') END AS text,
 CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 3 END AS n_redacted FROM lt""")
 def redact_text_large(i: Inputs) -> DataFrame:
