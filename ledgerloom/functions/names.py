@@ -59,7 +59,12 @@ class Names:
         return F.pmod(F.shiftrightunsigned(hash_, 2), F.lit(buckets)).cast("int")
 
     def on(self, df: DataFrame) -> DataFrame:
-        """df as expressions with this dictionary need it; drop(COLUMN) takes the hidden column away."""
+        """df as expressions with this dictionary need it; drop(COLUMN) takes the hidden column away.
+
+        Use each such expression as a column of its own, in select or withColumn: there the optimizer puts the subquery in
+        the hidden column's place. Within explode, a filter or an aggregate, or if several columns of one select use it, the
+        index would be copied into each row.
+        """
         return df if self.index is None else df.withColumn(COLUMN, self.index.scalar())
 
     def bound(self, use: Callable[[Kind], Column]) -> Column:

@@ -182,10 +182,20 @@ def _large_names(i: Inputs) -> DataFrame:
     return first.unionByName(token(i.customer, "la", F.col("c_custkey"), "last")).unionByName(token(i.orders, "or", k, "last"))
 
 
+def _spread(texts: DataFrame) -> DataFrame:
+    """Texts of few files dealt out to all cores: what is done with each takes longer than moving it."""
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism)
+
+
+def _each(found: DataFrame) -> DataFrame:
+    """One row for each span; outer, since else the optimizer works out the spans once more to see whether there are any."""
+    return found.select("o_orderkey", F.explode_outer("found").alias("s")).where("s is not null").select("o_orderkey", "s.*")
+
+
 def _signed(i: Inputs) -> DataFrame:
     k, letters = F.col("o_orderkey"), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
     f, last = F.concat(F.lit("Fo"), letters("o_orderkey")), F.concat(F.lit("La"), letters("o_custkey"))
-    return i.orders.select("o_orderkey", F.concat(F.lit("Order "), k, F.lit(" is signed by "), f, F.lit(" "), last, F.lit(", copy to "), F.lower(f), F.lit(" (æ) "), f, F.lit(".")).alias("text"))
+    return _spread(i.orders).select("o_orderkey", F.concat(F.lit("Order "), k, F.lit(" is signed by "), f, F.lit(" "), last, F.lit(", copy to "), F.lower(f), F.lit(" (æ) "), f, F.lit(".")).alias("text"))
 
 
 @demo(f"""WITH {_LARGE} SELECT o_orderkey, pos AS start, CAST(pos + length(f) + length(l) + 1 AS INTEGER) AS "end", 'FULL_NAME' AS type, concat(f, ' ', l) AS text FROM lt WHERE o_orderkey % 3 <> 0
@@ -193,7 +203,8 @@ UNION ALL SELECT o_orderkey, CAST(pos + length(f) + length(l) + 11 AS INTEGER),
 UNION ALL SELECT o_orderkey, CAST(pos + 2 * length(f) + length(l) + 16 AS INTEGER), CAST(pos + 3 * length(f) + length(l) + 16 AS INTEGER), 'FIRST_NAME', f FROM lt WHERE o_orderkey % 3 <> 0""")
 def name_spans_large(i: Inputs) -> DataFrame:
     names = Names.table(_large_names(i))
-    return names.on(_signed(i)).select("o_orderkey", F.explode(P.name_spans(F.col("text"), names)).alias("s")).select("o_orderkey", "s.*")
+    found = names.on(_signed(i)).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
+    return _each(found)
 
 
 _TURNED = f"""{_LARGE}, tu AS (SELECT o_orderkey, f, concat('Qv', substr(l, 3)) AS q FROM ln)"""
@@ -204,7 +215,8 @@ def name_spans_turned(i: Inputs) -> DataFrame:
     """A last name that the dictionary does not know, a comma, and a first name that it knows two times out of three."""
     names, letters = Names.table(_large_names(i)), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
     text = F.concat(F.lit("Sent by Qv"), letters("o_custkey"), F.lit(", Fo"), letters("o_orderkey"), F.lit(" today"))
-    return names.on(i.orders.select("o_orderkey", text.alias("text"))).select("o_orderkey", F.explode(P.name_spans(F.col("text"), names)).alias("s")).select("o_orderkey", "s.*")
+    found = names.on(_spread(i.orders.select("o_orderkey", text.alias("text")))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
+    return _each(found)
 
 
 @demo(f"""WITH {_LARGE} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN text ELSE concat('Order ', o_orderkey, ' is signed by ', {full_sql("concat(f, ' ', l)")}, ', copy to ', lower({pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}), ' (æ) ', {pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}, '.') END AS text,

@@ -19,9 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_shared(df: DataFrame) -> str:
-    """Path of df as a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Path of df as a Parquet table in the shared folder. The table goes when the driver ends; until then frames may read it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
