@@ -170,8 +170,8 @@ def dict_tokens(cells: DataFrame, names: DataFrame) -> DataFrame:
     return words.join(names, "token").groupBy("col_name", "token", "kind").agg(F.count("*").alias("n"))
 
 
-#: A word: letters, joined by single apostrophes and hyphens. Words and what stands between them make up a text.
-_WORD = r"\p{L}+(?:['-]\p{L}+)*"
+#: A word: letters, joined by up to twenty single apostrophes and hyphens. Words and what stands between them make up a text.
+_WORD = r"\p{L}+(?:['-]\p{L}+){0,20}"
 _TOKEN = rf"{_WORD}|\P{{L}}+"
 #: Classes of words, in capitals if the word begins with one: F first name, A first name that is a common word too, L last
 #: name, N another word in capitals of three letters or more, S of two letters, U all in capitals, x other. Between words: , or -.
@@ -254,14 +254,15 @@ def _by_rank(*kinds: Column) -> Column:
 
 
 def _numbers(text: Column, pattern: str, kind: str, valid: Callable[[Column], Column]) -> Column:
-    """Spans of numbers within runs of digits and single blanks: of the groups of digits of a run, up to eight in a row make a valid number; the leftmost and longest count."""
+    """Spans of numbers within runs of digits and blanks: of the groups of digits of a run, up to eight in a row, one blank apart, make a valid number; the leftmost and longest count."""
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
-    def windows(run: Column, parts: Column) -> Column:
-        """All rows of up to eight groups: parts has the groups and where each starts."""
-        n = F.size(parts["groups"])
+    def windows(run: Column, groups: Column, starts: Column) -> Column:
+        """All rows of up to eight groups."""
+        n = F.size(groups)
+        at = lambda k: F.get(F.get(starts, F.floor(k / _BLOCK).cast("int")), k % _BLOCK)
         window = lambda k, j: F.struct(
-            (run["start"] + F.get(parts["starts"], k)).alias("start"), (-(run["start"] + F.get(parts["starts"], k + j + 1) - 1)).alias("minus_end"), F.array_join(F.slice(parts["groups"], k + 1, j + 1), " ").alias("text")
+            (run["start"] + at(k)).alias("start"), (-(run["start"] + at(k + j + 1) - 1)).alias("minus_end"), F.array_join(F.slice(groups, k + 1, j + 1), " ").alias("text")
         )
         return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(F.sequence(F.lit(0), F.least(F.lit(7), n - 1 - k)), lambda j: window(k, j))))
 
@@ -270,9 +271,11 @@ def _numbers(text: Column, pattern: str, kind: str, valid: Callable[[Column], Co
         return F.aggregate(F.array_sort(found), none, step)
 
     def within(run: Column) -> Column:
-        groups = F.split(run["text"], " ")
-        starts = F.aggregate(groups, F.array(F.lit(0)), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(g) + 1)))
-        return first_apart(F.filter(T.let(F.struct(groups.alias("groups"), starts.alias("starts")), lambda parts: windows(run, parts)), lambda w: valid(w["text"])))
+        def found(groups: Column) -> Column:
+            return T.let(_starts(F.transform(groups, lambda g: F.length(g) + 1)), lambda starts: windows(run, groups, starts))
+
+        sound = lambda w: ~w["text"].contains("  ") & ~w["text"].startswith(" ") & ~w["text"].endswith(" ") & valid(w["text"])
+        return first_apart(F.filter(T.let(F.split(run["text"], " "), found), sound))
 
     enough = F.filter(spans_of(text, pattern), lambda run: F.length(run["text"]) >= 8)
     return _typed(F.flatten(F.transform(enough, within)), kind)

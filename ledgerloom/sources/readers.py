@@ -40,11 +40,12 @@ def _catalog_text(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def read_databases(spark: SparkSession, path: str) -> DataFrame:
     """One row for each archive: the header fields of its catalog, version, and the first digest with its algorithm. The text is cut before the schemas, which stay unparsed."""
     head = _catalog_text(spark, path, "<schemas").where(F.col("value").rlike("^\uFEFF?\\s*<"))
-    body = F.regexp_extract("value", r"(?s)^\uFEFF?\s*(?:<\?.*?\?>\s*)?(?:<!--.*?-->\s*)*<[A-Za-z_][^>]*>(.*)$", 1)
+    plain = F.regexp_replace("value", "(?s)<!--.*?-->", "")
+    body = F.regexp_extract(plain, r"(?s)^\uFEFF?\s*(?:<\?.*?\?>)?\s*<[A-Za-z_][^>]*>(.*)$", 1)
     parsed = head.withColumn("h", F.from_xml(F.concat(F.lit("<header>"), body, F.lit("</header>")), _HEADER, {"nullValue": _NO_NULL}))
     digest = F.get("h.messageDigest", F.lit(0))
     return parsed.select(
-        "archive_id", F.col("h.dbname").alias("db_name"), F.col("h.databaseProduct").alias("product"), F.col("h.dataOwner").alias("owner"), F.col("h.dataOriginTimespan").alias("origin"), version_of(F.regexp_extract("value", r"(?s)(<[A-Za-z_][^>]*>)", 1)).alias("version"),
+        "archive_id", F.col("h.dbname").alias("db_name"), F.col("h.databaseProduct").alias("product"), F.col("h.dataOwner").alias("owner"), F.col("h.dataOriginTimespan").alias("origin"), version_of(F.regexp_extract(plain, r"(?s)(<[A-Za-z_][^>]*>)", 1)).alias("version"),
         F.col("h.archivalDate").alias("archival_date"), F.col("h.producerApplication").alias("producer"), F.col("h.archiver").alias("archiver"), F.col("h.lobFolder").alias("lob_folder"),
         F.coalesce("h.description", F.lit("")).alias("description"), digest["digest"].alias("digest"), digest["digestType"].alias("digest_algo"),
     )
@@ -114,16 +115,15 @@ def row_faults(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "</row>").option("recursiveFileLookup", True).text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), "value", F.col("value").contains("<row>").alias("has_row"))
-    gap, comment, name = F.regexp_extract("value", r"(?s)^(.*?)(?:<row>|$)", 1), r"(?:\s|<!--.*?-->)*", r"[A-Za-z_][\w.:-]*"
-    gap = F.when(F.col("has_row"), gap).otherwise(F.col("value"))
-    start = rf"\uFEFF?\s*(?:<\?xml.*?\?>)?{comment}<{name}[^<>]*>{comment}"
-    end = rf"</{name}>{comment}$"
-    opens = gap.rlike(rf"(?s)^{start}(?:{end})?$")
-    closes = gap.rlike(rf"(?s)^{comment}{end}") | gap.rlike(rf"(?s)^{start}{end}") | gap.rlike(rf"(?s)^{start}$") & gap.rlike(rf"(?s)/>{comment}$")
+    gap = F.when(F.col("has_row"), F.regexp_extract("value", "(?s)^(.*?)<row>", 1)).otherwise(F.col("value"))
+    gap = F.trim(F.regexp_replace(F.regexp_replace(gap, "(?s)<!--.*?-->", ""), r"^[\uFEFF\s]+|\s+$", ""))  # comments may stand anywhere
+    name = r"[A-Za-z_][\w.:-]*"
+    start, end = rf"(?:<\?xml.*?\?>)?\s*<{name}[^<>]*>", rf"</{name}>"
+    opens = gap.rlike(rf"(?s)^{start}\s*(?:{end})?$")
+    closes = gap.rlike(rf"(?s)^(?:{start})?\s*{end}$") | gap.rlike(rf"(?s)^{start}$") & gap.endswith("/>")
     record = F.concat(F.lit("<row>"), F.regexp_extract("value", r"(?s)<row>(.*)$", 1), F.lit("</row>"))
     broken = F.from_xml(record, "_corrupt_record string", _CHECK)["_corrupt_record"].isNotNull()
-    blank = gap.rlike(rf"(?s)^{comment}$")
-    marked = raw.select("file", (F.col("has_row") & broken).alias("broken"), opens.alias("opens"), closes.alias("closes"), (~blank & ~opens & ~closes).alias("between"))
+    marked = raw.select("file", (F.col("has_row") & broken).alias("broken"), opens.alias("opens"), closes.alias("closes"), ((gap != "") & ~opens & ~closes).alias("between"))
     n = lambda c: F.count_if(F.col(c))
     counts = marked.groupBy("file").agg(n("broken").alias("broken"), n("between").alias("between"), n("opens").alias("opens"), n("closes").alias("closes"))
     fault = lambda text, count: F.struct(F.lit(text).alias("fault"), count.cast("long").alias("n"))
