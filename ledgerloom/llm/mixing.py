@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .repeats import numbered
 from .store import written
 
 #: Ranges of the Pareto rank by which running counts are made, so that no source's rows meet in one task.
@@ -120,11 +121,23 @@ def _range(rank: str) -> Column:
     return F.floor(RANGES * F.col(rank) / (F.col(rank) + 1)).cast("long")
 
 
-def sized_documents(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
-    """doc_id, source, size, u, class and more of each row; u depends on seed and doc_id, where that is null on the text."""
+def _sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, class, mark, key and more of each row; equal rows share key, and mark stands for a null doc_id."""
     size = word_count(F.col("text"))
-    u = _unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), u.alias("u"), _size_class(size).alias("class"), *more)
+    mark = F.when(F.col("doc_id").isNull(), F.coalesce(F.md5("text"), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), mark, F.lit("/"), F.col("source"), F.lit("/"), F.col("text"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _size_class(size).alias("class"), mark.alias("mark"), key.alias("key"), *more)
+
+
+def _with_units(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (what _sizes returns, with copy) with u, a number that seed, doc_id (where null the text) and copy decide."""
+    u = _unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.col("mark")), F.when(F.col("copy") > 0, F.col("copy").cast("string")))
+    return rows.withColumn("u", u).drop("mark", "copy")
+
+
+def sized_documents(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, class, key and u of each row, as a table; rows that are equal have random numbers of their own."""
+    return _with_units(numbered(_sizes(docs), "sized"), seed)
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -133,12 +146,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     taken is size times the copies that the mix takes: floor(target / source_size) whole copies of every document, and
     one more of those chosen by Pareto order sampling: each class of sizes of a source has a fixed number to draw, each
     document an inclusion probability, and documents with the least random odds over inclusion odds are drawn. The random
-    number depends on seed and doc_id alone, so reruns agree. Null source is a source of its own; null or empty text
-    has size 0 and is taken with 0 words; rows that repeat a doc_id and text share their fate. An empty table gives an
-    empty result. Sources meet only in sums: rows are joined with a few hundred rows per source, which Spark sends to
-    all tasks only while they are small.
+    number depends on seed, doc_id and, among equal rows, a count alone, so reruns agree: of equal rows, as many are
+    drawn each time. Null source is a source of its own; null or empty text has size 0 and is taken with 0 words. An
+    empty table gives an empty result. Sources meet only in sums: rows are joined with a few hundred rows per source,
+    which Spark sends to all tasks only while they are small.
     """
-    sized = written(sized_documents(docs, seed), "sized")
+    sized = sized_documents(docs, seed)
     plan = mix_plan(sized, weights, share, most, seed)
     return _decided(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")), plan
 
@@ -153,8 +166,16 @@ def _decided(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their own columns, whatever their names; texts move in no shuffle."""
-    plan = mix_plan(written(sized_documents(docs, seed), "sized"), weights, share, most, seed)
-    rows = sized_documents(docs, seed, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    times = _decided(rows, plan).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
-    return times.select("doc.*")
+    """The rows of docs as often as the mix takes them, with their own columns, whatever their names.
+
+    Rows that occur once decide where they are read: their texts move in no shuffle while the keys of repeated rows are
+    few enough for Spark to send them to all tasks. Repeated rows are written with their numbers and decided one by one.
+    """
+    sized = sized_documents(docs, seed)
+    plan = mix_plan(sized, weights, share, most, seed)
+    again = written(sized.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    rows = _sizes(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    once = rows.join(again, "key", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    repeated = numbered(rows.join(again, "key", "left_semi"), "copies")
+    decided = _decided(_with_units(once.unionByName(repeated), seed), plan)
+    return decided.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")).select("doc.*")

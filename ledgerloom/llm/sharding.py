@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .repeats import numbered
 from .store import written
 
 #: Bits of a coordinate: VALUE_BITS of the metadata, the rest of a hash that separates equal values.
@@ -29,18 +30,19 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
     size is the UTF-8 bytes of the text plus 8. The tree is split until there are shards leaves, or, where
     target_bytes is given, until leaves hold that many bytes on average. A node that is to become k leaves is cut along
     its widest dimension (range over that of the root) where floor(k/2)/k of its bytes lie below. Coordinates end in a
-    hash of the document, so equal values, however many, are cut as evenly as others. A cut is found in rounds: each
+    hash of the document and of its number among equal rows, so equal values, however many, are cut as evenly as others. A cut is found in rounds: each
     sums bytes by node and range of the coordinate, and the next looks into the range that holds the median; only one
     row per node reaches the driver, at most shards. slot counts from 0 in each shard without gaps.
     Null text has 8 bytes and crc 0; null metadata are values like others; repeated rows get shards and slots of their
-    own where the hash separates them, else neighbouring slots. An empty table gives an empty result.
+    own. An empty table gives an empty result.
     """
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rows = docs.select(F.col("doc_id").cast("long"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), crc.alias("text_crc32"), *[c.cast("long").alias(f"v{k}") for k, c in enumerate(_coordinates(docs))])
     dims = 4
+    rows = numbered(rows.withColumn("key", F.xxhash64("doc_id", "text_crc32", "size")), "rows")
+    copy = F.when(F.col("copy") > 0, F.col("copy"))
     for k in range(dims):
-        rows = rows.withColumn(f"v{k}", F.shiftleft(F.col(f"v{k}"), HASH_BITS) + F.pmod(F.xxhash64(F.lit(k), "doc_id", "text_crc32", "size"), F.lit(1 << HASH_BITS)))
-    rows = written(rows, "rows")
+        rows = rows.withColumn(f"v{k}", F.shiftleft(F.col(f"v{k}"), HASH_BITS) + F.pmod(F.xxhash64(F.lit(k), "doc_id", "text_crc32", "size", copy), F.lit(1 << HASH_BITS)))
     if target_bytes:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
@@ -86,8 +88,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
         rows = written(rows.withColumn("node", after_node), "rows")
         node = F.col("node")
     leaf = F.create_map(*[F.lit(x) for k, (first, _) in open_nodes.items() for x in (k, first)])[node]
-    rows = rows.select("doc_id", "size", "text_crc32", leaf.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(512)).alias("range"))
+    rows = rows.select("doc_id", "size", "text_crc32", leaf.cast("int").alias("shard"), "copy", F.pmod(F.xxhash64("doc_id", F.when(F.col("copy") > 0, F.col("copy"))), F.lit(512)).alias("range"))
     counts = rows.groupBy("shard", "range").count()
     counts = counts.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    slot = F.row_number().over(W.partitionBy("shard", "range").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")) - 1
+    slot = F.row_number().over(W.partitionBy("shard", "range").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "copy")) - 1
     return rows.withColumn("slot", slot).join(counts, ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("before")).alias("slot"))

@@ -183,3 +183,31 @@ def test_pipeline(spark):
         after = stage(spark, kept, DATA)
         assert after.columns == columns and after.join(kept, "doc_id", "left_anti").count() == 0, name
         kept = after
+
+
+def test_mix_of_repeated_rows(spark):
+    """Sources of one row that occurs 1,000 times, with an id and without one, beside one of rows with ids of their own."""
+    row = lambda n, i, s: spark.range(n).select(F.lit(i).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit(s).alias("source"))
+    own = spark.range(300).select("id", F.lit("a b").alias("text"), F.lit("c").alias("source")).withColumnRenamed("id", "doc_id")
+    docs = row(1000, 7, "a").unionByName(row(1000, None, "b")).unionByName(own).repartition(7)
+    rows = mix_sources(docs, weights=(1, 1, 1), share=1.1)[0]
+    by = rows.groupBy(F.col("doc_id").isNull().alias("none"), F.col("size")).agg(F.first("target").alias("target"), F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert len(by) == 3 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in by), by
+    again = mix_sources(docs.repartition(3), weights=(1, 1, 1), share=1.1)[0]
+    count = lambda df: sorted(((r["doc_id"] or -1, r["size"], r["taken"], r["count"]) for r in df.groupBy("doc_id", "size", "taken").count().collect()))
+    assert count(again) == count(rows)  # whatever the partitions
+    mixed = mixed_documents(docs, weights=(1, 1, 1), share=1.1)
+    words = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(F.when(F.col("source") == "c", 2).otherwise(3)).alias("n")).collect()}
+    assert sorted(words.values()) == sorted(r["taken"] for r in by)
+
+
+def test_shards_of_repeated_rows(spark):
+    """A row that occurs 1,000 times, without an id, and rows that differ."""
+    same = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs = same.unionByName(same.limit(200).withColumn("doc_id", F.lit(5).cast("long"))).repartition(6)
+    rows = kd_shards(docs, 24).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 1200 and set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(len(s) - 50) <= 1 for s in slots.values()), {k: len(s) for k, s in slots.items()}
