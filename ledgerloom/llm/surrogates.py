@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,11 @@ from .textvec import small
 # Given names by gender, titles by gender, all in the scripts the names are written in.
 FEMALE = "Anna Maria Emma Sofia Laura Julia Sarah Elena Marta Ines Lucia Claire Camille Hannah Katharina Greta Mary Linda Susan Jennifer Emily Olivia Анна Мария Елена Ольга Наталья Ирина Μαρία Ελένη Σοφία".split()
 MALE = "Peter Hans Jan Lukas Paul Thomas Michael David Daniel Carlos Pablo Luis Miguel Pierre Jacques Louis John James Robert William George Oliver Иван Сергей Дмитрий Алексей Николай Павел Γιώργος Νίκος Δημήτρης".split()
-TITLES_F = "Mrs Ms Miss Frau Señora Sra Madame Mme".split()
-TITLES_M = "Mr Herr Señor Sr Monsieur".split()
-TITLES_ANY = "Dr Prof".split()
+TITLES_F = "Mrs Ms Miss Frau Señora Sra Madame Mme Mlle Signora Professorin Госпожа Κυρία".split()
+TITLES_M = "Mr Herr Herrn Señor Sr Monsieur Signor Sir Господин Κύριος".split()
+TITLES_ANY = "Dr Prof Doctor Doktor Professor Доктор Профессор".split()
+# Small words that may stand between given and family names.
+PARTICLES = set("von van de der den del della di da du la le dos zu zum ter ten bin ibn al y".split())
 # Syllables of surrogate names, one list per script.
 SYLLABLES = {
     "latin": "ba be bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi".split(),
@@ -38,7 +40,13 @@ _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 _TITLE = "|".join(TITLES_F + TITLES_M + TITLES_ANY)
 _GIVEN = "|".join(FEMALE + MALE)
-_NAME = re.compile(rf"\b(?:(?P<title>{_TITLE})\.? )?(?:(?P<given>{_GIVEN}) )?(?P<family>{_WORD})")
+_ANCHOR = re.compile(rf"(?<!\w)(?:{_TITLE}|{_GIVEN})(?!\w)")
+_GAP = re.compile(r"(?=\s)[^\S\n]{0,8}\n?[^\S\n]{0,8}(?=\S)")
+_ENDING = re.compile(r"['’]s?$")
+GENDER = dict.fromkeys(FEMALE, "f") | dict.fromkeys(MALE, "m")
+TITLE_GENDER = dict.fromkeys(TITLES_F, "f") | dict.fromkeys(TITLES_M, "m") | dict.fromkeys(TITLES_ANY, "")
+#: Capitalised words that are taken into one name beside titles, known given names and initials.
+MOST_WORDS = 3
 _ALONE, _PART = re.compile(_WORD), re.compile(r"[^\W\d_]+")
 
 
@@ -51,12 +59,54 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
+def _person(text: str, at: int, common: Callable[[], set[str]]) -> tuple[list[tuple[int, int, str, str]], int]:
+    """Parts of the name that a title or given name at a place begins, and where to look on.
+
+    Read on: titles, known given names, initials (with a point, or one letter before more of the name), small words
+    like "von", and up to MOST_WORDS capitalised words, of which the last is the family name. Titles and initials are
+    no part of what is replaced, and a title after a name begins another. Parts are apart by blanks, the next word of a
+    name by one line break at most. Capitalised words after the first count only if the text never has them in small
+    letters (common() tells), so that a heading does not run on.
+    """
+    given, other, gender, titled, pos, end = [], [], "", False, at, at
+    broken = False
+    while m := _ALONE.match(text, pos):
+        word = _ENDING.sub("", m[0])
+        stop, first = pos + len(word), word.split("-")[0]
+        point = False
+        if word in TITLE_GENDER:
+            if given or other:
+                break
+            titled, gender, point = True, gender or TITLE_GENDER[word], True
+        elif first in GENDER and not other:
+            given.append((pos, stop, GENDER[first]))
+            gender = gender or GENDER[first]
+        elif len(word) == 1 and word.isupper() and (text[stop : stop + 1] == "." or word != "I"):
+            point = True
+        elif word in PARTICLES:
+            pass
+        elif word[0].isupper() and len(other) < MOST_WORDS and (not other or not (broken or word.lower() in common())):
+            other.append((pos, stop))
+        else:
+            break
+        end = stop
+        gap = _GAP.match(text, stop + (point and text[stop : stop + 1] == ".")) if word == m[0] else None
+        if not gap:
+            break
+        broken, pos = "\n" in gap[0], gap.end()
+    if not other and not titled and len(given) < 2:
+        return [], max(end, at + 1)
+    form = lambda a, b, kind: (a, b, f"{kind}_{_script(text[a:b])}", text[a:b].lower())
+    parts = [form(a, b, f"given_{g}") for a, b, g in given] + [form(a, b, f"given_{gender or 'm'}") for a, b in other[:-1]]
+    return parts + [form(a, b, "family") for a, b in other[-1:]], max(end, at + 1)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities of a text, in order, apart from each other.
 
-    Types: email, ip, phone, card (13 to 19 digits that pass the Luhn test), ssn, and parts of names: a family name
-    after a title or a given name, and given names with gender; where such names stand, also every other mention of
-    them alone, before or after. The normal form is what mentions of one entity share.
+    Types: email, ip, phone, card (13 to 19 digits that pass the Luhn test), ssn, and parts of names: given names with
+    gender and a family name, where a title or a known given name begins a name (see _person); where such names stand,
+    also every other mention of them alone, before or after. The normal form is what mentions of one entity share.
     """
     found = []
     for kind, pattern in (("email", _EMAIL), ("ip", _IP), ("card", _CARD), ("ssn", _SSN), ("phone", _PHONE)):
@@ -64,13 +114,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             plain = m[0].lower() if kind in ("email", "ip") else re.sub(r"\D", "", m[0])
             if kind != "card" or luhn(plain):
                 found.append((m.start(), m.end(), kind, plain))
-    for m in _NAME.finditer(text):
-        if (m["title"] or m["given"]) and m["family"][0].isupper():
-            gender = "f" if m["given"] in FEMALE or m["title"] in TITLES_F else "m" if m["given"] in MALE or m["title"] in TITLES_M else "m"
-            if m["given"]:
-                found.append((m.start("given"), m.end("given"), f"given_{gender}_{_script(m['given'])}", m["given"].lower()))
-            if m["family"] not in FEMALE and m["family"] not in MALE:
-                found.append((m.start("family"), m.end("family"), f"family_{_script(m['family'])}", m["family"].lower()))
+    small_words: list[set[str]] = []
+
+    def common() -> set[str]:
+        if not small_words:
+            small_words.append({w for w in _ALONE.findall(text) if w[0].islower()})
+        return small_words[0]
+
+    at = 0
+    while m := _ANCHOR.search(text, at):
+        parts, at = _person(text, m.start(), common)
+        found += parts
     names = {}
     for start, end, kind, plain in sorted(found):
         if kind.startswith(("given", "family")):
@@ -90,8 +144,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+#: Attempts after which a format counts as full.
+FULL = 12
+
+
 def surrogate(key: bytes, kind: str, plain: str, attempt: int) -> str:
-    """The normal form that stands for plain: of its type and length, from HMAC-SHA-256 of key, type, plain and attempt."""
+    """The normal form that stands for plain: of its type and length, from HMAC-SHA-512 of key, type, plain and attempt.
+
+    After FULL attempts the format counts as full: numbers get a digit more for every eight attempts, IP parts any
+    length and, at twice as many, there are more of them, so that a free value turns up whatever the originals are.
+    """
+    longer = max(0, attempt - FULL + 8) // 8
     n = int.from_bytes(hmac.new(key, f"{kind}|{plain}|{attempt}".encode(), hashlib.sha512).digest(), "big")
 
     def draw(m: int) -> int:
@@ -99,6 +162,8 @@ def surrogate(key: bytes, kind: str, plain: str, attempt: int) -> str:
         n, r = divmod(n, m)
         return r
 
+    if kind == "ip" and longer:
+        return ".".join(str(draw(254) + 1) for _ in range(4 + max(0, attempt - FULL) // FULL))
     if kind == "ip":
         return ".".join(str(draw(9 if len(p) == 1 else 90 if len(p) == 2 else 155) + (1 if len(p) == 1 else 10 if len(p) == 2 else 100)) for p in plain.split("."))
     if kind == "email":
@@ -112,10 +177,11 @@ def surrogate(key: bytes, kind: str, plain: str, attempt: int) -> str:
                 word, d = word + (chr(97 + d % 26) if c.isalpha() else str(d % 10) if c.isdigit() else c), d // 26
             labels.append(word)
         body = "".join(chr(97 + draw(26)) if c.isalpha() else str(draw(10)) if c.isdigit() else c for c in local)
-        return f"{body}{'' if attempt < 3 else attempt}@{'.'.join([*labels, parts[-1]])}"
+        body += "".join(chr(97 + draw(26)) for _ in range(attempt // 3))
+        return f"{body}@{'.'.join([*labels, parts[-1]])}"
     if kind in ("phone", "ssn", "card"):
         keep = 1 if kind == "phone" and len(plain) > 10 else 0
-        body = plain[:keep] + "".join(str(draw(10)) for _ in plain[keep:])
+        body = plain[:keep] + "".join(str(draw(10)) for _ in range(len(plain) - keep + longer))
         if kind == "card":
             body = next(body[:-1] + str(c) for c in range(10) if luhn(body[:-1] + str(c)))
         return body
@@ -128,7 +194,7 @@ def dressed(mention: str, kind: str, plain: str) -> str:
     """The surrogate's normal form in the format of the mention: its separators, or its case."""
     if kind in ("phone", "ssn", "card"):
         digits = iter(plain)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "ip":
         return plain
     if mention.isupper() and len(mention) > 1:
@@ -159,11 +225,12 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, type string, plain string")
 
 
-def surrogate_map(originals: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """type, plain, surrogate: one to one within a type's family, and no surrogate is an original.
+def surrogate_map(originals: DataFrame, key: str) -> DataFrame:
+    """type, plain, surrogate: one to one within a type's family, and no surrogate is an original of that family.
 
-    Every original draws a surrogate; where several drew one, all but the smallest draw again, and so does one that
-    drew an original. Rounds touch only those; each is a join by value, nothing reaches the driver but counts.
+    Families are names (given and family names of all scripts), numbers (phone, card, ssn), email and ip. Every original
+    draws a surrogate; where several drew one, all but the smallest draw again, and so does one that drew an original.
+    Each round is a join by value; nothing reaches the driver but counts. Rounds end because surrogates grow: see surrogate.
     """
     secret = key.encode()
 
@@ -172,11 +239,11 @@ def surrogate_map(originals: DataFrame, key: str, rounds: int = 60) -> DataFrame
             drawn = [surrogate(secret, k, p, a) for k, p, a in zip(*(b.column(c).to_pylist() for c in ("type", "plain", "attempt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(drawn, pa.string())], [*b.schema.names, "surrogate"])
 
-    family = F.regexp_extract("type", "^[a-z]+", 0)
+    family = F.when(F.col("type").rlike("^(given|family)_"), "name").when(F.col("type").isin("phone", "card", "ssn"), "number").otherwise(F.col("type"))
     originals = written(originals.distinct().withColumn("family", family), "originals")
     taken = originals.select("family", F.col("plain").alias("surrogate")).distinct().withColumn("is_original", F.lit(True))
     draws = originals.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
+    while True:
         draws = written(draws.select("type", "plain", "family", "attempt").mapInArrow(run, "type string, plain string, family string, attempt int, surrogate string"), "draws")
         first = draws.groupBy("family", "surrogate").agg(F.min(F.struct("attempt", "type", "plain")).alias("first"))
         checked = draws.join(first, ["family", "surrogate"]).join(taken, ["family", "surrogate"], "left")
@@ -185,7 +252,6 @@ def surrogate_map(originals: DataFrame, key: str, rounds: int = 60) -> DataFrame
         if checked.where("again").isEmpty():
             return checked.select("type", "plain", "surrogate")
         draws = checked.withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
-    raise ValueError("surrogates of a type ran out: it has more distinct values than its format allows")
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
