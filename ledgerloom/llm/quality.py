@@ -17,6 +17,8 @@ BLOCK = 4
 #: Windows of a half chunk; a chunk is two half chunks, and chunks overlap by one.
 HALF = 32
 EMBED, FILTERS, HIDDEN = 8, 32, 16
+#: Half chunks of a text that are held embedded at once: longer texts are scored in pieces.
+PIECE = 1 << 12
 #: A byte is embedded with a flag: whether the four bytes from it on stand as many bytes earlier, too.
 LAGS = range(2, 21)
 
@@ -151,8 +153,26 @@ def fit_network(texts: list[bytes], wanted: np.ndarray, epochs: int = 10, batch:
     return net
 
 
+def _score_in_pieces(net: Network, raw: np.ndarray) -> float:
+    """The logit of one text, of which a piece of PIECE half chunks is embedded at once, with a half chunk before and after it."""
+    unit, last, most, total = BLOCK * HALF, None, np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN)
+    halves = -(-len(raw) // unit)
+    for a in range(0, halves, PIECE):
+        b, lead = min(halves, a + PIECE), min(a, 1)
+        part = raw[(a - lead) * unit : (b + 1) * unit]
+        top = _pooled(net, *_layout(part, np.array([0, len(part)])))[2][lead : lead + b - a]
+        top = top if last is None else np.concatenate([last, top])
+        last = top[-1:]
+        chunk = np.maximum(np.maximum(top[:-1], top[1:]), 0)
+        hidden = np.maximum(chunk @ net.hidden + net.hidden_bias, 0)
+        most, total = np.maximum(most, hidden.max(0, initial=0)), total + hidden.sum(0, dtype=np.float64)
+    return float(np.concatenate([most, total / (halves - 1)]) @ net.out + net.out_bias[0])
+
+
 def score(net: Network, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    logit = _forward(net, *_layout(raw, offs))[0].astype(np.float64)
+    """Scores of texts that lie one after the other; memory for a text alone does not grow with its length."""
+    long = len(offs) == 2 and len(raw) > PIECE * BLOCK * HALF
+    logit = np.array([_score_in_pieces(net, raw)]) if long else _forward(net, *_layout(raw, offs))[0].astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
