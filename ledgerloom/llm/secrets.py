@@ -3,36 +3,48 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.text import let
+from ledgerloom.operators.privacy import spans_of
+
 from .sampling import hash_sample
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LONG_HEX = r"[0-9a-f]{24,}"
-#: What the models judge: runs of 20 key characters or more.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LONG_ACCESS = r"AKIA[A-Z0-9]{16,}"
+#: What the models judge: runs of SHORTEST key characters or more, bounded by other characters, no part of a base span; those are filled with MASK.
+SHORTEST, MASK = 16, "\0"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=\x00-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+(?!\x00)"
 #: States of the models: a letter in either case, a digit, or S for the rest; a run begins after ^.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places in code points: array of (start, end, match).
+    """Leftmost non-overlapping matches with their places in code points: array of (start, end, match)."""
+    return F.transform(spans_of(text, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("match")))
 
-    The pieces between matches and the matches alternate, so their lengths add up to the places.
-    """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), m.alias("match")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
 
-    def add(done: Column, step: Column) -> Column:
-        start = F.coalesce(F.element_at(done, -1)["end"], F.lit(0)) + step["gap"]
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(step["match"])).alias("end"), step["match"].alias("match"))))
+def _masked(text: Column, pattern: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    """text with its (valid) matches filled with MASK, of the same length."""
+    fill = lambda m: F.repeat(F.lit(MASK), F.length(m))
+    filled = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(valid(m), fill(m)).otherwise(m) if valid else fill(m))
+    pieces = F.zip_with(F.split(text, pattern, -1), filled, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+def without_base_spans(text: Column) -> Column:
+    """text with all base spans filled with MASK: what overlaps one that is filled already stands beside MASK then."""
+    plain = F.translate(text, MASK, " ")
+    return let(_masked(plain, ASSIGN, _is_assign), lambda t: let(_masked(t, LONG_HEX), lambda t: _masked(t, LONG_ACCESS)))
+
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, empty, lambda done, s: F.when(F.size(done) == 0, F.array(F.struct(s["gap"].alias("start"), (s["gap"] + F.length(s["match"])).alias("end"), s["match"].alias("match")))).otherwise(add(done, s)))).otherwise(empty)
+def _is_assign(match: Column) -> Column:
+    return F.length(F.regexp_extract(match, ASSIGN, 2)) >= 6
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -41,7 +53,7 @@ def _kind(spans: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Matches of each base pattern, those that fail its length dropped after matching."""
-    assign = F.filter(_found(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
+    assign = F.filter(_found(text, ASSIGN), lambda s: _is_assign(s["match"]))
     access = F.filter(_found(text, ACCESS), lambda s: s["end"] - s["start"] >= 20)
     return {"assign": _kind(assign, "assign"), "access": _kind(access, "access"), "hex": _kind(_found(text, LONG_HEX), "hex")}
 
@@ -86,15 +98,14 @@ def fit_ratios(docs: DataFrame, max_docs: int = 2000, n_random: int = 4000) -> d
 
 
 def markov_spans(text: Column, ratios: dict[str, float], least: float = 0.5) -> Column:
-    """Runs of key characters, not of one kind of character alone, whose mean log-likelihood ratio is least or more."""
+    """Runs of key characters apart from base spans whose mean log-likelihood ratio is least or more; digits alone are numbers."""
     table = F.create_map(*[F.lit(x) for k, v in ratios.items() for x in (k, v)])
 
     def judged(s: Column) -> Column:
-        pairs = _pairs(s["match"])
-        return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(table[p], F.lit(0.0))) / F.size(pairs)
+        return let(_pairs(s["match"]), lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(table[p], F.lit(0.0))) / F.size(pairs))
 
-    spans = F.filter(_found(text, CANDIDATE), lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
-    return F.filter(spans, lambda s: judged(s) >= least)
+    spans = let(without_base_spans(text), lambda t: _found(t, CANDIDATE))
+    return F.filter(spans, lambda s: s["match"].rlike("[A-Za-z]") & (judged(s) >= least))
 
 
 def _digest(spans: Column) -> Column:
@@ -107,14 +118,14 @@ def secret_spans(docs: DataFrame, ratios: dict[str, float], least: float = 0.5)
     """doc_id and the array spans (start, end, kind, match) of each row of docs (doc_id, text), over whole texts.
 
     kind is assign, access or hex for the base patterns and markov for runs that only the models find: a run that
-    touches a base span adds nothing. Places are code points, ends exclusive. Null and empty texts have no spans;
-    repeated rows come out as often as they go in. Each row is judged on its own: no shuffle.
+    touches a base span adds nothing, nor do runs shorter than SHORTEST or without a letter. Places are code points,
+    ends exclusive. Null and empty texts have no spans; repeated rows come out as often as they go in. Each row is
+    judged on its own, in time that grows with its length: no shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base_spans(text)
     rows = docs.select(F.col("doc_id").cast("long"), F.concat(*base.values()).alias("base"), _kind(markov_spans(text, ratios, least), "markov").alias("more"))
-    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    return rows.select("doc_id", "base", F.concat("base", F.filter("more", apart)).alias("spans"))
+    return rows.select("doc_id", "base", F.concat("base", "more").alias("spans"))
 
 
 def secret_digests(spans: DataFrame) -> DataFrame:

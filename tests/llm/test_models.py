@@ -1,7 +1,10 @@
 """Quality network, language codes and secret models: held-out accuracy, exact base spans, edge cases."""
 
 import hashlib
+import random
 import re
+import string
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import queries as Q
 from ledgerloom.llm.language import codewords, fit_language, languages
-from ledgerloom.llm.quality import _gradients, _joined, _layout, _new, fit_network, fit_quality, quality_scores, score
+from ledgerloom.llm.quality import PIECE, _forward, _gradients, _joined, _layout, _new, fit_network, fit_quality, quality_scores, score
 from ledgerloom.llm.sampling import fold
 from ledgerloom.llm.secrets import ASSIGN, fit_ratios, secret_digests, secret_spans
 
@@ -127,3 +130,42 @@ def test_many_short_texts_in_one_batch(spark, docs):
     assert sorted((r["k"], r["n"], r["kinds"]) for r in found) == [(0, 6667, 1), (1, 6667, 1), (2, 6666, 1)]
     long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the house "), 500_000).alias("text"))
     assert languages(long, codes).count() == 1 and languages(short.limit(0), codes).count() == 0
+
+
+def test_long_texts_are_scored_in_pieces():
+    """Scores in pieces equal those of a network that sees the text at once, wherever the pieces end."""
+    net, rng = _new(1), np.random.default_rng(2)
+    for n in (PIECE * 128 + 1, PIECE * 256, PIECE * 384 + 77):
+        raw = rng.integers(60, 100, n).astype(np.uint8)
+        logit = float(_forward(net, *_layout(raw, np.array([0, n])))[0][0])
+        assert score(net, raw, np.array([0, n]))[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
+def test_random_strings_and_identifiers(spark, docs):
+    """Recall on random strings of five alphabets, and identifiers and paths made of the words of documents left alone."""
+    ratios, rng = fit_ratios(docs), random.Random(1)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + string.digits, "0123456789abcdef"]
+    drawn = [(k, f"see {''.join(rng.choices(a, k=n))} here") for k, a in enumerate(alphabets) for n in (16, 20, 32) for _ in range(100)]
+    words = sorted({w for r in docs.select("text").limit(300).collect() for w in re.findall(r"[a-z]{4,9}", r["text"] or "")})
+    named = [(-1, sep.join(w.capitalize() if sep == "" else w for w in rng.sample(words, 4))) for sep in ("_", "/", "", "-") for _ in range(100)]
+    rows = secret_spans(spark.createDataFrame(drawn + named, "doc_id long, text string"), ratios)
+    hits = {r["doc_id"]: r["hit"] for r in rows.groupBy("doc_id").agg(F.avg((F.size("spans") > 0).cast("double")).alias("hit")).collect()}
+    assert all(hits[k] >= 0.97 for k in range(5)) and hits[-1] <= 0.02, hits
+
+
+def test_secrets_beside_base_spans_and_in_long_texts(spark, docs):
+    """Runs that touch a base span add nothing, bytes like the filling neither; 32,000 matches take no more than linear time."""
+    ratios = fit_ratios(docs)
+    key = "x9Kq2LmZ7vB4tRpW8sYd"
+    texts = [f"token={key}", f"{key}token=abcdefg", f"token={key}.{key}", f"a {key} token=abcdefg {key}", f"\0{key}\0", f"AKIA{'A1' * 9} {key}", f"{'0a' * 12}{key}", f"token=abc {key}"]
+    rows = secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).orderBy("doc_id").collect()
+    assert [sum(s["kind"] == "markov" for s in r["spans"]) for r in rows] == [0, 0, 0, 2, 1, 1, 0, 1]
+    assert all(texts[r["doc_id"]][s["start"] : s["end"]] == s["match"] for r in rows for s in r["spans"])
+    took = []
+    for n in (2_000, 8_000, 32_000):
+        long = spark.range(1).select("id", F.repeat(F.lit(f"token=abcdefgh {key} "), n).alias("text")).withColumnRenamed("id", "doc_id")
+        start = time.time()
+        assert secret_spans(long, ratios).select(F.size("spans")).first()[0] == 2 * n
+        took.append(time.time() - start)
+    assert took[2] < 8 * took[1] + 2, took
+    assert secret_spans(docs.limit(0), ratios).count() == 0
