@@ -58,7 +58,7 @@ def _rewritten(table: str, df: DataFrame, kinds: Mapping[str, str], limits: Mapp
     """(rows with their changes, counts) of one table. Values, free text, changes and counts come out of one scan; the counts are observed while it is written."""
     values = {c: k for c, k in kinds.items() if k in privacy.VALUE_TYPES}
     texts = [c for c, k in kinds.items() if k == "FREE_TEXT"]
-    out = names.on(df).withColumn("__cells", privacy._replaced(df, values, names)).drop(COLUMN)
+    out = names.on(df, privacy.value_words(values)).withColumn("__cells", privacy._replaced(df, values, names)).drop(COLUMN)
     new = {c: T.cap_length(F.get("__cells", F.lit(at))["fake"], F.lit(limits.get(c))) for at, c in enumerate(values)}
     out = out.withColumns({**new, "__changes": F.filter("__cells", lambda x: x["original"] != x["fake"])}).drop("__cells")
     spans = F.lit(0)

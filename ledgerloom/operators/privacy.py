@@ -55,7 +55,7 @@ def column_profile(sample: DataFrame, names: Names = KNOWN) -> DataFrame:
     """Shares of each column's non-blank values that look like files, numbers, identity numbers, postcodes, mail, names; and lengths."""
     v = F.col("value")
     looks = names.bound(lambda kind: F.struct(T.name_shape(v, _known(kind)).alias("shaped"), T.known_name(v, _known(kind)).alias("known")))
-    sample = names.on(sample.select("table_key", "col_name", "value")).select("table_key", "col_name", "value", looks.alias("looks"))
+    sample = names.on(sample.select("table_key", "col_name", "value"), T.name_words(v)).select("table_key", "col_name", "value", looks.alias("looks"))
     share = lambda p, name: F.round(F.avg(p.cast("int")), 6).alias(name)
     return sample.where(F.trim("value") != "").groupBy("table_key", "col_name").agg(
         F.count("*").alias("n"), share(T.looks_like_file(v), "files"), share(F.trim("value").rlike("^[0-9]+$"), "numbers"), share(F.length(T.digits(v)) == 11, "eleven"),
@@ -114,6 +114,12 @@ def stand_in(kind: str, v: Column, names: Names = KNOWN) -> Column:
     return F.when(may_replace(kind, v, names), fake).otherwise(v)
 
 
+def value_words(types: Mapping[str, str]) -> Column:
+    """What a dictionary is asked about the columns of types (column: type) that are rewritten."""
+    columns = [F.coalesce(T.name_words(F.col(c)), F.array().cast("array<string>")) for c, k in types.items() if k in VALUE_TYPES]
+    return F.concat(*columns) if columns else F.array().cast("array<string>")
+
+
 def _replaced(df: DataFrame, types: Mapping[str, str], names: Names) -> Column:
     """array of (col_name, type, original, fake), one for each column of types (column: type) that is rewritten: all columns in one expression, so that the table is read once."""
     kinds = {c: k for c, k in types.items() if k in VALUE_TYPES}
@@ -129,14 +135,14 @@ def pseudonymize(df: DataFrame, types: Mapping[str, str], max_len: Mapping[str,
     """df with the columns of types (column: type) replaced, each by an expression without state, cut to its declared length."""
     limits = max_len or {}
     columns = [c for c, k in types.items() if k in VALUE_TYPES]
-    out = names.on(df).withColumn("__cells", _replaced(df, types, names)).drop(COLUMN)
+    out = names.on(df, value_words(types)).withColumn("__cells", _replaced(df, types, names)).drop(COLUMN)
     new = {c: T.cap_length(F.get("__cells", F.lit(at))["fake"], F.lit(limits.get(c))) for at, c in enumerate(columns)}
     return out.withColumns(new).drop("__cells")
 
 
 def changed_cells(df: DataFrame, types: Mapping[str, str], names: Names = KNOWN) -> DataFrame:
     """df with its changes: an array of (col_name, type, original, fake), one for each cell whose value a replacement changes."""
-    return names.on(df).withColumn("changes", F.filter(_replaced(df, types, names), lambda c: c["original"] != c["fake"])).drop(COLUMN)
+    return names.on(df, value_words(types)).withColumn("changes", F.filter(_replaced(df, types, names), lambda c: c["original"] != c["fake"])).drop(COLUMN)
 
 
 def mapping_ledger(df: DataFrame, types: Mapping[str, str], names: Names = KNOWN) -> DataFrame:
@@ -160,7 +166,7 @@ def preview(df: DataFrame, types: Mapping[str, str], k: int = 5, width: int = 80
     first = cells.withColumn("at", F.row_number().over(W.partitionBy("col_name").orderBy("row_pos"))).where(F.col("at") <= k)
     kind = F.create_map(*[x for c, t in types.items() for x in (F.lit(c), F.lit(t))])
     after = names.bound(lambda of: F.coalesce(*[F.when(F.element_at(kind, F.col("col_name")) == t, stand_in(t, F.col("before"), Names(of))) for t in dict.fromkeys(types.values()) if t in VALUE_TYPES], F.col("before")))
-    out = names.on(first).select("col_name", "row_pos", F.substring("before", 1, width).alias("before"), F.substring(after, 1, width).alias("after"))
+    out = names.on(first, T.name_words(F.col("before"))).select("col_name", "row_pos", F.substring("before", 1, width).alias("before"), F.substring(after, 1, width).alias("after"))
     return out
 
 
@@ -211,7 +217,8 @@ def spans_of(text: Column, pattern: str) -> Column:
         offsets = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
         return F.flatten(F.zip_with(blocks, F.slice(offsets, F.lit(1), F.size(blocks)), lambda b, at: F.transform(b["found"], lambda s: span(s["start"] + at, s["end"] + at, s["text"]))))
 
-    gaps = F.split(text, pattern, -1)  # one more than there are matches
+    # one more than there are matches; split compiles its pattern for every row, but for a single character
+    gaps = F.when(text.contains("\x00"), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, "\x00"), "\x00", -1))
     pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda hit, gap: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     return F.when(text.rlike(pattern), T.let(pieces, placed)).otherwise(none)
 
@@ -296,6 +303,11 @@ def pii_spans(text: Column) -> Column:
     return _by_rank(_ids(text), _typed(spans_of(text, T.EMAIL), "EMAIL"), _typed(spans_of(text, T.POSTAL), "POSTNR"), _numbers(text, phones, "PHONE", T.phone_valid))
 
 
+def text_words(text: Column) -> Column:
+    """What a dictionary is asked about a text: its words, in small letters."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+
+
 def name_spans(text: Column, known: Names = KNOWN) -> Column:
     """Spans (start, end, type, text) of names: FULL_NAME of several words, FIRST_NAME of one that is no common word.
 
@@ -358,7 +370,7 @@ def redact_text(df: DataFrame, column: str, known: Names = KNOWN) -> DataFrame:
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     between = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), fake(s)))
     whole = F.concat(F.array_join(between, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
-    out = known.on(df).withColumn("__spans", text_spans(text, known)).drop(COLUMN)
+    out = known.on(df, text_words(text)).withColumn("__spans", text_spans(text, known)).drop(COLUMN)
     return out.withColumns({column: F.when(F.size(spans) > 0, whole).otherwise(text), "n_redacted": F.coalesce(F.size(spans), F.lit(0))}).drop("__spans")
 
 

@@ -202,8 +202,8 @@ def _signed(i: Inputs) -> DataFrame:
 UNION ALL SELECT o_orderkey, CAST(pos + length(f) + length(l) + 11 AS INTEGER), CAST(pos + 2 * length(f) + length(l) + 11 AS INTEGER), 'FIRST_NAME', lower(f) FROM lt WHERE o_orderkey % 3 <> 0
 UNION ALL SELECT o_orderkey, CAST(pos + 2 * length(f) + length(l) + 16 AS INTEGER), CAST(pos + 3 * length(f) + length(l) + 16 AS INTEGER), 'FIRST_NAME', f FROM lt WHERE o_orderkey % 3 <> 0""")
 def name_spans_large(i: Inputs) -> DataFrame:
-    names = Names.table(_large_names(i))
-    found = names.on(_signed(i)).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
+    names = Names.joined(_large_names(i))
+    found = names.on(_signed(i), P.text_words(F.col("text"))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
     return _each(found)
 
 
@@ -215,7 +215,7 @@ def name_spans_turned(i: Inputs) -> DataFrame:
     """A last name that the dictionary does not know, a comma, and a first name that it knows two times out of three."""
     names, letters = Names.table(_large_names(i)), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
     text = F.concat(F.lit("Sent by Qv"), letters("o_custkey"), F.lit(", Fo"), letters("o_orderkey"), F.lit(" today"))
-    found = names.on(_spread(i.orders.select("o_orderkey", text.alias("text")))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
+    found = names.on(_spread(i.orders.select("o_orderkey", text.alias("text"))), P.text_words(F.col("text"))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
     return _each(found)
 
 

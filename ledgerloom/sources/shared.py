@@ -31,3 +31,13 @@ def write_shared(df: DataFrame) -> str:
 def materialized(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, with a short plan, safe from lost executors."""
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df))
+
+
+def parallel(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few splits dealt out to all cores: what is done with each takes longer than moving it."""
+    return df.repartition(parallel(df.sparkSession))
