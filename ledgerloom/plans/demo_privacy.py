@@ -213,7 +213,7 @@ _TURNED = f"""{_LARGE}, tu AS (SELECT o_orderkey, f, concat('Qv', substr(l, 3))
 @demo(f"""WITH {_TURNED} SELECT o_orderkey, 8 AS start, CAST(10 + length(q) + length(f) AS INTEGER) AS "end", 'FULL_NAME' AS type, concat(q, ', ', f) AS text FROM tu WHERE o_orderkey % 3 <> 0""")
 def name_spans_turned(i: Inputs) -> DataFrame:
     """A last name that the dictionary does not know, a comma, and a first name that it knows two times out of three."""
-    names, letters = Names.table(_large_names(i)), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
+    names, letters = Names.joined(_large_names(i)), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
     text = F.concat(F.lit("Sent by Qv"), letters("o_custkey"), F.lit(", Fo"), letters("o_orderkey"), F.lit(" today"))
     found = names.on(_spread(i.orders.select("o_orderkey", text.alias("text"))), P.text_words(F.col("text"))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
     return _each(found)
