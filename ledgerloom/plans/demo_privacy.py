@@ -222,7 +222,7 @@ def name_spans_turned(i: Inputs) -> DataFrame:
 @demo(f"""WITH {_LARGE} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN text ELSE concat('Order ', o_orderkey, ' is signed by ', {full_sql("concat(f, ' ', l)")}, ', copy to ', lower({pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}), ' (æ) ', {pick_sql(T.FIRST_NAMES, 'lower(f)', 'first')}, '.') END AS text,
 CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 3 END AS n_redacted FROM lt""")
 def redact_text_large(i: Inputs) -> DataFrame:
-    return P.redact_text(_signed(i), "text", Names.table(_large_names(i)))
+    return P.redact_text(_signed(i), "text", Names.joined(_large_names(i)))
 
 
 @demo(f"""WITH {_LARGE}, w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zæøå]+')) AS token FROM lt), d AS (SELECT lower(f) AS token, 'first' AS kind FROM ln WHERE o_orderkey % 3 <> 0 UNION ALL SELECT concat('la', {_LETTERS.format('c_custkey')}), 'last' FROM customer)

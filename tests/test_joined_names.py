@@ -35,7 +35,7 @@ def test_joined_as_listed(spark, monkeypatch, common):
         joined.on(texts)
 
 
-@pytest.mark.parametrize("query", ["name_spans_large", "name_spans_turned"])
+@pytest.mark.parametrize("query", ["name_spans_large", "name_spans_turned", "redact_text_large"])
 def test_queries_take_dictionaries_of_any_size(spark, monkeypatch, query):
     """With a dictionary that is refused if it goes to every executor."""
     table = Names.table.__func__
