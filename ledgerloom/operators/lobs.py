@@ -276,13 +276,31 @@ def extract_inline(cells: DataFrame) -> DataFrame:
 
 
 def base64_payload(c: Column) -> Column:
-    """Bytes of a text that is base-64 in either alphabet, 48 characters or more with padding repaired; null otherwise."""
+    """Bytes of a text that is base-64 in either alphabet, 48 characters or more with padding repaired; null otherwise.
+
+    Lines are equally long, of four characters or a multiple and 16 at least; the last may be shorter, and blanks stand only around them.
+    """
+    return F.when(_in_lines(c), _loose_base64(c))
+
+
+def _loose_base64(c: Column) -> Column:
+    """base64_payload of a text with blanks anywhere, as they stand in prose without punctuation, too."""
     plain = F.translate(F.regexp_replace(c, r"\s+", ""), "-_", "+/")
     bare = F.regexp_replace(plain, "=+$", "")
     padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "=")
     return F.when((F.length(plain) >= 48) & bare.rlike("^[A-Za-z0-9+/]+$") & (F.length(bare) % 4 != 1), F.try_to_binary(padded, F.lit("base64")))
 
 
+def _in_lines(c: Column) -> Column:
+    """Whether a text is one line, or lines of one length with a last one that may be shorter, blanks around them aside."""
+
+    def even(lines: Column) -> Column:
+        long = F.length(F.get(lines, F.lit(0)))
+        return (long >= 16) & (long % 4 == 0) & F.forall(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: F.length(x) == long) & (F.length(F.element_at(lines, -1)) <= long)
+
+    return ~c.rlike(r"\S\s+\S") | ~c.rlike(r"\S[^\S\r\n]+\S") & let(F.filter(F.split(c, r"\s+"), lambda x: x != ""), even)
+
+
 def _member_streams(data: bytes) -> tuple[str, Iterator[tuple[str, BinaryIO]]]:
     """Container kind by leading bytes, and its members as streams; a bz2 stream with a 4-byte length before it counts, too."""
 
@@ -324,7 +342,7 @@ def _members(data: bytes | None, use: Callable[[str, BinaryIO], T], most: int |
 def recover_payload(inv: DataFrame, largest: int = 1 << 30) -> DataFrame:
     """path, route, content: containers of one member unpacked, text decoded from hex or base-64, binary content saved as text respelled, others as they are.
 
-    Text is decoded up to LARGEST bytes. A container that is damaged has the route broken, one with a password encrypted, one whose
+    Text is decoded up to LARGEST bytes; base-64 with blanks within its lines only if what comes out has a known format. A container that is damaged has the route broken, one with a password encrypted, one whose
     member exceeds largest bytes oversize: a guard against bombs, such a payload stays packed. Null content stays null.
     """
 
@@ -354,11 +372,13 @@ def recover_payload(inv: DataFrame, largest: int = 1 << 30) -> DataFrame:
 
     out = inv.select("path", "content").mapInPandas(run, "path string, route string, content binary")
     text = F.when(F.length("content") <= LARGEST, F.try_validate_utf8(F.col("content").cast("string")))
-    decoded = out.withColumn("b64", base64_payload(text)).withColumn("hexed", F.when(is_hex(F.trim(text)) & (F.length(text) >= 8), F.try_to_binary(F.trim(text), F.lit("hex"))))
+    formed = lambda b: F.when(~format_of(b)["ext"].isin("txt", "bin"), b)
+    loose = F.col("loose")
+    decoded = out.withColumn("loose", _loose_base64(text)).withColumn("b64", F.when(loose.isNotNull(), F.when(_in_lines(text), loose).otherwise(formed(loose)))).withColumn("hexed", F.when(is_hex(F.trim(text)) & (F.length(text) >= 8), F.try_to_binary(F.trim(text), F.lit("hex"))))
     raw = F.col("route") == "as_is"
     # plain text in another script has such bytes as well; only what then has a known format was binary
     odd = F.regexp_count(F.decode(F.substring("content", 1, 512), "ISO-8859-1"), F.lit(r"[\x80-\xFF]")) >= 10
-    known = let(respelled(text), lambda b: F.when(~format_of(b)["ext"].isin("txt", "bin"), b))
+    known = let(respelled(text), formed)
     decoded = decoded.withColumn("spelled", F.when(raw & odd & F.col("hexed").isNull() & F.col("b64").isNull(), known))
     route = F.when(raw & F.col("hexed").isNotNull(), "hex").when(raw & F.col("b64").isNotNull(), "base64").when(F.col("spelled").isNotNull(), "respelled").otherwise(F.col("route"))
     return decoded.select("path", route.alias("route"), F.when(raw, F.coalesce("hexed", "b64", "spelled", "content")).otherwise(F.col("content")).alias("content"))
