@@ -63,9 +63,9 @@ def percent(part: Column, whole: Column, decimals: int = 1, point: str = ",") ->
     return F.concat(F.replace(F.format_string(f"%.{decimals}f", F.bround(share, decimals)), F.lit("."), F.lit(point)), F.lit(" %"))
 
 
-def human_size(n: Column) -> Column:
-    """A size in the largest unit of 1,024 that it fills; whole bytes, else one decimal, halves to the even one; null is a dash."""
+def human_size(n: Column, units: Sequence[str] = ("KB", "MB", "GB", "TB", "PB")) -> Column:
+    """A size in the largest unit of 1,024 that it fills, or the last of units; whole bytes, else one decimal, halves to the even one; null is a dash."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
+    for k, unit in enumerate(units, 1):
         out = F.when(F.abs(n) >= float(1024**k), F.concat(F.format_string("%.1f", F.bround((n / float(1024**k)).cast("double"), 1)), F.lit(f" {unit}"))).otherwise(out)
     return F.coalesce(out, F.lit("–"))
