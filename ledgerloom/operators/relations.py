@@ -28,28 +28,33 @@ def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos", kee
     Rows are dealt out by range and sorted within partitions; a partition's offset is the count of the rows before it,
     so no task ever holds more than its range. Equal rows get neighbouring places. Only the columns asked for are written.
     """
-    cols = [F.col(c).asc_nulls_first() for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).select(*(keep or df.columns))
-    placed = placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = materialized(placed)  # range bounds are sampled: a second run could draw others
+    placed = _placed(df, order, keep)
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("__part", before.alias("__before"))
     return placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
-def preview(rows: DataFrame, order: Iterable[str], n: int = 10) -> DataFrame:
-    """The first n rows in order, all columns as trimmed text; no table is sorted as a whole."""
-    return rows.orderBy(*order).limit(n).select(*[F.trim(rows[c].cast("string")).alias(c) for c in rows.columns])
+def _placed(df: DataFrame, order: Iterable[str], keep: Iterable[str] | None = None) -> DataFrame:
+    """df, or its columns keep, dealt out by range and written, with each row's range and its 0-based place there."""
+    cols = [F.col(c).asc_nulls_first() for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).select(*(keep or df.columns))
+    placed = placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return materialized(placed)  # range bounds are sampled: a second run could draw others
 
 
 def numbered(df: DataFrame, group: str, order: Iterable[str], name: str = "at") -> DataFrame:
-    """df with the 1-based place of each row within its group, in the given order; a large group is spread over many tasks."""
-    placed = with_row_pos(df, [group, *order], "__place")
-    first = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__place").alias("__first"))
-    joined = placed.join(first, F.col(group).eqNullSafe(F.col("__group")))
-    return joined.withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__group", "__first")
+    """df with the 1-based place of each row within its group, in the given order.
+
+    A large group is spread over many tasks, and stays so: rows meet the number of their group's rows in earlier ranges by group and range.
+    """
+    placed = _placed(df, [group, *order])
+    counts = placed.groupBy(F.col("__part").alias("__range"), F.col(group).alias("__group")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__group").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__range", "__group", (before - F.col("__first")).alias("__before"))
+    joined = placed.join(counts, (F.col("__part") == F.col("__range")) & F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(name, F.col("__at") + F.col("__before") + 1).drop("__part", "__at", "__range", "__group", "__before")
 
 
 def spread_positions(df: DataFrame, n: int, threshold: int) -> DataFrame:

@@ -99,11 +99,10 @@ def read_rows(spark: SparkSession, path: str, columns: int, lobs: set[int] = fro
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_extract("value", r"(?s)<row>(.*)$", 1).alias("body"), F.col("value").contains("<row>").alias("is_row")).where("is_row")
     parsed = raw.withColumn("r", F.from_xml(F.concat(F.lit("<row>"), "body", F.lit("</row>")), schema, {"nullValue": _NO_NULL, "attributePrefix": "_"}))
     key = F.regexp_extract("file", r"content/(.+?)/[^/]+\.xml$", 1)
-    from ..operators.relations import with_row_pos
+    from ..operators.relations import numbered
 
-    placed = with_row_pos(parsed.select(key.alias("table_key"), "file", "start", "at", "r"), ["table_key", "file", "start", "at"], "place")
-    first = placed.groupBy("table_key").agg(F.min("place").alias("first"))
-    return placed.join(first, "table_key").select("table_key", (F.col("place") - F.col("first")).alias("row_pos"), "r.*")
+    placed = numbered(parsed.select(key.alias("table_key"), "file", "start", "at", "r"), "table_key", ["file", "start", "at"], "at_")
+    return placed.select("table_key", (F.col("at_") - 1).alias("row_pos"), "r.*")
 
 
 def row_faults(spark: SparkSession, path: str) -> DataFrame:
