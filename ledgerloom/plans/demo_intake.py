@@ -75,8 +75,9 @@ def ledger_file(i: Inputs) -> DataFrame:
 def failed_from_files(i: Inputs) -> DataFrame:
     """Error log and ledger as files, written in the order of their lines and read again."""
     log, ledger = _folder(i, "log"), _folder(i, "ledger")
-    i.d_errlog.repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("line").write.text(log)
-    writers.write_ledger(i.d_ledger.repartitionByRange(3, "line_no").sortWithinPartitions("line_no").drop("line_no"), ledger)
+    n = parallel(i.spark)
+    i.d_errlog.repartitionByRange(n, "line_no").sortWithinPartitions("line_no").select("line").write.text(log)
+    writers.write_ledger(i.d_ledger.repartitionByRange(n, "line_no").sortWithinPartitions("line_no").drop("line_no"), ledger)
     return LG.failed_files(readers.read_errors(i.spark, log), readers.read_ledger(i.spark, ledger))
 
 
