@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.names import Names
 from ..operators import privacy as P, relations as R
 from ..operators.anonymizing import Anonymized, Subset, anonymize_archive
+from ..sources.shared import spread
 from .demo_relations import _KIDS, _p, _s
 from .fixtures import Inputs
 from .registry import demo
@@ -71,6 +72,11 @@ PROFILE = TAIL + f""", pr AS (SELECT table_key, col_name, count(*) AS n, {_SHARE
 {_SHARE.format(f"len(list_filter({_WORDS}, lambda w: lower(w) IN ({_KNOWN}))) > 0")} AS known, round(avg(length(value)), 6) AS avg_len, CAST(max(length(value)) AS INTEGER) AS max_len FROM tl GROUP BY table_key, col_name)"""
 
 
+def _people(i: Inputs) -> DataFrame:
+    """People come in few splits."""
+    return spread(i.d_people)
+
+
 def _cells(i: Inputs) -> DataFrame:
     people = i.d_people.withColumn("row_pos", F.col("person_id") - 1).withColumn("table_key", F.lit("people"))
     return people.select("table_key", "row_pos", *TEXTS).unpivot(["table_key", "row_pos"], TEXTS, "col_name", "value")
@@ -116,13 +122,13 @@ def classify_columns(i: Inputs) -> DataFrame:
 @demo(f"SELECT person_id, {full_sql('full_name')} AS full_name, {last_sql('last_name')} AS last_name, {mail_sql('email')} AS email, '9999' AS postcode FROM d_people")
 def pseudonymize_names(i: Inputs) -> DataFrame:
     types = {k: v for k, v in TYPES.items() if k != "id_number"}
-    return P.pseudonymize(i.d_people, types, {"full_name": 60}).select("person_id", "full_name", "last_name", "email", "postcode")
+    return P.pseudonymize(_people(i), types, {"full_name": 60}).select("person_id", "full_name", "last_name", "email", "postcode")
 
 
 @demo(f"""WITH m AS (SELECT 'FULL_NAME' AS type, full_name AS original, {full_sql('full_name')} AS fake FROM d_people UNION ALL SELECT 'LAST_NAME', last_name, {last_sql('last_name')} FROM d_people UNION ALL SELECT 'EMAIL', email, {mail_sql('email')} FROM d_people)
 SELECT type, original, fake, count(*) AS cells FROM m WHERE original <> fake GROUP BY ALL""")
 def mapping_ledger(i: Inputs) -> DataFrame:
-    return P.mapping_ledger(i.d_people, {"full_name": "FULL_NAME", "last_name": "LAST_NAME", "email": "EMAIL"})
+    return P.mapping_ledger(_people(i), {"full_name": "FULL_NAME", "last_name": "LAST_NAME", "email": "EMAIL"})
 
 
 @demo("SELECT 'FULL_NAME' AS type, count(DISTINCT lower(full_name)) AS originals, CAST(0 AS BIGINT) AS inconsistent FROM d_people UNION ALL SELECT 'LAST_NAME', count(DISTINCT lower(last_name)), CAST(0 AS BIGINT) FROM d_people UNION ALL SELECT 'EMAIL', count(DISTINCT lower(email)), CAST(0 AS BIGINT) FROM d_people")
@@ -149,7 +155,7 @@ def redact_email_counts(i: Inputs) -> DataFrame:
     """Addresses in the notes, and how many of them stand in the redacted ones."""
     mails = F.regexp_extract_all("note", F.lit(T.EMAIL), F.lit(0))
     before = i.d_people.select("person_id", mails.alias("before"))
-    both = P.redact_text(i.d_people.select("person_id", "note"), "note").select("person_id", mails.alias("after")).join(before, "person_id")
+    both = P.redact_text(_people(i).select("person_id", "note"), "note").select("person_id", mails.alias("after")).join(before, "person_id")
     return both.agg(F.count("*").alias("texts"), F.sum(F.size("before")).cast("long").alias("mails"), F.sum(F.size(F.array_intersect("before", "after"))).cast("long").alias("left_over"))
 
 
@@ -165,7 +171,7 @@ def pii_spans(i: Inputs) -> DataFrame:
 
 @demo(f"WITH {NOTES} SELECT person_id, at_name AS start, at_name + n_name AS \"end\", 'FULL_NAME' AS type, full_name AS text FROM np UNION ALL SELECT person_id, at_email, CAST(at_email + length(f) AS INTEGER), 'FIRST_NAME', lower(f) FROM np WHERE lower(f) NOT IN ({', '.join(repr(w) for w in P.AMBIGUOUS_FIRST)})")
 def name_spans(i: Inputs) -> DataFrame:
-    return i.d_people.select("person_id", F.explode(P.name_spans(F.col("note"))).alias("s")).select("person_id", "s.*")
+    return _each(_people(i).select("person_id", P.name_spans(F.col("note")).alias("found")), "person_id")
 
 
 #: A dictionary made of the tables: a first name for each order, for each line and for each part; a last name for each customer and order. Every third first name is not in it.
@@ -182,20 +188,15 @@ def _large_names(i: Inputs) -> DataFrame:
     return first.unionByName(token(i.customer, "la", F.col("c_custkey"), "last")).unionByName(token(i.orders, "or", k, "last"))
 
 
-def _spread(texts: DataFrame) -> DataFrame:
-    """Texts of few files dealt out to all cores: what is done with each takes longer than moving it."""
-    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism)
-
-
-def _each(found: DataFrame) -> DataFrame:
+def _each(found: DataFrame, key: str = "o_orderkey") -> DataFrame:
     """One row for each span; outer, since else the optimizer works out the spans once more to see whether there are any."""
-    return found.select("o_orderkey", F.explode_outer("found").alias("s")).where("s is not null").select("o_orderkey", "s.*")
+    return found.select(key, F.explode_outer("found").alias("s")).where("s is not null").select(key, "s.*")
 
 
 def _signed(i: Inputs) -> DataFrame:
     k, letters = F.col("o_orderkey"), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
     f, last = F.concat(F.lit("Fo"), letters("o_orderkey")), F.concat(F.lit("La"), letters("o_custkey"))
-    return _spread(i.orders).select("o_orderkey", F.concat(F.lit("Order "), k, F.lit(" is signed by "), f, F.lit(" "), last, F.lit(", copy to "), F.lower(f), F.lit(" (æ) "), f, F.lit(".")).alias("text"))
+    return spread(i.orders).select("o_orderkey", F.concat(F.lit("Order "), k, F.lit(" is signed by "), f, F.lit(" "), last, F.lit(", copy to "), F.lower(f), F.lit(" (æ) "), f, F.lit(".")).alias("text"))
 
 
 @demo(f"""WITH {_LARGE} SELECT o_orderkey, pos AS start, CAST(pos + length(f) + length(l) + 1 AS INTEGER) AS "end", 'FULL_NAME' AS type, concat(f, ' ', l) AS text FROM lt WHERE o_orderkey % 3 <> 0
@@ -215,7 +216,7 @@ def name_spans_turned(i: Inputs) -> DataFrame:
     """A last name that the dictionary does not know, a comma, and a first name that it knows two times out of three."""
     names, letters = Names.joined(_large_names(i)), lambda c: F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij")
     text = F.concat(F.lit("Sent by Qv"), letters("o_custkey"), F.lit(", Fo"), letters("o_orderkey"), F.lit(" today"))
-    found = names.on(_spread(i.orders.select("o_orderkey", text.alias("text"))), P.text_words(F.col("text"))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
+    found = names.on(spread(i.orders.select("o_orderkey", text.alias("text"))), P.text_words(F.col("text"))).select("o_orderkey", P.name_spans(F.col("text"), names).alias("found"))
     return _each(found)
 
 
