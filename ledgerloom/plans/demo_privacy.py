@@ -238,7 +238,7 @@ _NOTE = f"concat('Case ', person_id, ': contact ', {full_sql('full_name')}, ' at
 @demo(f"SELECT person_id, {_NOTE} AS note, {id_sql('id_number')} AS id_valid, 2 + CAST({id_sql('id_number')} AS INTEGER) AS n_redacted FROM d_people")
 def redact_text(i: Inputs) -> DataFrame:
     """Notes; of the number that stands in for another only that it is valid."""
-    out = P.redact_text(i.d_people.select("person_id", "note"), "note")
+    out = P.redact_text(_people(i).select("person_id", "note"), "note")
     return out.select("person_id", F.regexp_replace("note", "[0-9]{11}", "N").alias("note"), T.id_number_valid(F.regexp_extract("note", "[0-9]{11}", 0)).alias("id_valid"), "n_redacted")
 
 
