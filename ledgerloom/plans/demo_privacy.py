@@ -166,7 +166,7 @@ np AS (SELECT *, at_name + n_name + 4 AS at_email, at_name + n_name + 4 + n_emai
 
 @demo(f"WITH {NOTES} SELECT person_id, at_email AS start, at_email + n_email AS \"end\", 'EMAIL' AS type, email AS text FROM np UNION ALL SELECT person_id, at_id, at_id + 11, 'FNR', id_number FROM np WHERE valid")
 def pii_spans(i: Inputs) -> DataFrame:
-    return i.d_people.select("person_id", F.explode(P.pii_spans(F.col("note"))).alias("s")).select("person_id", "s.*")
+    return _each(_people(i).select("person_id", P.pii_spans(F.col("note")).alias("found")), "person_id")
 
 
 @demo(f"WITH {NOTES} SELECT person_id, at_name AS start, at_name + n_name AS \"end\", 'FULL_NAME' AS type, full_name AS text FROM np UNION ALL SELECT person_id, at_email, CAST(at_email + length(f) AS INTEGER), 'FIRST_NAME', lower(f) FROM np WHERE lower(f) NOT IN ({', '.join(repr(w) for w in P.AMBIGUOUS_FIRST)})")
