@@ -133,7 +133,7 @@ def mapping_ledger(i: Inputs) -> DataFrame:
 
 @demo("SELECT 'FULL_NAME' AS type, count(DISTINCT lower(full_name)) AS originals, CAST(0 AS BIGINT) AS inconsistent FROM d_people UNION ALL SELECT 'LAST_NAME', count(DISTINCT lower(last_name)), CAST(0 AS BIGINT) FROM d_people UNION ALL SELECT 'EMAIL', count(DISTINCT lower(email)), CAST(0 AS BIGINT) FROM d_people")
 def mapping_consistency(i: Inputs) -> DataFrame:
-    return P.mapping_consistency(P.mapping_ledger(i.d_people, {"full_name": "FULL_NAME", "last_name": "LAST_NAME", "email": "EMAIL"}))
+    return P.mapping_consistency(P.mapping_ledger(_people(i), {"full_name": "FULL_NAME", "last_name": "LAST_NAME", "email": "EMAIL"}))
 
 
 @demo(f"SELECT 'last_name' AS col_name, person_id - 1 AS row_pos, last_name AS before, {last_sql('last_name')} AS after FROM d_people WHERE person_id < 5 UNION ALL SELECT 'email', person_id - 1, email, {mail_sql('email')} FROM d_people WHERE person_id < 5")
