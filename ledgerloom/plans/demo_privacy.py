@@ -244,7 +244,7 @@ def redact_text(i: Inputs) -> DataFrame:
 
 @demo(f"SELECT person_id, {full_sql('full_name')} AS full_name, {last_sql('last_name')} AS last_name, {mail_sql('email')} AS email, '9999' AS postcode, phone, true AS id_valid, true AS id_changed, {_NOTE} AS note FROM d_people")
 def anonymize_end_to_end(i: Inputs) -> DataFrame:
-    people = i.d_people.withColumn("row_pos", F.col("person_id") - 1)
+    people = _people(i).withColumn("row_pos", F.col("person_id") - 1)
     out = P.anonymize(people, "people", {"full_name": 100})[0].join(i.d_people.select("person_id", F.col("id_number").alias("before")), "person_id")
     return out.select("person_id", "full_name", "last_name", "email", "postcode", "phone", T.id_number_valid(F.col("id_number")).alias("id_valid"), (F.col("id_number") != F.col("before")).alias("id_changed"), F.regexp_replace("note", "[0-9]{11}", "N").alias("note"))
 
