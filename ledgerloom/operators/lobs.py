@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.decoding import spelled_text
 from ..functions.text import decoded, let, respelled
+from ..sources.shared import materialized
 from .relations import numbered
 
 T = TypeVar("T")
@@ -270,9 +271,9 @@ def extract_inline(cells: DataFrame) -> DataFrame:
         .otherwise(F.encode("value", "UTF-8"))
     )
     rows = cells.where("value is not null and value != ''").withColumn("step", step).withColumn("content", content)
-    rows = rows.withColumn("f", format_of(F.col("content")))
-    rows = numbered(rows, "table_key", ["row_pos"])
-    return rows.select("table_key", "row_pos", "step", F.concat(F.lit("rec"), "at", F.lit("."), "f.ext").alias("name"), F.length("content").cast("long").alias("length"), F.col("f.ext").alias("ext"))
+    found = rows.select("table_key", "row_pos", "step", F.length("content").cast("long").alias("length"), format_of(F.col("content"))["ext"].alias("ext"))
+    rows = numbered(materialized(found), "table_key", ["row_pos"])  # written first: dealing out by range reads its rows twice
+    return rows.select("table_key", "row_pos", "step", F.concat(F.lit("rec"), "at", F.lit("."), "ext").alias("name"), "length", "ext")
 
 
 def base64_payload(c: Column) -> Column:
