@@ -108,18 +108,28 @@ def _rings(tables: Iterable[str], fks: list[ForeignKey]) -> list[list[str]]:
     return rings
 
 
+#: A pass sends at most so many rows of a table to every executor; more meet the keys by a shuffle, so that passes send the driver no more as tables grow.
+FEW_ROWS = 50_000
+
+
+def _met(df: DataFrame, rows: DataFrame, n: int, on: str, how: str) -> DataFrame:
+    """df joined with n rows: sent to every executor if they are few, else sorted and merged, whatever their files' size lets expect."""
+    return df.join(F.broadcast(rows) if n <= FEW_ROWS else rows.hint("merge"), on, how)
+
+
 def _closed_ring(keep: dict[str, DataFrame], edges: Mapping[str, DataFrame], ring: list[str], fks: list[ForeignKey]) -> None:
     """Closes keep over the tables of a ring. Each pass joins the keys with the rows that the last one added, drops what is kept, and writes what is new.
 
     The keys within the ring are written once. A pass reads them, the rows of the last pass and those kept so far, and
     nothing else; its plan stays as it is, since what is kept is one scan over the parts written. The number of
     passes is the longest chain of keys from a kept row to a row not kept before, at most; a table of counts, one
-    for each table, reaches the driver.
+    for each table, reaches the driver, and of rows at most FEW_ROWS for each join.
     """
     spark = keep[ring[0]].sparkSession
     inner = [f for f in fks if f.child in ring and f.parent in ring]
     linked = {f.name: materialized(edges[f.name].select("child_pos", "parent_pos")) for f in inner}
     parts: dict[str, list[str]] = {t: [] for t in ring}
+    total = dict.fromkeys(ring, 0)
 
     def put(t: str, rows: DataFrame) -> DataFrame:
         parts[t].append(write_shared(rows))
@@ -128,19 +138,20 @@ def _closed_ring(keep: dict[str, DataFrame], edges: Mapping[str, DataFrame], rin
     def kept(t: str) -> DataFrame:
         return spark.read.schema(keep[t].schema).parquet(*parts[t])
 
-    new = {t: put(t, keep[t].select("row_pos").distinct()) for t in ring}
-    while True:
+    added = {t: put(t, keep[t].select("row_pos").distinct()) for t in ring}
+    while added:
+        counts = [df.select(F.lit(t).alias("t")) for t, df in added.items()]
+        some = {r["t"]: r["count"] for r in reduce(DataFrame.unionByName, counts).groupBy("t").count().collect()}
+        new = {t: df for t, df in added.items() if t in some}
+        for t in new:
+            total[t] += some[t]
         found = {}
         for f in inner:
             if f.child in new:
-                more = linked[f.name].join(new[f.child].select(F.col("row_pos").alias("child_pos")), "child_pos", "left_semi").select(F.col("parent_pos").alias("row_pos"))
+                start = new[f.child].select(F.col("row_pos").alias("child_pos"))
+                more = _met(linked[f.name], start, some[f.child], "child_pos", "left_semi").select(F.col("parent_pos").alias("row_pos"))
                 found[f.parent] = found[f.parent].unionByName(more) if f.parent in found else more
-        added = {t: put(t, df.distinct().join(kept(t), "row_pos", "left_anti")) for t, df in found.items()}
-        counts = [df.select(F.lit(t).alias("t")) for t, df in added.items()]
-        some = {r["t"] for r in reduce(DataFrame.unionByName, counts).groupBy("t").count().collect()} if counts else set()
-        new = {t: df for t, df in added.items() if t in some}
-        if not new:
-            break
+        added = {t: put(t, _met(df.distinct(), kept(t), total[t], "row_pos", "left_anti")) for t, df in found.items()}
     for t in ring:
         keep[t] = kept(t)
 

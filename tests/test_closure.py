@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import relations as R
 from ledgerloom.plans import registry
 
@@ -55,6 +57,20 @@ def test_passes(spark, monkeypatch):
     assert max(sizes) - min(sizes) < 40 * len(sizes)  # but for the list of paths
 
 
+def test_many_rows_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Passes over more rows than FEW_ROWS join by a shuffle, however small their files are; fewer rows are sent to the executors."""
+    plans, put = [], R.write_shared
+    monkeypatch.setattr(R, "write_shared", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(df))[1])
+    monkeypatch.setattr(R, "FEW_ROWS", 100, raising=False)
+    fk = R.ForeignKey("f", "a", ("p",), "a", ("id",))
+    edges = spark.range(1000).select(F.col("id").alias("child_pos"), F.floor(F.col("id") / 3).alias("parent_pos")).coalesce(1)
+    for seeds, sent in ((400, 0), (1, 2)):
+        plans.clear()
+        keep = R.close_parents({"a": spark.range(999, 999 - seeds, -1).select(F.col("id").alias("row_pos"))}, {"f": edges}, [fk])
+        assert {r[0] for r in keep["a"].collect()} == searched({"a": range(999, 999 - seeds, -1)}, {"f": [(k, k // 3) for k in range(1000)]}, [fk])["a"]
+        assert plans[2].count("BroadcastHashJoin") == sent, plans[2]
+
+
 def test_no_seeds(spark):
     fk = R.ForeignKey("f", "a", ("p",), "a", ("id",))
     none = spark.createDataFrame([], "row_pos long")
