@@ -26,15 +26,23 @@ def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos", kee
     """df, or its columns keep, with the 0-based place of each row in the given order.
 
     Rows are dealt out by range and sorted within partitions; a partition's offset is the count of the rows before it,
-    so no task ever holds more than its range. Equal rows get neighbouring places. Only the columns asked for are written.
+    so no task ever holds more than its range. Equal rows get neighbouring places. Only the columns asked for are written, and
+    only those of the order are sorted that can tell them apart.
     """
-    placed = _placed(df, order, keep)
+    keep = None if keep is None else list(keep)
+    placed = _placed(df, _telling(order, keep), keep)
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("__part", before.alias("__before"))
     return placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
+def _telling(order: Iterable[str], keep: Iterable[str] | None) -> list[str]:
+    """The order up to its last column that is kept, if it names all that are: rows that agree so far are alike, whichever stands first."""
+    order, keep = list(order), set(keep or ())
+    return order[: max(order.index(c) for c in keep) + 1] if keep and keep <= set(order) else order
+
+
 def _placed(df: DataFrame, order: Iterable[str], keep: Iterable[str] | None = None) -> DataFrame:
     """df, or its columns keep, dealt out by range and written, with each row's range and its 0-based place there."""
     cols = [F.col(c).asc_nulls_first() for c in order]
@@ -187,7 +195,7 @@ def referential_subset(rows: Mapping[str, DataFrame], fks: list[ForeignKey], n:
     """
     threshold, cap = n if threshold is None else threshold, n if cap is None else cap
     budget = 50 * n * len(rows) if budget is None else budget
-    seeds = {t: spread_positions(df, n, threshold) if t not in set(excluded) else df.select("row_pos").limit(0) for t, df in rows.items()}
+    seeds = {t: materialized(spread_positions(df, n, threshold)) if t not in set(excluded) else df.select("row_pos").limit(0) for t, df in rows.items()}
     edges = {f.name: fk_edges(rows[f.child], rows[f.parent], f) for f in fks}
     keep, chosen = dict(seeds), []
     for i, t in enumerate(rows):

@@ -58,3 +58,18 @@ def test_inline_content_is_not_dealt_out(spark, monkeypatch):
 @pytest.mark.parametrize("query", ["pii_spans", "name_spans", "redact_text", "pseudonymize_names"])
 def test_people_of_one_split_are_dealt_out(spark, query):
     assert demo_privacy and registry.QUERIES[query](spark, DATA).rdd.getNumPartitions() >= 4
+
+
+def test_only_columns_that_tell_kept_ones_apart_are_sorted(spark, monkeypatch):
+    """Rows of lineitem keep three keys, the first of the order: the rest is neither shuffled nor sorted. A key that is not in the order, or none, leaves it whole."""
+    seen, put = [], R.materialized
+    monkeypatch.setattr(R, "materialized", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), put(df))[1])
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    keys = ["l_suppkey", "l_orderkey", "l_partkey"]
+    rows = R.with_row_pos(lines, lines.columns, keep=iter(keys)).collect()
+    above = seen[0].split("Relation")[0]
+    assert "l_shipdate" not in above and "l_linenumber" not in above
+    expected = sorted((r["l_orderkey"], r["l_partkey"], r["l_suppkey"]) for r in lines.collect())
+    assert [(r["l_orderkey"], r["l_partkey"], r["l_suppkey"]) for r in sorted(rows, key=lambda r: r["row_pos"])] == expected
+    assert [r["row_pos"] for r in sorted(rows, key=lambda r: r["row_pos"])] == list(range(len(expected)))
+    assert R._telling(["a", "b", "c"], ["b"]) == ["a", "b"] and R._telling(["a", "b"], ["d"]) == R._telling(["a", "b"], None) == ["a", "b"]
