@@ -13,10 +13,13 @@ from .shared import materialized
 _KEY = "struct<name:string,column:array<string>>"
 _FOREIGN = "struct<name:string,referencedSchema:string,referencedTable:string,reference:array<struct<column:string,referenced:string>>>"
 _COLUMN = "struct<name:string,lobFolder:string,type:string,typeOriginal:string,nullable:boolean,mimeType:string,description:string>"
-_TABLE = f"struct<name:string,folder:string,description:string,rows:long,columns:struct<column:array<{_COLUMN}>>,primaryKey:{_KEY},foreignKeys:struct<foreignKey:array<{_FOREIGN}>>,candidateKeys:struct<candidateKey:array<{_KEY}>>>"
+_KEYS = f"primaryKey:{_KEY},foreignKeys:struct<foreignKey:array<{_FOREIGN}>>,candidateKeys:struct<candidateKey:array<{_KEY}>>"
+_TABLE = f"struct<name:string,folder:string,description:string,rows:long,columns:struct<column:array<{_COLUMN}>>,{_KEYS}>"
 _VIEW = f"struct<name:string,query:string,queryOriginal:string,description:string,rows:long,columns:struct<column:array<{_COLUMN}>>>"
 #: A schema element of the catalog file; given in full, since a list of one element is otherwise read as a struct.
 SCHEMA = f"name string, folder string, description string, tables struct<table:array<{_TABLE}>>, views struct<view:array<{_VIEW}>>"
+#: What of it the keys are read from; the parser passes over the rest.
+_KEY_SCHEMA = f"folder string, tables struct<table:array<struct<folder:string,{_KEYS}>>>"
 #: What stands before the schemas in the catalog file.
 _HEADER = (
     "dbname string, description string, archiver string, dataOwner string, dataOriginTimespan string, lobFolder string, producerApplication string, archivalDate string, databaseProduct string,"
@@ -67,22 +70,27 @@ def catalog_faults(spark: SparkSession, path: str) -> DataFrame:
 
 def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """schemas, tables, columns, keys and views of every archive under path (<archive>/header/metadata.xml), as flat frames."""
-    raw = spark.read.format("xml").option("rowTag", "schema").option("nullValue", _NO_NULL).schema(SCHEMA).load(f"{path}/*/header/metadata.xml").select(_archive_id(F.col("_metadata.file_path")).alias("archive_id"), "*")
+    read = lambda schema: spark.read.format("xml").option("rowTag", "schema").option("nullValue", _NO_NULL).schema(schema).load(f"{path}/*/header/metadata.xml").select(_archive_id(F.col("_metadata.file_path")).alias("archive_id"), "*")
+    raw = read(SCHEMA)
     tables = raw.select("archive_id", F.col("name").alias("schema_name"), F.col("folder").alias("schema_folder"), F.inline("tables.table"))
     tables = tables.withColumn("table_key", F.concat_ws("/", "schema_folder", "folder"))
     columns = tables.select("archive_id", "table_key", F.posexplode("columns.column").alias("at", "c")).select("archive_id", "table_key", (F.col("at") + 1).alias("col_idx"), "c.*")
     max_len = F.regexp_extract("type", r"CHAR[A-Z ]*\((\d+)\)", 1).try_cast("int")
     columns = columns.select("archive_id", "table_key", "col_idx", "name", "type", F.col("typeOriginal").alias("type_original"), max_len.alias("max_len"), F.coalesce("nullable", F.lit(True)).alias("nullable"), F.upper("type").rlike("LOB|LARGE OBJECT").alias("is_lob"), F.col("lobFolder").alias("lob_folder"), F.col("mimeType").alias("mime_type"), F.coalesce("description", F.lit("")).alias("description"))
-    pair = "array<struct<column:string,referenced:string>>"
-    plain = lambda c: F.transform(c, lambda x: F.struct(x.alias("column"), F.lit(None).cast("string").alias("referenced"))).cast(pair)
-    pk = tables.where("primaryKey is not null").select("archive_id", "table_key", F.lit("pk").alias("kind"), F.col("primaryKey.name").alias("name"), F.lit(None).cast("string").alias("ref_table"), plain(F.col("primaryKey.column")).alias("cols"))
-    uk = tables.select("archive_id", "table_key", F.explode("candidateKeys.candidateKey").alias("k")).select("archive_id", "table_key", F.lit("uk").alias("kind"), F.col("k.name").alias("name"), F.lit(None).cast("string").alias("ref_table"), plain(F.col("k.column")).alias("cols"))
-    fk = tables.select("archive_id", "table_key", F.explode("foreignKeys.foreignKey").alias("k")).select("archive_id", "table_key", F.lit("fk").alias("kind"), F.col("k.name").alias("name"), F.concat_ws(".", "k.referencedSchema", "k.referencedTable").alias("ref_table"), F.col("k.reference").cast(pair).alias("cols"))
+    text = F.lit(None).cast("string")
+    plain = lambda c: F.transform(c, lambda x: F.struct(x.alias("column"), text.alias("referenced")))
+    one = lambda kind, name, ref_table, cols: F.struct(F.lit(kind).alias("kind"), name.alias("name"), ref_table.alias("ref_table"), cols.cast("array<struct<column:string,referenced:string>>").alias("cols"))
+    pk = F.when(F.col("primaryKey").isNotNull(), F.array(one("pk", F.col("primaryKey.name"), text, plain(F.col("primaryKey.column")))))
+    uk = F.transform("candidateKeys.candidateKey", lambda k: one("uk", k["name"], text, plain(k["column"])))
+    fk = F.transform("foreignKeys.foreignKey", lambda k: one("fk", k["name"], F.concat_ws(".", k["referencedSchema"], k["referencedTable"]), k["reference"]))
+    keys = read(_KEY_SCHEMA).select("archive_id", F.col("folder").alias("schema_folder"), F.inline("tables.table")).withColumn("table_key", F.concat_ws("/", "schema_folder", "folder"))
+    # one list for each table, so that the catalog is parsed once for all kinds
+    keys = keys.select("archive_id", "table_key", F.inline(F.flatten(F.array_compact(F.array(pk, uk, fk)))))
     return {
         "schemas": raw.select("archive_id", "name", "folder", F.coalesce("description", F.lit("")).alias("description")),
         "tables": tables.select("archive_id", "schema_folder", F.col("folder").alias("table_folder"), "table_key", "schema_name", F.col("name").alias("table_name"), F.coalesce("description", F.lit("")).alias("description"), F.col("rows").alias("declared_rows")),
         "columns": columns,
-        "keys": pk.unionByName(uk).unionByName(fk),
+        "keys": keys,
         "views": raw.select("archive_id", F.col("name").alias("schema_name"), F.col("folder").alias("schema_folder"), F.inline("views.view")).select("archive_id", "schema_name", "schema_folder", F.col("name").alias("view_name"), F.coalesce("query", "queryOriginal").alias("query"), F.coalesce("description", F.lit("")).alias("description"), F.col("rows").alias("declared_rows"), F.coalesce(F.size("columns.column"), F.lit(0)).alias("n_columns")),
     }
 
