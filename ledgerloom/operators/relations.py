@@ -37,6 +37,13 @@ def with_row_pos(df: DataFrame, order: Iterable[str], name: str = "row_pos", kee
     return placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
+def preview(rows: DataFrame, order: Iterable[str], n: int = 10) -> DataFrame:
+    """The first n rows in order, null last, all columns as trimmed text; no table is sorted as a whole. The text of all columns settles ties, so that each run gives the same rows."""
+    ties = [F.col(c).cast("string").asc_nulls_last() for c in rows.columns]
+    first = rows.orderBy(*[F.col(c).asc_nulls_last() for c in order], *ties).limit(n)
+    return first.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in rows.columns])
+
+
 def _telling(order: Iterable[str], keep: Iterable[str] | None) -> list[str]:
     """The order up to its last column that is kept, if it names all that are: rows that agree so far are alike, whichever stands first."""
     order, keep = list(order), set(keep or ())
